@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexlake.llm import mixing
+from lexlake.llm import fingerprints, mixing, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every text and of its edited text."""
+    return fingerprints.edit_report(_table(spark, sf_dir, "documents"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, found through the trigram index."""
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths of all documents with its suffix sums."""
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"))))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of each document."""
     return mixing.documents_taken(_table(spark, sf_dir, "documents"))
@@ -20,7 +35,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to builder."""
-    return {"op10_source_mix": op10_source_mix}
+    return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_secrets": op2_secrets,
+        "op4_token_counts": op4_token_counts,
+        "op10_source_mix": op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
