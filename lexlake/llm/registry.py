@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexlake.llm import fingerprints, mixing, secret_scan, token_counts
+from lexlake.llm import fingerprints, mixing, packing, secret_scan, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"))))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-plane shuffled token-id files of all documents, written and read back."""
+    return token_files.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows beside lexical neighbours."""
+    return packing.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of each document."""
     return mixing.documents_taken(_table(spark, sf_dir, "documents"))
@@ -39,6 +49,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_secrets": op2_secrets,
         "op4_token_counts": op4_token_counts,
+        "op8_token_files": op8_token_files,
+        "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
     }
 
