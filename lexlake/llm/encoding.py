@@ -2,21 +2,32 @@
 
 White space ends a chunk in both vocabularies' pre-tokenizers, so a text's ids are those of its
 chunks. Each distinct chunk is encoded once by the tokenizers library and kept in a table of
-bounded size; texts then become table lookups. Texts with characters on which Python and the
-tokenizer might differ about white space or normal forms are encoded whole.
+bounded size; texts then become table lookups. A chunk that is one word of common letters, with
+at most some marks after it, goes straight to the library's BPE model, others through its whole
+chain. Texts with characters on which Python and the tokenizer might differ about white space or
+normal forms are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Vocabulary file and the way a text of it falls into chunks.
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Controls, unusual spaces, marks that combine with the character before: such texts are encoded whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u206f\u3000\ufeff]")
+#: A word of Latin letters, perhaps after a space, and marks.
+_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)").fullmatch
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves, others from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip(_SELF, map(chr, _SELF), strict=True))
+_BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _BYTES)}
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -46,8 +57,9 @@ class Encoder:
             path = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kind = self.tokenizer.pre_tokenizer
-        self.cut = _SPACED.findall if "ByteLevel" in type(kind).__name__ else str.split
+        self.model = self.tokenizer.model
+        self.spaced = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__
+        self.cut = _SPACED.findall if self.spaced else str.split
         self.table_chars = table_chars
         self._clear()
 
@@ -61,7 +73,10 @@ class Encoder:
         chunks, self.table.waiting = self.table.waiting, []
         if not chunks:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        found = [self._word(c) for c in chunks]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         new, n = int(lengths.sum()), self.known + len(chunks)
         if self.used + new > len(self.flat):
@@ -74,6 +89,19 @@ class Encoder:
         self.used, self.known = self.used + new, n
         self.held += sum(map(len, chunks))
 
+    def _word(self, chunk: str) -> list[int] | None:
+        """Ids of a plain word and the marks after it, by the model alone; None: not so plain."""
+        if not (found := _PLAIN(chunk)):
+            return None
+        space, word, marks = found.groups()
+        word = space + word if self.spaced else word.lower()
+        same = self.table.get(word, self.known)
+        if same < self.known:
+            ids = self.flat[self.first[same] : self.first[same] + self.length[same]].tolist()
+        else:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+        return ids + [t.id for t in self.model.tokenize(marks)] if marks else ids
+
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts on end, and where each text's begin (one more at the end)."""
         if self.held > self.table_chars:
@@ -115,13 +143,11 @@ def encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
-def slices(sizes, most: int = 4_000_000, rows: int = 4096):
-    """Ranges of rows whose sizes add up to about ``most`` at most."""
-    begin, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > begin and (held + n > most or i - begin >= rows):
-            yield begin, i
-            begin, held = i, 0
-        held += n
-    if len(sizes) > begin:
-        yield begin, len(sizes)
+def pieces(batch: pa.RecordBatch, most: int = 1_000_000, rows: int = 4096) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """doc_id and text of a batch in runs of about ``most`` bytes of text at most."""
+    sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))))
+    begin, n = 0, batch.num_rows
+    while begin < n:
+        end = min(n, begin + rows, max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1))
+        yield batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin).to_pylist()
+        begin = end

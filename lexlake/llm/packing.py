@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.encoding import BYTE_VOCAB, encoder, slices
+from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
 
 WINDOW = 2048
 END_ID = 1
-SHARD_ROWS, SHARD_CHARS = 512, 4_000_000
+SHARD_ROWS, SHARD_BYTES = 512, 4_000_000
 K1, B = 1.2, 0.75
 
 
@@ -132,16 +132,14 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sequence = encoder(vocabulary), TaskContext.get().partitionId() << 32
         for b in batches:
-            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts], SHARD_CHARS, shard_rows):
-                ids, starts = enc.encode(texts[i:j], end_id)
+            for doc_ids, texts in pieces(b, SHARD_BYTES, shard_rows):
+                ids, starts = enc.encode(texts, end_id)
                 shard = np.split(ids, starts[1:-1])
                 packed = pack_shard(shard, window)
                 doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*packed.rows, strict=True))
-                own = [doc_ids[i + d] for d in doc.tolist()]
                 octets = [shard[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
                 sizes = np.diff(starts)[doc]
-                columns = [pa.array(own, pa.int64()), pa.array(start), pa.array(length), pa.array(octets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(seq + sequence), pa.array(offset)]
+                columns = [doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(octets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(seq + sequence), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
                 sequence += packed.sequence
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.encoding import BYTE_VOCAB, encoder, slices
+from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
 
 
 def lengths(docs: DataFrame, vocabulary: str = BYTE_VOCAB) -> DataFrame:
@@ -25,9 +25,8 @@ def lengths(docs: DataFrame, vocabulary: str = BYTE_VOCAB) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts]):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(enc.lengths(texts[i:j]), pa.int64())], ["doc_id", "n_tokens"])
+            for doc_ids, texts in pieces(b):
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(enc.lengths(texts), pa.int64())], ["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_tokens long")
@@ -45,7 +44,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """
     both = hist.withColumn("_tokens", F.col("docs") * F.col("n_tokens"))
     below = Window.partitionBy("_run").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    runs = both.withColumn("_run", F.expr("n_tokens div 1024"))
+    runs = both.withColumn("_run", F.expr("n_tokens div 64"))
     sums = runs.groupBy("_run").agg(F.sum("docs").alias("_d"), F.sum("_tokens").alias("_t"))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlake.llm.common import shared_dir, small, written
-from lexlake.llm.encoding import WORD_VOCAB, encoder, slices
+from lexlake.llm.encoding import WORD_VOCAB, encoder, pieces
 
 CHUNK_IDS = 1 << 16
 END_ID = 1
@@ -135,10 +135,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCAB,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, built = encoder(vocabulary), FileBuilder(chunk_ids, bits)
         for b in batches:
-            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts]):
-                ids, starts = enc.encode(texts[i:j], end_id)
-                for part in built.add(doc_ids[i:j], ids, np.diff(starts)):
+            for doc_ids, texts in pieces(b):
+                ids, starts = enc.encode(texts, end_id)
+                for part in built.add(doc_ids.to_pylist(), ids, np.diff(starts)):
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["part"])
         for part in built.close():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["part"])
