@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexlake.llm import fingerprints, mixing, packing, secret_scan, token_counts, token_files, toxicity, warc
+from lexlake.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths of all documents with its suffix sums."""
-    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"))))
+    counted = token_counts.lengths(_table(spark, sf_dir, "documents"))
+    return token_counts.suffix_sums(written(token_counts.histogram(counted), "token-histogram"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
