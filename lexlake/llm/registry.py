@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexlake.llm import fingerprints, mixing, packing, secret_scan, token_counts, token_files, toxicity, warc
+from lexlake.llm import fingerprints, mixing, ngram_join, packing, secret_scan, token_counts, token_files, toxicity, warc
 from lexlake.llm.common import written
 
 
@@ -40,6 +40,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-equal documents by exact Jaccard similarity of 3-word shingles."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bit-plane shuffled token-id files of all documents, written and read back."""
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op3_toxicity": op3_toxicity,
         "op5_warc": op5_warc,
+        "op6_ngram_join": op6_ngram_join,
         "op8_token_files": op8_token_files,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
