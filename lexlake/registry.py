@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexlake.plans import analytics, conversations, graph, retrieval, text, versions  # noqa: F401  each registers its queries
+from lexlake.plans.catalogue import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     """Query name to builder."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return dict(ORACLE)
