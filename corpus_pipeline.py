@@ -1,11 +1,60 @@
-"""A corpus pipeline of five stages; see STAGES."""
+"""A corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are
+blotted out, sources are mixed to target weights, and the mix is packed into training sequences.
+
+Every stage takes all rows that the one before kept, and all but the last return the columns of
+``documents``. Stages hand over Parquet tables in the shared folder, so a lost executor costs the
+tasks of one stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from lexlake.llm import mixing, ngram_join, packing, secret_scan, toxicity
+from lexlake.llm.common import written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of these documents, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 80 % of five-word shingles or more."""
+    return ngram_join.one_of_each(docs, ngram_join.Rule(5, 80))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secret_scan.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often and as far as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.report(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_copies", one_of_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express the learned classifier and the packing; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

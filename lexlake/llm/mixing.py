@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import WORD, prefix_sums, small, written
+from lexlake.llm.common import GAP, SPACES, WORD, prefix_sums, small, written
 
 #: Fractional parts of 1/phi and of 2**20/phi, phi the golden ratio: together they keep points exact for 2**40 slots.
 GOLDEN, GOLDEN_20 = 0.6180339887498949, (2**20 * 0.6180339887498949) % 1.0
@@ -141,3 +141,28 @@ def documents_taken(docs: DataFrame, **params) -> DataFrame:
     words = mixed.segments.groupBy(*keys).agg(F.sum("words").alias("taken"))
     found = mixed.documents.join(words, keys, "left")
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The mix as documents: ``docs`` with each row as often as the mix takes it, the last time perhaps its
+    first words only (joined by spaces); rows that it doesn't take go, rows without words stay. Columns
+    stay, n_chars follows the text. Rows that share doc_id and size are each taken as the one taken most.
+    """
+    columns = docs.columns
+    taken = documents_taken(docs, **params).filter("size > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_doc_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    rows = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_words") == F.col("_size")), "left")
+    times = F.when(F.col("_words") == 0, F.array(F.lit(0).cast("long"))).otherwise(
+        F.concat(
+            F.array_repeat(F.col("_words"), F.expr("int(coalesce(_taken, 0) div _words)")),
+            F.when(F.col("_taken") % F.col("_words") > 0, F.array(F.col("_taken") % F.col("_words"))).otherwise(F.array().cast("array<bigint>")),
+        )
+    )
+    rows = rows.withColumn("_take", F.explode(times))
+    words = F.split(F.btrim("text", F.lit(SPACES)), GAP)
+    text = F.when(F.col("_take") < F.col("_words"), F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_take") < F.col("_words"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*columns)
