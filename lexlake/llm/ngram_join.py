@@ -117,44 +117,54 @@ def prefixes(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def postings(classes: DataFrame, rule: Rule) -> DataFrame:
-    """token, rep, n, level, matches: prefix shingles that two classes or more share.
+    """token, rep, n, common, level, matches: prefix shingles that two classes or more share.
 
     ``level`` is the least number of matches whose prefix has the shingle; ``matches`` is the
     number that the class asks for, where the estimated cost of its lists and candidates is least.
+    ``common`` is how many of the class's shingles another may have at most: all but those of its
+    prefix that it has alone.
     """
     base = F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1
-    rows = classes.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.select("token", "rep", "n", F.greatest(F.lit(1), F.col("pos") - base + 2).cast("int").alias("level"))
-    shared = written(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "join-shared")
-    rows = written(rows.join(small(shared, shared.count(), BROADCAST_KEYS), "token"), "join-postings")
-    per = rows.groupBy("rep").agg(F.max(F.ceil(F.col("n") * rule.percent / 100)).alias("_most"), *[F.coalesce(F.sum(F.when(F.col("level") <= m, F.col("df") - 1)), F.lit(0)).alias(f"_w{m}") for m in range(1, MAX_MATCHES + 1)])
+    rows = classes.select("rep", F.posexplode("tokens").alias("pos", "token"), base.alias("_base"))
+    rows = rows.select("token", "rep", F.greatest(F.lit(1), F.col("pos") - F.col("_base") + 2).cast("int").alias("level"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = rows.join(shared, "token")
+    own = classes.select("rep", "n", F.size("tokens").alias("_prefix"))
+    rows = written(rows.join(own, "rep"), "join-postings")
+    per = rows.groupBy("rep").agg(F.max(F.ceil(F.col("n") * rule.percent / 100)).alias("_most"), F.max(F.col("n") - F.col("_prefix")).alias("_rest"), F.count("*").alias("_shared"), *[F.coalesce(F.sum(F.when(F.col("level") <= m, F.col("df") - 1)), F.lit(0)).alias(f"_w{m}") for m in range(1, MAX_MATCHES + 1)])
     costs = F.array(*[F.struct((F.col(f"_w{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in range(1, MAX_MATCHES + 1)])
     best = F.array_min(F.filter(costs, lambda c: c["m"] <= F.col("_most")))
-    per = per.select("rep", best["m"].alias("matches"))
-    rows = rows.join(per, "rep").filter(F.col("level") <= MAX_MATCHES)
-    return written(rows.select("token", "rep", "n", "level", "matches", "df"), "join-lists")
+    per = per.filter(F.col("_rest") + F.col("_shared") >= F.col("_most"))
+    per = per.select("rep", best["m"].alias("matches"), (F.col("_rest") + F.col("_shared")).alias("common"))
+    return written(rows.join(per, "rep").select("token", *COLUMNS), "join-lists")
+
+
+COLUMNS = ("rep", "n", "common", "level", "matches")
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("rep", "n", "level", "matches", "comp")])
+    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "comp")])
 
 
 def matched(pairs: DataFrame, rule: Rule) -> DataFrame:
     """a, b: pairs of classes (columns x_* and y_*, a row per shared prefix shingle) that share enough of
-    them for the larger class of the two."""
+    them for the larger class of the two, and have enough shingles in common with any other for a link."""
     x_larger = F.struct("x_n", "x_rep") > F.struct("y_n", "y_rep")
     need = F.when(x_larger, F.col("x_matches")).otherwise(F.col("y_matches"))
     low, high = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    rows = pairs.filter((F.col("x_comp") != F.col("y_comp")) & (low * 100 >= high * rule.percent) & (F.col("x_level") <= need) & (F.col("y_level") <= need))
+    able = F.least("x_common", "y_common") * (100 + rule.percent) >= (F.col("x_n") + F.col("y_n")) * rule.percent
+    rows = pairs.filter((F.col("x_comp") != F.col("y_comp")) & (low * 100 >= high * rule.percent) & able & (F.col("x_level") <= need) & (F.col("y_level") <= need))
     rows = rows.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).agg(F.count("*").alias("_k"), F.max(need).alias("_need"))
     return rows.filter("_k >= _need").select("a", "b")
 
 
 def star_pairs(rows: DataFrame, seed: int, rule: Rule) -> DataFrame:
-    """Candidates of every list's class of least hash with the list's other classes."""
-    order = F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "n", "level", "matches", "comp")
+    """Candidates of one class of every list with the list's other classes: the one with the fewest shingles of its
+    own, which is nearest to the middle of its group (later rounds: the one of least hash)."""
+    alone = F.round((F.col("n") - F.col("common")) / F.col("n"), 2) if seed == 0 else F.lit(0.0)
+    order = F.struct(alone.alias("alone"), F.xxhash64("rep", F.lit(seed)).alias("h"), *COLUMNS, "comp")
     center = rows.groupBy("token").agg(F.min(order).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi")
-    center = center.select("token", *[F.col(f"_c.{c}").alias(f"y_{c}") for c in ("rep", "n", "level", "matches", "comp")])
+    center = center.select("token", *[F.col(f"_c.{c}").alias(f"y_{c}") for c in (*COLUMNS, "comp")])
     return matched(_side(rows, "x").join(center, "token"), rule)
 
 
@@ -171,7 +181,7 @@ def rest_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The candidates whose whole sets link."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("_rep")).distinct(), "join-needed")
+    needed = written(pairs.select(F.col("a").alias("_rep")).unionByName(pairs.select(F.col("b").alias("_rep"))).distinct(), "join-needed")
     own = texts.join(small(needed, needed.count(), BROADCAST_KEYS), F.col("doc_id") == F.col("_rep"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
