@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexlake.llm import fingerprints, mixing, ngram_join, packing, secret_scan, token_counts, token_files, toxicity, warc
+from lexlake.llm import audio, fingerprints, mixing, ngram_join, packing, secret_scan, token_counts, token_files, toxicity, warc
 from lexlake.llm.common import written
 
 
@@ -45,6 +46,15 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chroma fingerprints of all conversation turns, read out as sound, and the recordings that align with those of
+    every fiftieth conversation. The tables hold no audio: words become chords before the operator sees them."""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("recording"), "text")
+    prints = audio.fingerprints(turns, ["recording"], "text", audio.rendered)
+    found = audio.search(prints, "recording", (F.col("recording") / 100_000).cast("long") % 50 == 0)
+    return found.withColumns({"conv_id": F.expr("recording div 100000"), "turn": F.expr("recording % 100000")})
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bit-plane shuffled token-id files of all documents, written and read back."""
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
@@ -69,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op5_warc": op5_warc,
         "op6_ngram_join": op6_ngram_join,
+        "op7_audio": op7_audio,
         "op8_token_files": op8_token_files,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
