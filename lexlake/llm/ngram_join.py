@@ -1,8 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
 Two texts link when the Jaccard similarity of their shingle sets is at least ``percent`` / 100.
-Shingles are ordered rare ones first. With overlap at least ``a``, the first ``size - a + m``
-shingles of both sets share ``m`` or more. Every document picks its own ``m``: where its shortest
+Shingles are ordered rare ones first. If a pair must share ``a`` shingles to link, the first
+``size - a + m`` shingles of its two sets share ``m`` or more. Every document picks its own ``m``: where its shortest
 prefix promises many candidates, it lengthens the prefix and asks for more shared prefix shingles
 before a pair is verified. The larger document of a pair decides.
 
@@ -117,16 +117,16 @@ def prefixes(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def postings(classes: DataFrame, rule: Rule) -> DataFrame:
-    """token, rep, n, common, level, matches: prefix shingles that two classes or more share.
+    """token, rep, n, common, pos, matches: prefix shingles that two classes or more share, and their place in the order.
 
-    ``level`` is the least number of matches whose prefix has the shingle; ``matches`` is the
-    number that the class asks for, where the estimated cost of its lists and candidates is least.
+    ``matches`` is the number of shared shingles that the class asks for, where the estimated cost of
+    its lists and candidates is least.
     ``common`` is how many of the class's shingles another may have at most: all but those of its
     prefix that it has alone.
     """
     base = F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1
     rows = classes.select("rep", F.posexplode("tokens").alias("pos", "token"), base.alias("_base"))
-    rows = rows.select("token", "rep", F.greatest(F.lit(1), F.col("pos") - F.col("_base") + 2).cast("int").alias("level"))
+    rows = rows.select("token", "rep", "pos", F.greatest(F.lit(1), F.col("pos") - F.col("_base") + 2).cast("int").alias("level"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     rows = rows.join(shared, "token")
     own = classes.select("rep", "n", F.size("tokens").alias("_prefix"))
@@ -139,7 +139,7 @@ def postings(classes: DataFrame, rule: Rule) -> DataFrame:
     return written(rows.join(per, "rep").select("token", *COLUMNS), "join-lists")
 
 
-COLUMNS = ("rep", "n", "common", "level", "matches")
+COLUMNS = ("rep", "n", "common", "pos", "matches")
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
@@ -151,9 +151,10 @@ def matched(pairs: DataFrame, rule: Rule) -> DataFrame:
     them for the larger class of the two, and have enough shingles in common with any other for a link."""
     x_larger = F.struct("x_n", "x_rep") > F.struct("y_n", "y_rep")
     need = F.when(x_larger, F.col("x_matches")).otherwise(F.col("y_matches"))
-    low, high = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    able = F.least("x_common", "y_common") * (100 + rule.percent) >= (F.col("x_n") + F.col("y_n")) * rule.percent
-    rows = pairs.filter((F.col("x_comp") != F.col("y_comp")) & (low * 100 >= high * rule.percent) & able & (F.col("x_level") <= need) & (F.col("y_level") <= need))
+    least = F.ceil((F.col("x_n") + F.col("y_n")) * rule.percent / (100 + rule.percent))
+    able = F.least("x_common", "y_common", "x_n", "y_n") >= least
+    within = (F.col("x_pos") < F.col("x_n") - least + need) & (F.col("y_pos") < F.col("y_n") - least + need)
+    rows = pairs.filter((F.col("x_comp") != F.col("y_comp")) & able & within)
     rows = rows.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).agg(F.count("*").alias("_k"), F.max(need).alias("_need"))
     return rows.filter("_k >= _need").select("a", "b")
 
