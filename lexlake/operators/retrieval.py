@@ -87,8 +87,9 @@ def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def reranked(hits: DataFrame, degree: DataFrame, k: int, weight: float, most: int = 20) -> DataFrame:
-    """Hits by score plus a weighted, capped number of references."""
-    rows = hits.join(F.broadcast(degree) if degree.isLocal() else degree, "id", "left").withColumn("degree", F.least(F.coalesce("degree", F.lit(0)), F.lit(most)))
+    """Hits by score plus a weighted, capped number of references; only the hits' own references are counted."""
+    near = degree.join(F.broadcast(hits.select("id")), "id", "left_semi")
+    rows = hits.join(near, "id", "left").withColumn("degree", F.least(F.coalesce("degree", F.lit(0)), F.lit(most)))
     return rows.withColumn("score", F.col("score") + F.col("degree") * weight).orderBy(F.desc("score"), "id").limit(k)
 
 

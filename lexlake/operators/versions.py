@@ -27,6 +27,12 @@ def latest(rows: DataFrame, chain: list[str], order: list[str], id_: str) -> Dat
     return rows.groupBy(*chain).agg(F.max_by(id_, F.struct(*order)).alias("latest_id"))
 
 
+def history(rows: DataFrame, chain: list[str], order: list[str], id_: str) -> DataFrame:
+    """root, id, depth of every version: the first of its chain, itself, and the steps between."""
+    along = Window.partitionBy(*chain).orderBy(*order)
+    return rows.select(F.first(id_).over(along).alias("root"), F.col(id_).alias("id"), (F.row_number().over(along) - 1).alias("depth"))
+
+
 def in_force(at: Column, valid_from: Column, valid_to: Column) -> Column:
     """Half-open validity; without a date everything is in force, without a start nothing else is."""
     return at.isNull() | (valid_from.isNotNull() & (valid_from <= at) & (valid_to.isNull() | (at < valid_to)))

@@ -34,12 +34,12 @@ def last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.last_messages(table(spark, sf_dir, "conversations"), 4).select("conv_id", "turn", "text")
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 7 <> 3")
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages left after their owner deleted some conversations."""
+    """Messages left after their owners deleted the conversations with a system message."""
     messages = table(spark, sf_dir, "conversations")
-    parents = messages.groupBy("conv_id").agg((F.col("conv_id") % 5).alias("owner"))
-    gone = parents.filter("conv_id % 7 = 3")
+    parents = messages.groupBy("conv_id").agg(F.min_by("role", "turn").alias("owner"))
+    gone = parents.join(messages.filter("role = 'system'").select("conv_id"), "conv_id", "left_semi")
     return ops.deleted(parents, messages, gone, "conv_id", "owner")[1].select("conv_id", "turn", "role")
 
 

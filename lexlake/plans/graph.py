@@ -101,21 +101,24 @@ def fallback_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(c.c_custkey, u.id) AS id, coalesce(u.name, c.c_name) AS name, c.c_mktsegment AS segment, u.note FROM customer c FULL JOIN
-  (SELECT c_custkey + 1000 AS id, CASE WHEN c_custkey % 2 = 0 THEN 'renamed' END AS name, 'seen' AS note FROM customer WHERE c_custkey <= 1000) u ON u.id = c.c_custkey""")
+  (SELECT o_custkey + 1000 AS id, CASE WHEN max(o_totalprice) > 200000 THEN 'large' END AS name, 'seen' AS note FROM orders GROUP BY 1) u ON u.id = c.c_custkey""")
 def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes merged by key: new properties replace, null ones leave the old."""
-    customers = table(spark, sf_dir, "customer")
-    old = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    new = customers.filter("c_custkey <= 1000").select((F.col("c_custkey") + 1000).alias("id"), F.when(F.col("c_custkey") % 2 == 0, "renamed").alias("name"), F.lit("seen").alias("note"))
+    """Nodes merged by key: new properties replace, null ones leave the old, new keys are added."""
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    new = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 1000).alias("id")).agg(F.when(F.max("o_totalprice") > 200_000, "large").alias("name"), F.lit("seen").alias("note"))
     return ops.upsert_nodes(old, new).select("id", "name", "segment", "note")
 
 
-@query("SELECT DISTINCT l_orderkey AS src, 'REFERS_TO' AS rel, l_partkey AS dst FROM lineitem WHERE l_orderkey % 3 = 0 OR l_partkey BETWEEN 1 AND 1000 AND l_orderkey BETWEEN 1 AND 1000")
+@query("""SELECT DISTINCT 'o' || l_orderkey AS src, 'REFERS_TO' AS rel, 'p' || l_partkey AS dst FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey
+  WHERE l_returnflag = 'R' OR o_orderstatus = 'F' AND p_size <= 25""")
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges merged: new ones only where both ends are known."""
-    edges = _references(spark, sf_dir).withColumn("rel", F.lit("REFERS_TO"))
-    nodes = spark.range(1, 1001).select("id")
-    return ops.upsert_edges(edges.filter("src % 3 = 0"), edges.filter("src % 3 <> 0"), nodes)
+    """Edges merged: old ones, and new ones where both ends are known."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = lines.select(name("o", "l_orderkey").alias("src"), F.lit("REFERS_TO").alias("rel"), name("p", "l_partkey").alias("dst"), (F.col("l_returnflag") == "R").alias("known"))
+    nodes = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(name("o", "o_orderkey").alias("id"))
+    nodes = nodes.unionByName(table(spark, sf_dir, "part").filter("p_size <= 25").select(name("p", "p_partkey").alias("id")))
+    return ops.upsert_edges(edges.filter("known"), edges.filter("NOT known"), nodes)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

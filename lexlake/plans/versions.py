@@ -41,13 +41,11 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.latest(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 
-@query(f"""WITH RECURSIVE {_CHAIN}, h AS (SELECT o_orderkey AS root, o_orderkey AS id, next_id, 0 AS depth FROM c WHERE prev_id IS NULL AND o_custkey <= 40
+@query(f"""WITH RECURSIVE {_CHAIN}, h AS (SELECT o_orderkey AS root, o_orderkey AS id, next_id, 0 AS depth FROM c WHERE prev_id IS NULL
   UNION ALL SELECT h.root, c.o_orderkey, c.next_id, h.depth + 1 FROM h JOIN c ON c.o_orderkey = h.next_id) SELECT root, id, depth FROM h""")
-def version_history_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The histories of some chains by following next links."""
-    _chain(spark, sf_dir).select("o_custkey", "o_orderkey", "prev_id", "next_id").createOrReplaceTempView("version_chain")
-    return spark.sql("""WITH RECURSIVE h AS (SELECT o_orderkey AS root, o_orderkey AS id, next_id, 0 AS depth FROM version_chain WHERE prev_id IS NULL AND o_custkey <= 40
-      UNION ALL SELECT h.root, c.o_orderkey, c.next_id, h.depth + 1 FROM h JOIN version_chain c ON c.o_orderkey = h.next_id) SELECT root, id, depth FROM h""")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version with the first of its chain and its distance from it: a window does what following next links would."""
+    return ops.history(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 
 @query("SELECT a.o_orderkey AS id, count(b.o_orderkey) AS later FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND (b.o_orderdate, b.o_orderkey) > (a.o_orderdate, a.o_orderkey) GROUP BY 1")
