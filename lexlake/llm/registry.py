@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexlake.llm import audio, fingerprints, mixing, ngram_join, packing, secret_scan, token_counts, token_files, toxicity, warc
 from lexlake.llm.common import written
+from lexlake.llm.oracles import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return dict(SQL)
