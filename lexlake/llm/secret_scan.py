@@ -15,6 +15,7 @@ an empty table gives an empty result; extra columns stay as they are (one named
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
@@ -30,19 +31,21 @@ Query = frozenset[frozenset[str]]
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` holds in Python's and Java's syntax; a match counts if group ``group`` has
-    ``least`` characters. Matches are leftmost, not overlapping; those that fail are dropped."""
+    ``least`` characters. Matches are leftmost, not overlapping; those that fail are dropped.
+    ``screen`` matches every text with a match that counts; without one, ``pattern`` does."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    screen: str | None = None
 
 
 #: The three base rules come first; spans at one start are listed in this order.
 RULES: tuple[Rule, ...] = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("prefixed", r"(gh[pousr]_|sk_live_|sk_test_|xox[abp]-)[A-Za-z0-9_-]{16,}"),
@@ -139,14 +142,21 @@ def content_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def any_trigram(trigrams: list[str]) -> str:
+    """A look-ahead that captures, at every place, which of the trigrams begins there; those of one first letter are one branch."""
+    by_first: dict[str, list[str]] = {}
+    for t in trigrams:
+        by_first.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?=(" + "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in sorted(by_first.items())) + "))"
+
+
 def postings(docs: DataFrame, trigrams: list[str], block_texts: int = 4096) -> DataFrame:
     """The index: (block, trigram, texts), ``texts`` the keys of the distinct texts of a block with that trigram.
 
     Blocks are hash classes of the keys, about ``block_texts`` rows each, so no posting outgrows a task.
     """
     blocks = max(1, docs.count() // block_texts)
-    lower = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in trigrams]))
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_trigram(trigrams)), F.lit(1)))
     rows = docs.select(content_key(F.col("text")).alias("key"), F.explode(held).alias("trigram"))
     rows = rows.withColumn("block", F.pmod("key", F.lit(blocks)))
     return rows.groupBy("block", "trigram").agg(F.collect_set("key").alias("texts"))
@@ -194,7 +204,7 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
         keep = F.when(x["n"] >= rule.least, F.array(span)).otherwise(empty)
         return F.struct(end.alias("at"), F.concat(acc["found"], keep).alias("found"))
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(rows, start, step, lambda acc: acc["found"])).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(rule.screen or rule.pattern)), F.aggregate(rows, start, step, lambda acc: acc["found"])).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
