@@ -137,6 +137,37 @@ def html_lines(acts: DataFrame) -> DataFrame:
     return _apply(acts.select("law_id", "html"), "law_id string, line_no int, kind string, text string", parse)
 
 
+# Elements of the official act XML, by what a line of them is.
+FORMEX_TAGS = {"TI.ART": "article", "STI.ART": "subtitle", "ALINEA": "text", "PARAG": "text", "VISA": "text"}
+
+
+def formex_lines(acts: DataFrame) -> DataFrame:
+    """law_id, line_no, kind, text of acts in the official XML (law_id, xml); unreadable ones give one line of kind error.
+
+    Headings are the titles of chapters and sections; an article's text is its paragraphs, without those inside others.
+    """
+
+    def walk(e: ET.Element, inside: str) -> Iterator[tuple[str, str]]:
+        kind = FORMEX_TAGS.get(e.tag) or (("title" if inside == "ACT" else "heading") if e.tag == "TITLE" else None)
+        if kind:
+            if text := _flat(e):
+                yield kind, text
+            return
+        for child in e:
+            yield from walk(child, e.tag)
+
+    def parse(law_id: str, xml: str | None) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(xml or "")
+        except ET.ParseError as e:
+            yield (law_id, 0, "error", str(e))
+            return
+        for n, (kind, text) in enumerate(walk(root, "")):
+            yield (law_id, n, kind, text)
+
+    return _apply(acts.select("law_id", "xml"), "law_id string, line_no int, kind string, text string", parse)
+
+
 def marked_lines(acts: DataFrame) -> DataFrame:
     """The same of acts as marked text (law_id, content): [TITULO], [CAPITULO] and [ARTICULO] begin a line of their kind."""
     rows = acts.select("law_id", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")).filter("trim(line) <> ''")

@@ -99,6 +99,15 @@ def test_sources(spark, tmp_path):
     assert [r["identificador"] for r in files.search_listing(listed, {"titulo": "LEY"}, start="20190101", limit=1, offset=1).collect()] == ["a"]
 
 
+def test_formex(spark):
+    act = "<ACT><TITLE><TI><P>Reglamento</P></TI></TITLE><ENACTING.TERMS><DIVISION><TITLE><TI><P>CAPÍTULO I</P></TI></TITLE><ARTICLE><TI.ART>Artículo 1</TI.ART><STI.ART><P>Objeto</P></STI.ART><PARAG><NO.PARAG>1.</NO.PARAG><ALINEA>Uno <HT>dos</HT></ALINEA></PARAG><ALINEA>Tres</ALINEA></ARTICLE></DIVISION></ENACTING.TERMS></ACT>"
+    frame = spark.createDataFrame([("32016R0001", act), ("bad", "<x")], "law_id string, xml string")
+    lines = laws.formex_lines(frame).cache()
+    assert [r["law_id"] for r in lines.filter("kind = 'error'").collect()] == ["bad"]
+    rows = law_rows(laws.act_articles(lines.filter("kind <> 'error'")))
+    assert rows == [("32016R0001_articulo_1", "Artículo 1", "CAPÍTULO I", "Objeto\n\n1. Uno dos\n\nTres")]
+
+
 def law_rows(df):
     return sorted((r["article_id"], r["title"], r["path"], r["full_text"]) for r in df.collect())
 
@@ -166,3 +175,20 @@ def test_streams(spark, tmp_path):
     assert spent.count() == events.count() and spent.filter("left < 0").count() == 0
     jobs.merge_daily(jobs.daily_counters(stream), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_contexts(spark):
+    from lexlake.operators import context as ops
+
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, position int")
+    new = spark.createDataFrame([("b", 1), ("c", 2), ("d", 3)], "id string, position int")
+    gone = spark.createDataFrame([("a",), ("d",)], "id string")
+    assert [(r["id"], r["position"]) for r in ops.accumulated(old, new, gone).orderBy("position").collect()] == [("b", 1), ("c", 2)]
+    texts = spark.createDataFrame([("x",), ("y",), ("y",)], "text string")
+    cache = texts.filter("text = 'x'").select(F.sha2("text", 256).alias("key"), ops.stub_embedding(F.col("text")).alias("embedding"))
+    hits, more = ops.cached_embeddings(texts, cache)
+    assert hits.count() == 1 and more.count() == 1
+    assert abs(sum(v * v for v in more.first()["embedding"]) - 1) < 1e-9
+    decisions = spark.createDataFrame([(1, True), (2, False)], "k int, needs_search boolean")
+    both = [spark.createDataFrame([(1, w), (2, w)], "k int, context string") for w in ("new", "old")]
+    assert {r["k"]: r["context"] for r in ops.reused(decisions, *both, "k").collect()} == {1: "new", 2: "old"}
