@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,15 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the library importable for Python workers: where their environment doesn't name its folder, as a zip file."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = (spark._jvm.System.getenv("PYTHONPATH") or "").split(os.pathsep)
+    context = spark.sparkContext
+    if root in known or getattr(context, "_lexlake_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lexlake-"), "lexlake"), "zip", root, "lexlake")
+    context.addPyFile(archive)
+    context._lexlake_shipped = True
