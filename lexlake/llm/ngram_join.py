@@ -15,7 +15,9 @@ How it runs:
 4.  The last round compares every pair that shares enough prefix shingles and is in different
     components still: in each list, all rows with those outside the list's largest component.
     No link between components is lost, and no list is squared within a component.
-5.  Verification joins the whole sets of both classes and counts.
+5.  Before that, a bitmap of each set's parities (``MAP_WORDS`` times 64 bits, an element toggles one)
+    drops pairs: two sets differ in at least as many elements as their bitmaps in bits.
+6.  Verification joins the whole sets of both classes and counts.
 
 Step order and shingle frequency only decide how much work is done, never what links. Tables
 between steps are in the shared folder.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from lexlake.llm.shingles import mixed, shingle_sets
 MAX_MATCHES = 4
 SLOT_BITS = 22
 STAR_ROUNDS = 2
+MAP_WORDS = 4
+MAP = [f"map_{k}" for k in range(MAP_WORDS)]
 #: Verifying a candidate costs about as much as so many rows of posting lists.
 VERIFY_COST = 16
 #: Single long keys are short: so many may be broadcast.
@@ -90,7 +95,7 @@ def frequent_slots(texts: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, sig_a, sig_b (of the whole set), tokens (the longest prefix, in order)."""
+    """doc_id, n_shingles, sig_a, sig_b (of the whole set), its bitmap, tokens (the longest prefix, in order)."""
     spark = texts.sparkSession
     slots = spark.sparkContext.broadcast(frequent_slots(texts, rule))
     shift = np.uint64(64 - SLOT_BITS)
@@ -98,7 +103,7 @@ def prefixes(texts: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = slots.value
         for b in batches:
-            sizes, a, c, tokens = [], [], [], []
+            sizes, a, c, tokens, maps = [], [], [], [], []
             for s in shingle_sets(b.column("text"), rule.n):
                 n = len(s)
                 take = min(n, n - int(rule.least_overlap(n)) + MAX_MATCHES)
@@ -108,12 +113,16 @@ def prefixes(texts: DataFrame, rule: Rule) -> DataFrame:
                 a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 c.append(int(mixed(s ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64).view(np.int64)))
                 tokens.append(first.view(np.int64))
+                odd = np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), arrays], ["doc_id", "n_shingles", "sig_a", "sig_b", "tokens"])
+            words = np.array(maps, np.int64).reshape(-1, MAP_WORDS)
+            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), *(pa.array(words[:, k]) for k in range(MAP_WORDS)), arrays]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sig_a", "sig_b", *MAP, "tokens"])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, tokens array<long>")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "n_shingles", "sig_a", "sig_b", *MAP]) + ", tokens array<long>")
 
 
 def postings(classes: DataFrame, rule: Rule) -> DataFrame:
@@ -129,7 +138,7 @@ def postings(classes: DataFrame, rule: Rule) -> DataFrame:
     rows = rows.select("token", "rep", "pos", F.greatest(F.lit(1), F.col("pos") - F.col("_base") + 2).cast("int").alias("level"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     rows = rows.join(shared, "token")
-    own = classes.select("rep", "n", F.size("tokens").alias("_prefix"))
+    own = classes.select("rep", "n", *MAP, F.size("tokens").alias("_prefix"))
     rows = written(rows.join(own, "rep"), "join-postings")
     per = rows.groupBy("rep").agg(F.max(F.ceil(F.col("n") * rule.percent / 100)).alias("_most"), F.max(F.col("n") - F.col("_prefix")).alias("_rest"), F.count("*").alias("_shared"), *[F.coalesce(F.sum(F.when(F.col("level") <= m, F.col("df") - 1)), F.lit(0)).alias(f"_w{m}") for m in range(1, MAX_MATCHES + 1)])
     costs = F.array(*[F.struct((F.col(f"_w{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in range(1, MAX_MATCHES + 1)])
@@ -139,24 +148,27 @@ def postings(classes: DataFrame, rule: Rule) -> DataFrame:
     return written(rows.join(per, "rep").select("token", *COLUMNS), "join-lists")
 
 
-COLUMNS = ("rep", "n", "common", "pos", "matches")
+COLUMNS = ("rep", "n", "common", "pos", "matches", *MAP)
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "comp")])
 
 
-def matched(pairs: DataFrame, rule: Rule) -> DataFrame:
+def matched(pairs: DataFrame, rule: Rule, most: int = MAX_MATCHES) -> DataFrame:
     """a, b: pairs of classes (columns x_* and y_*, a row per shared prefix shingle) that share enough of
-    them for the larger class of the two, and have enough shingles in common with any other for a link."""
+    them for the larger class of the two (``most`` is always enough), and have enough shingles in common
+    with any other for a link."""
     x_larger = F.struct("x_n", "x_rep") > F.struct("y_n", "y_rep")
     need = F.when(x_larger, F.col("x_matches")).otherwise(F.col("y_matches"))
     least = F.ceil((F.col("x_n") + F.col("y_n")) * rule.percent / (100 + rule.percent))
     able = F.least("x_common", "y_common", "x_n", "y_n") >= least
     within = (F.col("x_pos") < F.col("x_n") - least + need) & (F.col("y_pos") < F.col("y_n") - least + need)
-    rows = pairs.filter((F.col("x_comp") != F.col("y_comp")) & able & within)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in MAP])
+    alike = apart <= F.col("x_n") + F.col("y_n") - 2 * least
+    rows = pairs.filter((F.col("x_comp") != F.col("y_comp")) & able & within & alike)
     rows = rows.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).agg(F.count("*").alias("_k"), F.max(need).alias("_need"))
-    return rows.filter("_k >= _need").select("a", "b")
+    return rows.filter(F.col("_k") >= F.least("_need", F.lit(most))).select("a", "b")
 
 
 def star_pairs(rows: DataFrame, seed: int, rule: Rule) -> DataFrame:
@@ -166,7 +178,8 @@ def star_pairs(rows: DataFrame, seed: int, rule: Rule) -> DataFrame:
     order = F.struct(alone.alias("alone"), F.xxhash64("rep", F.lit(seed)).alias("h"), *COLUMNS, "comp")
     center = rows.groupBy("token").agg(F.min(order).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi")
     center = center.select("token", *[F.col(f"_c.{c}").alias(f"y_{c}") for c in (*COLUMNS, "comp")])
-    return matched(_side(rows, "x").join(center, "token"), rule)
+    # a pair shows only where one of it is the list's center, so two of its shared shingles must do here
+    return matched(_side(rows, "x").join(center, "token"), rule, 2)
 
 
 def rest_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -234,9 +247,9 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = written(prefixes(texts, rule), "join-prefixes")
     same: list[Column | str] = ["n_shingles", "sig_a", "sig_b"]
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("tokens", "doc_id").alias("tokens"))
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(m).alias(m) for m in MAP], F.min_by("tokens", "doc_id").alias("tokens"))
     classes = written(classes, "join-classes")
-    lists = postings(classes.select("rep", F.col("n_shingles").alias("n"), "tokens"), rule)
+    lists = postings(classes.select("rep", F.col("n_shingles").alias("n"), *MAP, "tokens"), rule)
     links, labels = None, None
     for step in [*range(STAR_ROUNDS), None]:
         labelled = _labelled(lists, labels)
