@@ -72,17 +72,21 @@ def frequent_slots(texts: DataFrame, rule: Rule) -> np.ndarray:
     """
     shift = np.uint64(64 - SLOT_BITS)
 
+    def add(counts: np.ndarray, held: list[np.ndarray]) -> None:
+        slots, n = np.unique(np.concatenate([*held, np.zeros(0, np.int32)]), return_counts=True)
+        counts[slots] += n.astype(np.int32)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int32)
         for b in batches:
-            held: list[np.ndarray] = []
+            held, size = [], 0
             for s in shingle_sets(b.column("text"), rule.n):
-                held.append(s)
-                if len(held) == 512:
-                    counts += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                    held = []
-            if held:
-                counts += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                held.append((s >> shift).astype(np.int32))
+                size += len(s)
+                if size > 1 << 18:
+                    add(counts, held)
+                    held, size = [], 0
+            add(counts, held)
         usual = counts.mean()
         slots = np.flatnonzero(counts >= max(3.0, usual + 4 * np.sqrt(usual)))
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], ["slot", "n"])

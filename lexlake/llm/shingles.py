@@ -80,8 +80,20 @@ def all_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Of each text, the sorted distinct hashes of its shingles of ``n`` words; fewer words are one shingle, no words none."""
-    words, ends = all_words(*texts_of(column))
+    """Of each text, the sorted distinct hashes of its shingles of ``n`` words; fewer words are one shingle, no words none.
+
+    A run of texts of about ``SEGMENT`` bytes is worked on at a time.
+    """
+    data, offsets = texts_of(column)
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SEGMENT, "right")) - 1)
+        yield from _sets(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], n)
+        begin = end
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    words, ends = all_words(data, offsets)
     whole = words[: max(0, len(words) - n + 1)].copy()
     for k in range(1, n):
         whole = mixed(whole * _ODD + words[k : k + len(whole)])
