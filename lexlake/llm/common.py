@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand texts to Python in batches of at most so many rows, for the rest of the session: whole texts are long
+    rows, and the default batch of 10 000 would hold them several times over in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a side of at most ``limit`` known rows; beyond, leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df

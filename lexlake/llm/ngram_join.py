@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import small, written
+from lexlake.llm.common import arrow_rows, small, written
 from lexlake.llm.shingles import mixed, shingle_sets
 
 MAX_MATCHES = 4
@@ -248,6 +248,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    arrow_rows(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = written(prefixes(texts, rule), "join-prefixes")
     same: list[Column | str] = ["n_shingles", "sig_a", "sig_b"]

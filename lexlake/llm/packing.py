@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.llm.common import arrow_rows
 from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
 
 WINDOW = 2048
@@ -143,6 +144,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, en
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
                 sequence += packed.sequence
 
+    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 

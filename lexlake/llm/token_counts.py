@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.llm.common import arrow_rows
 from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
 
 
@@ -28,6 +29,7 @@ def lengths(docs: DataFrame, vocabulary: str = BYTE_VOCAB) -> DataFrame:
             for doc_ids, texts in pieces(b):
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(enc.lengths(texts), pa.int64())], ["doc_id", "n_tokens"])
 
+    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_tokens long")
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import shared_dir, small, written
+from lexlake.llm.common import arrow_rows, shared_dir, small, written
 from lexlake.llm.encoding import WORD_VOCAB, encoder, pieces
 
 CHUNK_IDS = 1 << 16
@@ -126,6 +126,7 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCAB, end_id: int = END_ID, bits: bool = False, chunk_ids: int = CHUNK_IDS, file_chars: int = 32_000_000) -> None:
     """Write files under ``path`` whose names sort as their doc_ids do, of about ``file_chars`` characters of text each."""
+    arrow_rows(docs.sparkSession)
     chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the two last keys spread and order rows that share a doc_id

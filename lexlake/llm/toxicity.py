@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.llm.common import arrow_rows
+
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 24_000
 MAX_CANDIDATES, MAX_FEATURES = 1 << 17, 1 << 13
 LEAST_POSITIVES, LEAST_POSTERIOR = 5, 0.4
@@ -94,6 +96,7 @@ def fit_nnpu(pos: list[list[int]], unl: list[list[int]], n: int, prior: float, s
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    arrow_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -176,4 +179,5 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             good = [not own or bias + sum(weights[f] for f in sorted(features(t) & own)) < least for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(good, pa.bool_()))
 
+    arrow_rows(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
