@@ -1,13 +1,17 @@
 """Lexical retrieval packing: windows filled with documents that BM25 finds alike.
 
-Documents fall into shards: runs of rows of one input partition, bounded in rows and tokens. A
-document first fills windows of its own; what is left of it, its tail, joins the shard's pool. An
-inverted index over the tails' ids gives BM25 scores: each unused tail in turn is a seed, its best
-unused neighbours follow it into its window, and the last to fit is cut, its rest staying in the
+Texts are encoded once, into a table of ids; on the way each task counts its documents, their ids and
+the documents of every id, so all scores have the document frequencies and the mean length of the
+corpus. Documents are then laid in order of their content: each has two keys, the ids that two random
+orders, weighted by rarity, put first (equal with the chance of the texts' weighted Jaccard
+similarity), and ranges of (key, key, place in the input) are dealt to tasks, so that a key with many
+documents is split. Runs of neighbours in that order, bounded in rows and bytes, are shards.
+
+A document first fills windows of its own; what is left of it, its tail, joins the shard's pool. An
+inverted index over the shard's whole texts gives BM25 scores: each unused tail in turn is a seed, its
+best unused neighbours follow it into its window, and the last to fit is cut, its rest staying in the
 pool. What a shard's last window leaves open is cut into powers of two. So no position is padding.
-
-Shards need no shuffle, one batch of texts is in memory at a time, and a lost task is packed again
-from its own partition. Sequence ids hold the partition in their upper bits.
+Sequence ids hold the partition in their upper bits.
 
 Defined results: a null or empty text is its end id alone; repeated rows and null doc_ids are
 packed each; an empty table gives no pieces; other columns are ignored.
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import arrow_rows
+from lexlake.llm.common import arrow_rows, written
 from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
 
 WINDOW = 2048
@@ -33,18 +37,41 @@ SHARD_ROWS, SHARD_BYTES = 512, 4_000_000
 K1, B = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Number of documents, ids in all of them, and by id the number of documents that hold it."""
+
+    docs: int
+    tokens: int
+    df: np.ndarray
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, np.log((self.docs - df + 0.5) / (df + 0.5)))
+
+    def orders(self, keys: int = 2) -> np.ndarray:
+        """For each key the ranks of all ids in a random order where rare ones tend to be first; ids that one document
+        alone holds, or half of all, have the last rank."""
+        idf = self.idf(self.df)
+        drawn = np.random.default_rng(11).exponential(size=(keys, len(idf)))
+        drawn = np.divide(drawn, idf, out=np.full_like(drawn, np.inf), where=(idf > 0) & (self.df > 1))
+        ranks = drawn.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+        return np.where(np.isinf(drawn), len(idf), ranks)
+
+
 class Bm25:
-    """An inverted index over small documents given as ids; scores of all for one of them."""
+    """An inverted index over documents given as ids; scores of all for one of them. Document frequencies and the mean
+    length are those of ``corpus``, or else of the documents themselves."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         self.n = len(docs)
         terms = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
         keys, tf = np.unique(terms * self.n + np.repeat(np.arange(self.n), sizes), return_counts=True)
         self.terms, self.docs = keys // max(1, self.n), keys % max(1, self.n)
         self.vocabulary, self.first, self.df = np.unique(self.terms, return_index=True, return_counts=True)
-        idf = np.maximum(0.0, np.log((self.n - self.df + 0.5) / (self.df + 0.5)))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
+        of = corpus or Corpus(self.n, int(sizes.sum()), self.df)
+        idf = of.idf(corpus.df[self.vocabulary] if corpus else self.df)
+        norm = K1 * (1 - B + B * sizes / max(1.0, of.tokens / max(1, of.docs)))
         self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm[self.docs])
         self.useful = idf > 0
         by_doc = np.argsort(self.docs, kind="stable")
@@ -78,7 +105,7 @@ class Pieces:
         self.sequence += 1
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Pieces:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Pieces:
     """Pack one shard's documents, each with at least one id."""
     out, start, left = Pieces(), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
     for d, ids in enumerate(docs):
@@ -86,7 +113,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Pieces:
         for s in range(0, whole, window):
             out.fill([(d, s, window)])
         start[d], left[d] = whole, len(ids) - whole
-    index = Bm25([ids[s:] for ids, s in zip(docs, start.tolist(), strict=True)])
+    index = Bm25(docs, corpus)
     for seed in range(len(docs)):
         if not left[seed]:
             continue
@@ -125,28 +152,92 @@ def _in_powers(out: Pieces, pieces: list[tuple[int, int, int]], window: int) ->
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: A row is a document, or at the end of each task the counts of its documents.
+ENCODED = "doc_id long, place long, ids binary, docs long, tokens long, terms array<int>, df array<long>"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (binary: little-endian uint32), doc_tokens, sequence_id, offset."""
+def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID) -> DataFrame:
+    """Rows of ENCODED: every document's ids (little-endian uint32) and place in the input, and the counts."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    names = [f.split()[0] for f in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sequence = encoder(vocabulary), TaskContext.get().partitionId() << 32
+        enc, first = encoder(vocabulary), TaskContext.get().partitionId() << 32
+        df, n, tokens = np.zeros(1, np.int64), 0, 0
         for b in batches:
-            for doc_ids, texts in pieces(b, SHARD_BYTES, shard_rows):
+            for doc_ids, texts in pieces(b, SHARD_BYTES, SHARD_ROWS):
                 ids, starts = enc.encode(texts, end_id)
-                shard = np.split(ids, starts[1:-1])
-                packed = pack_shard(shard, window)
-                doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*packed.rows, strict=True))
-                octets = [shard[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-                sizes = np.diff(starts)[doc]
-                columns = [doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(octets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(seq + sequence), pa.array(offset)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-                sequence += packed.sequence
+                most = int(ids.max()) + 1
+                pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * most + ids.astype(np.int64))
+                found = np.bincount(pairs % most, minlength=len(df))
+                found[: len(df)] += df
+                df, tokens = found, tokens + len(ids)
+                octets = [x.astype("<u4").tobytes() for x in np.split(ids, starts[1:-1])]
+                places = pa.array(np.arange(n, n + len(texts)) + first)
+                n += len(texts)
+                yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(octets, pa.binary()), *(pa.nulls(len(texts), t) for t in types[3:])], names)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, n, tokens, terms, df[terms]], types, strict=True)], names)
 
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, ENCODED)
+
+
+def counted(table: DataFrame) -> Corpus:
+    """The corpus of an ``encoded`` table; the driver gets a row for each id of the vocabulary."""
+    counts = table.filter("docs IS NOT NULL")
+    n = counts.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    per = counts.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy("x.terms").agg(F.sum("x.df").alias("df")).collect()
+    df = np.zeros(1 + max((r["terms"] for r in per), default=0), np.int64)
+    df[[r["terms"] for r in per]] = [r["df"] for r in per]
+    return Corpus(n[0], n[1], df)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """doc_ids and ids of so many rows on end, however they come in batches; fewer where they are large."""
+    doc_ids, docs, held = [], [], 0
+    for b in batches:
+        for doc_id, octets in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+            ids = np.frombuffer(octets.as_buffer(), "<u4")
+            if docs and (len(docs) == rows or held + ids.nbytes > SHARD_BYTES):
+                yield doc_ids, docs
+                doc_ids, docs, held = [], [], 0
+            doc_ids.append(doc_id)
+            docs.append(ids)
+            held += ids.nbytes
+    if docs:
+        yield doc_ids, docs
+
+
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (binary: little-endian uint32), doc_tokens, sequence_id, offset."""
+    table = written(encoded(docs, vocabulary, end_id), "packing-ids")
+    corpus = counted(table)
+    orders = corpus.orders().astype(np.int32)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            octets = [x.as_buffer() for x in b.column("ids")]
+            ids = np.frombuffer(b"".join(octets), "<u4")
+            at = np.cumsum([0, *(x.size // 4 for x in octets)])[:-1]
+            keys = [pa.array(np.minimum.reduceat(o[ids], at) if len(at) else np.zeros(0, np.int32)) for o in orders]
+            yield pa.RecordBatch.from_arrays([*b.columns, *keys], ["doc_id", "place", "ids", "key", "next_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 32
+        for doc_ids, shard in _shards(batches, shard_rows):
+            packed = pack_shard(shard, window, corpus)
+            doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*packed.rows, strict=True))
+            octets = [shard[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            sizes = np.fromiter(map(len, shard), np.int64, len(shard))[doc]
+            columns = [pa.array(doc_ids, pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(octets, pa.binary()), pa.array(sizes), pa.array(seq + sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            sequence += packed.sequence
+
+    rows = table.filter("docs IS NULL").select("doc_id", "place", "ids").mapInArrow(keyed, "doc_id long, place long, ids binary, key int, next_key int")
+    order = ["key", "next_key", "place"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SCHEMA)
 
 
 def report(docs: DataFrame, **params) -> DataFrame:

@@ -135,3 +135,31 @@ def test_neighbours_are_the_bm25_best():
     for doc, _, _, seq, _ in packed.rows:
         by[seq].add(doc % 4)
     assert sum(len(x) == 1 for x in by.values()) >= len(by) - 5
+
+
+def test_neighbours_meet_across_the_input(spark):
+    rng = random.Random(9)
+    topics = [["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(20)] for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(topics[i % 40]) for _ in range(30)), "", 0) for i in range(320)]
+    got = packing.report(spark.createDataFrame(rows, SCHEMA).coalesce(4), window=256, shard_rows=16).collect()
+    windows = defaultdict(set)
+    for r in got:
+        windows[r["sequence_id"]].add(r["doc_id"])
+    shared = [{d % 40 for d in w} for w in windows.values() if len(w) > 1]
+    assert sum(len(x) < len(w) for x, w in zip(shared, (w for w in windows.values() if len(w) > 1), strict=True)) > len(shared) * 0.6
+
+
+def test_scores_use_the_corpus_and_whole_texts(spark):
+    words = [(i, "common rare" if i == 0 else "common other" if i < 5 else "plain", "", 0) for i in range(40)]
+    table = packing.encoded(spark.createDataFrame(words, SCHEMA).repartition(3), WORD_VOCAB).cache()
+    ref, corpus = direct(WORD_VOCAB), packing.counted(table)
+    own = [[*ref(t), 1] for _, t, *_ in words]
+    assert (corpus.docs, corpus.tokens) == (40, sum(map(len, own)))
+    assert {i: n for i, n in enumerate(corpus.df.tolist()) if n} == Counter(i for x in own for i in set(x))
+    rng = np.random.default_rng(1)
+    docs = [np.concatenate([rng.integers(100 * (k % 4), 100 * (k % 4) + 60, 64), [500 + k] * 2]).astype(np.uint32) for k in range(64)]
+    seqs = defaultdict(set)
+    for doc, start, *_, seq, _ in packing.pack_shard(docs, 32).rows:
+        if start >= 64:
+            seqs[seq].add(doc % 4)
+    assert all(len(x) == 1 for x in seqs.values())
