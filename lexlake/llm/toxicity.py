@@ -10,9 +10,10 @@ and, where the second term would fall below 0, climbs it instead of following it
 clean texts are not used, but for the prior: the toxic share of the labelled rows that may be learned from.
 
 The features come from the corpus: words and beginnings seen in enough positives, whose share of
-toxic texts by the prior is high, with counts over all unlabelled texts. Fitting then takes at
-most ``MAX_POSITIVES`` positives and ``MAX_UNLABELLED`` unlabelled texts, chosen by a hash of
-doc_id; the driver gets their numbered features only. Scoring is a pass over the texts.
+toxic texts by the prior is high, with counts over all positives and all unlabelled texts. Fitting
+then takes at most ``MAX_POSITIVES`` positives and ``MAX_UNLABELLED`` unlabelled texts, chosen by a hash
+of doc_id, and for every feature that too few of these positives hold more positives with it, each
+standing for itself alone; the driver gets their numbered features only. Scoring is a pass over the texts.
 
 Defined results: a null or empty text has the score of a text without features; repeated rows
 score alike; without positives every score is 0; empty tables give empty results; of several
@@ -28,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import arrow_rows
+from lexlake.llm.common import arrow_rows, small, written
 
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 24_000
 MAX_CANDIDATES, MAX_FEATURES = 1 << 17, 1 << 13
@@ -63,14 +64,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500)))) if self.weights else 0.0
 
 
-def fit_nnpu(pos: list[list[int]], unl: list[list[int]], n: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative PU risk's minimiser, by Adam on the whole sample. Texts are lists of feature numbers below ``n``."""
+def fit_nnpu(pos: list[list[int]], unl: list[list[int]], n: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of the non-negative PU risk's minimiser, by Adam on the whole sample. Texts are lists of feature numbers below ``n``;
+    ``share`` has each positive's share of the positive risk, the same for all if not given."""
 
     def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter((f for r in rows for f in r), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes), len(rows)
 
     (pf, pr, np_), (uf, ur, nu) = flat(pos), flat(unl)
+    share = np.full(np_, 1 / np_) if share is None else share
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -81,10 +84,10 @@ def fit_nnpu(pos: list[list[int]], unl: list[list[int]], n: int, prior: float, s
     for t in range(1, steps + 1):
         sp = np.bincount(pr, w[pf], np_) + w[n]
         su = np.bincount(ur, w[uf], nu) + w[n]
-        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-        down = -prior * sigmoid(sp) / np_, sigmoid(su) / nu
+        negative = np.logaddexp(0, su).mean() - prior * (share * np.logaddexp(0, sp)).sum()
+        down = -prior * sigmoid(sp) * share, sigmoid(su) / nu
         if negative >= 0:
-            gp, gu = -prior * sigmoid(-sp) / np_ + down[0], down[1]
+            gp, gu = -prior * sigmoid(-sp) * share + down[0], down[1]
         else:
             gp, gu = -down[0], -down[1]
         g = np.zeros_like(w)
@@ -123,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     prior = min(prior, 0.95)
 
     order = F.xxhash64("doc_id", F.lit(3))
-    positive = F.broadcast(known.filter("toxic = 1").orderBy(order, "doc_id").limit(max_positives).select("doc_id"))
+    positive = known.filter("toxic = 1").select("doc_id")
+    positive = small(positive, positive.count())
     learnable = _texts(docs).filter(~held_out(F.col("doc_id")))
     toxic = learnable.join(positive, "doc_id", "left_semi")
     n_pos = toxic.count()
@@ -143,8 +147,23 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "features"])
 
     sample = F.broadcast(learnable.select("doc_id").dropna().orderBy(order, "doc_id").limit(max_unlabelled).distinct())
-    rows = [[r["features"] for r in part.mapInArrow(numbered, "doc_id long, features array<int>").orderBy(order, "doc_id").collect()] for part in (toxic, learnable.join(sample, "doc_id", "left_semi"))]
-    weights, bias = fit_nnpu(*rows, len(chosen), prior)
+    of = lambda part: part.mapInArrow(numbered, "doc_id long, features array<int>")
+    pos, share = of(toxic), None
+    if n_pos > max_positives:
+        pos = written(pos, "toxic-features")
+    fit = pos.orderBy(order, "doc_id").limit(max_positives).collect()
+    if n_pos > max_positives:
+        held = Counter(f for r in fit for f in r["features"])
+        rare = docs.sparkSession.createDataFrame([(i,) for i in range(len(chosen)) if held[i] < LEAST_POSITIVES], "feature int")
+        first = Window.partitionBy("feature").orderBy(order, "doc_id")
+        more = pos.select("doc_id", F.explode("features").alias("feature")).join(F.broadcast(rare), "feature", "left_semi")
+        more = more.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= LEAST_POSITIVES).select("doc_id").distinct()
+        had = {r["doc_id"] for r in fit}
+        more = [r for r in pos.join(more, "doc_id", "left_semi").orderBy(order, "doc_id").collect() if r["doc_id"] not in had]
+        share = np.concatenate((np.full(len(fit), (n_pos - len(more)) / len(fit)), np.ones(len(more)))) / n_pos
+        fit += more
+    unlabelled = of(learnable.join(sample, "doc_id", "left_semi")).orderBy(order, "doc_id").collect()
+    weights, bias = fit_nnpu([r["features"] for r in fit], [r["features"] for r in unlabelled], len(chosen), prior, share=share)
     return Model({f: float(w) for f, w in zip(chosen, weights, strict=True) if abs(w) > 1e-4}, bias)
 
 

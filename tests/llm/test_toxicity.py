@@ -70,3 +70,17 @@ def test_risk_falls_and_stays_non_negative():
     unl = [[0, int(rng.integers(2, 20))] if rng.random() < 0.2 else [1, int(rng.integers(2, 20))] for _ in range(1000)]
     w, b = tox.fit_nnpu(pos, unl, 20, 0.2)
     assert w[0] + b > 1 and w[1] + b < -1
+
+
+def test_words_that_the_sample_lacks_are_learned(spark):
+    rng = random.Random(5)
+    rows, labels = corpus(rng, 1500)
+    toxic = [i for i, y, _ in labels if y and not zlib.crc32(str(i).encode()) % 3 == 1]
+    rare = [i for k, i in enumerate(toxic) if k % 10 == 0]
+    texts = {i: t for i, t, *_ in rows}
+    for i in rare:
+        texts[i] = " ".join(w for w in texts[i].split() if w.strip(",!").lower() not in BAD) + " dreckwort"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = tox.train(docs, spark.createDataFrame([x[:2] for x in labels], "doc_id long, toxic int"), max_positives=20)
+    assert 5 <= len(rare) and len(toxic) > 90 and model.weights["dreckwort"] > 1
+    assert model.score("some dreckwort here") > 0.5 > model.score("some word here")
