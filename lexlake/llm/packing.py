@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.llm.common import arrow_rows, written
-from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
+from lexlake.llm.encoding import _ENCODERS, BYTE_VOCAB, encoder, pieces
 
 WINDOW = 2048
 END_ID = 1
@@ -153,12 +153,12 @@ def _in_powers(out: Pieces, pieces: list[tuple[int, int, int]], window: int) ->
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: A row is a document, or at the end of each task the counts of its documents.
-ENCODED = "doc_id long, place long, ids binary, docs long, tokens long, terms array<int>, df array<long>"
+ENCODED = "doc_id long, place long, ids binary, wide boolean, docs long, tokens long, terms array<int>, df array<long>"
 
 
 def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID) -> DataFrame:
-    """Rows of ENCODED: every document's ids (little-endian uint32) and place in the input, and the counts."""
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    """Rows of ENCODED: every document's place in the input, ids (little-endian, of 4 bytes if wide, else of 2), and the counts."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = [f.split()[0] for f in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +172,13 @@ def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID)
                 found = np.bincount(pairs % most, minlength=len(df))
                 found[: len(df)] += df
                 df, tokens = found, tokens + len(ids)
-                octets = [x.astype("<u4").tobytes() for x in np.split(ids, starts[1:-1])]
+                wide = np.maximum.reduceat(ids, starts[:-1]) >= 1 << 16
+                octets = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(np.split(ids, starts[1:-1]), wide, strict=True)]
                 places = pa.array(np.arange(n, n + len(texts)) + first)
                 n += len(texts)
-                yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(octets, pa.binary()), *(pa.nulls(len(texts), t) for t in types[3:])], names)
+                yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(octets, pa.binary()), pa.array(wide), *(pa.nulls(len(texts), t) for t in types[4:])], names)
         terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, n, tokens, terms, df[terms]], types, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, None, n, tokens, terms, df[terms]], types, strict=True)], names)
 
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -194,18 +195,22 @@ def counted(table: DataFrame) -> Corpus:
     return Corpus(n[0], n[1], df)
 
 
+def _ids(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of every row of an ``encoded`` table's batch."""
+    return (np.frombuffer(x.as_buffer(), "<u4" if w else "<u2") for x, w in zip(b.column("ids"), b.column("wide").to_pylist(), strict=True))
+
+
 def _shards(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     """doc_ids and ids of so many rows on end, however they come in batches; fewer where they are large."""
     doc_ids, docs, held = [], [], 0
     for b in batches:
-        for doc_id, octets in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-            ids = np.frombuffer(octets.as_buffer(), "<u4")
-            if docs and (len(docs) == rows or held + ids.nbytes > SHARD_BYTES):
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), _ids(b), strict=True):
+            if docs and (len(docs) == rows or held + 4 * len(ids) > SHARD_BYTES):
                 yield doc_ids, docs
                 doc_ids, docs, held = [], [], 0
             doc_ids.append(doc_id)
             docs.append(ids)
-            held += ids.nbytes
+            held += 4 * len(ids)
     if docs:
         yield doc_ids, docs
 
@@ -217,27 +222,28 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, en
     orders = corpus.orders().astype(np.int32)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # the worker's, of the encoding before
         for b in batches:
-            octets = [x.as_buffer() for x in b.column("ids")]
-            ids = np.frombuffer(b"".join(octets), "<u4")
-            at = np.cumsum([0, *(x.size // 4 for x in octets)])[:-1]
+            found = [*_ids(b), np.zeros(0, np.uint16)]
+            ids, at = np.concatenate(found), np.cumsum([0, *map(len, found)])[:-2]
             keys = [pa.array(np.minimum.reduceat(o[ids], at) if len(at) else np.zeros(0, np.int32)) for o in orders]
-            yield pa.RecordBatch.from_arrays([*b.columns, *keys], ["doc_id", "place", "ids", "key", "next_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *keys], ["doc_id", "place", "ids", "wide", "key", "next_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()
         sequence = TaskContext.get().partitionId() << 32
         for doc_ids, shard in _shards(batches, shard_rows):
             packed = pack_shard(shard, window, corpus)
             doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*packed.rows, strict=True))
-            octets = [shard[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            octets = [shard[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
             sizes = np.fromiter(map(len, shard), np.int64, len(shard))[doc]
             columns = [pa.array(doc_ids, pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(octets, pa.binary()), pa.array(sizes), pa.array(seq + sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             sequence += packed.sequence
 
-    rows = table.filter("docs IS NULL").select("doc_id", "place", "ids").mapInArrow(keyed, "doc_id long, place long, ids binary, key int, next_key int")
+    rows = table.filter("docs IS NULL").select("doc_id", "place", "ids", "wide").mapInArrow(keyed, "doc_id long, place long, ids binary, wide boolean, key int, next_key int")
     order = ["key", "next_key", "place"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "wide").mapInArrow(run, SCHEMA)
 
 
 def report(docs: DataFrame, **params) -> DataFrame:
