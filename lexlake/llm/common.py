@@ -21,11 +21,13 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share, removed when the session's JVM ends.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) one is made in the local temporary folder.
+    The folder is the cluster's ``spark.checkpoint.dir``; only a local session without that setting, as in
+    tests, gets one in the local temporary folder.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexlake-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +39,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and is computed once."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._lexlake_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose last reader has run."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table._lexlake_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1024) -> None:

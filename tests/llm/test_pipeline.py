@@ -1,13 +1,11 @@
 """The pipeline against a brute-force version in plain Python, stage by stage."""
 
 import random
-import struct
 from collections import Counter
 
 import public_tokenizers
 import pytest
-import xxhash
-from test_mixing import brute_targets
+from test_mixing import brute_mix
 from test_ngram_join import brute
 from test_secret_scan import brute as brute_spans
 from test_toxicity import corpus
@@ -38,30 +36,15 @@ def tables(spark, tmp_path_factory):
     return where, rows
 
 
-def by_hash(doc_id, seed=17):
-    h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)
-    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=h)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def brute_mix(rows):
-    words = {r[0]: (r[1] or "").split() for r in rows}
-    sizes = {}
-    for r in rows:
-        sizes[r[3]] = sizes.get(r[3], 0) + len(words[r[0]])
-    buckets, out = max(1, len(rows) // 128), [r for r in rows if not words[r[0]]]
-    for source, target in brute_targets(sizes).items():
-        left = int(target + 1e-6)
-        own = sorted((r for r in rows if r[3] == source and words[r[0]]), key=lambda r: (by_hash(r[0]) % buckets, by_hash(r[0])))
-        while left > 0:
-            for r in own:
-                n = min(left, len(words[r[0]]))
-                if n == len(words[r[0]]):
-                    out.append(r)
-                elif n:
-                    t = " ".join(words[r[0]][:n])
-                    out.append((r[0], t, *r[2:4], len(t)))
-                left -= n
+def mixed_rows(rows):
+    order, _, _, words = brute_mix([(r[0], r[1], r[3]) for r in rows])
+    out = [r for i, r in enumerate(rows) if not words[i]]
+    for _, i, n in order:
+        r = rows[i]
+        if n < words[i]:
+            t = " ".join(r[1].split()[:n])
+            r = (r[0], t, *r[2:4], len(t))
+        out.append(r)
     return out
 
 
@@ -93,13 +76,12 @@ def test_stages_against_brute_force(spark, tables):
     docs = corpus_pipeline.redact_secrets(spark, docs, where).cache()
     assert key(docs.collect()) == key(clean) and sum("[SECRET]" in (r[1] or "") for r in clean) > 10
 
-    mixed = brute_mix(clean)
+    mixed = mixed_rows(clean)
     docs = corpus_pipeline.mix_sources(spark, docs, where).cache()
     assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
     assert key(docs.collect()) == key(mixed)
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     sizes = Counter()
     for i, text, *_ in mixed:
         sizes[i] += len(t.encode(text or "", add_special_tokens=False).ids) + 1
