@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import GAP, SPACES, let
+from lexlake.llm.common import GAP, SPACES, let, small
 
 K = 128
 SHINGLE_WORDS = 5
@@ -89,27 +89,44 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def _ranges(docs: DataFrame, n: int) -> tuple[list[int], list[int]]:
+    """Lower bounds of about ``n`` ranges of doc_id of about equal numbers of rows (a range's number is that of the
+    bounds not above it), and the numbers of ranges of one doc_id that many rows share."""
+    shares = F.lit(",".join(str(k / n) for k in range(1, n)) or "0.5")
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.split(shares, ",").cast("array<double>"), 8 * n).alias("q")).first()["q"]
+    often = sorted({a for a, b in zip(cuts or [], (cuts or [])[15:], strict=False) if a == b})
+    bounds = sorted({*(cuts or []), *(i + 1 for i in often if i < 2**63 - 1)})
+    return bounds, [bounds.index(i) + 1 for i in often]
+
+
 def with_next(docs: DataFrame, rows_per_bucket: int = 256, max_buckets: int = 65_536) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch: each row beside the next by ascending doc_id,
     the last beside the first (nulls last, ties by text hash; a lone row is its own next).
 
-    doc_ids are cut into at most ``max_buckets`` ranges of equal width. Each range gets a copy of
+    doc_ids are cut into at most ``max_buckets`` ranges by their approximate quantiles, so that outliers and gaps
+    don't matter; a doc_id that many rows share, and rows without one, are cut further by text hash. Each range gets a copy of
     the next range's first row, so a window over one range at a time sees all it needs and every
-    text moves once. The table of ranges, at most ``max_buckets`` rows, is broadcast.
+    text moves once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    buckets = max(1, min(max_buckets, span["n"] // rows_per_bucket))
-    width = (high - low) // buckets + 1
-    at = F.coalesce(F.floor(F.col("doc_id") / F.lit(float(width))), F.lit(2**62))
-    key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("h"))
-    rows = rows.withColumn("_at", at).withColumn("_key", key)
+    n = rows.count()
+    bounds, often = _ranges(rows, max(1, min(max_buckets, n // rows_per_bucket)))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    # binary search in the bounds, then 256 parts of the hash where one doc_id fills a range
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    found = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(found)
+    rows = rows.withColumn("_range", found).withColumn("_key", key)
+    crowded = F.col("_range").isin(*often, len(bounds) + 1)
+    at = F.col("_range").cast("long") * 256 + F.when(crowded, F.shiftright("_key.h", 56) + 128).otherwise(F.lit(0))
+    rows = rows.withColumn("_at", at).drop("_range")
     firsts = rows.groupBy("_at").agg(F.min("_key").alias("_first"))
     order = Window.orderBy("_at")
     last = F.max("_at").over(Window.partitionBy(F.lit(0)))
     firsts = firsts.select(F.col("_at").alias("_first_of"), F.col("_first"), F.coalesce(F.lag("_at").over(order), last).alias("_before"))
-    rows = rows.join(F.broadcast(firsts), (F.col("_at") == F.col("_first_of")) & (F.col("_key") == F.col("_first")), "left")
+    firsts = small(firsts, len(bounds) + 2 + 256 * (len(often) + 1))
+    rows = rows.join(firsts, (F.col("_at") == F.col("_first_of")) & (F.col("_key") == F.col("_first")), "left")
     rows = rows.withColumn("sketch", sketch(F.col("text")))
     own = F.struct(F.col("_at").alias("at"), F.lit(False).alias("copy"))
     copy = F.struct(F.col("_before").alias("at"), F.lit(True).alias("copy"))

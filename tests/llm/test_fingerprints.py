@@ -59,6 +59,20 @@ def test_edge_tables(spark):
     assert len(fp.edit_report(odd).collect()) == 5
 
 
+def test_order_holds_whatever_the_ids(spark):
+    """An outlier, one doc_id on a third of the rows, rows without doc_id: every row is beside the next."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(50), f"t{k}") for k in range(300)] + [(7, f"hot{k}") for k in range(300)] + [(None, f"none{k % 90}") for k in range(200)]
+    rows += [(2**63 - 1, "last"), (-(2**62), "first"), (10**15, "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    got = fp.with_next(docs.repartition(5), rows_per_bucket=8).select("doc_id", "text", "next_text").collect()
+    order = [tuple(r) for r in docs.orderBy(F.col("doc_id").asc_nulls_last(), "h").select("doc_id", "text").collect()]
+    want = [(*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    bounds, often = fp._ranges(docs, 100)
+    assert bounds == sorted(set(bounds)) and 7 in [bounds[k - 1] for k in often]
+
+
 def test_merged_equals_whole(spark):
     rng = random.Random(8)
     parts = [(rng.choice("hhhhk"), " ".join(str(rng.randrange(10**6)) for _ in range(rng.choice([0, 5, 300])))) for _ in range(60)]
