@@ -10,7 +10,7 @@ The index knows texts by a 64-bit hash: copies share one posting, and two texts
 worst cost a verification. Trigrams are of the lower-cased text, so rules may ignore case.
 
 Defined results: a null text is as an empty one and has no spans; repeated rows are scanned each;
-an empty table gives an empty result; extra columns stay as they are (one named spans is replaced).
+an empty table gives an empty result; extra columns stay as they are (``scan`` replaces one named spans).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import let, small, written
+from lexlake.llm.common import BROADCAST_ROWS, fresh, let, small, written
 
 Query = frozenset[frozenset[str]]
 
@@ -46,11 +46,14 @@ RULES: tuple[Rule, ...] = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # headers, body and closing line of a key; without a closing line the lines of base64 that follow
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\x20\x09\x0A\x0D]+[A-Za-z-]+: [^\x0A\x0D]*)*[^-]*-----END [A-Z ]*PRIVATE KEY-----|(?:[\x0A\x0D]+[A-Za-z0-9+/=]{16,})*)"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("prefixed", r"(gh[pousr]_|sk_live_|sk_test_|xox[abp]-)[A-Za-z0-9_-]{16,}"),
 )
 BASE = ("assign", "access", "hex")
+#: Tasks that the copies of one text are spread over where candidates are joined by shuffle.
+SALTS = 16
 
 
 def _exact(nodes, most: int = 64) -> tuple[set[str] | None, Query | None]:
@@ -211,24 +214,33 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``spans``: array<struct<start, place, end, kind>> by start, then the rules' order.
 
     The index and its candidates come from one pass over the texts; the candidates, few and
-    slim, are written to the shared folder. If they are few enough they are broadcast, else joined by shuffle.
+    slim, are written to the shared folder. If they are few enough they are broadcast, else joined by shuffle, each
+    text's rows (copies, empty ones) spread over ``SALTS`` tasks by their other columns.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     text = F.coalesce(F.col("text"), F.lit(""))
+    key, there, kinds, salt, its_salt = fresh(docs, "text_key", "candidate_key", "candidate_kinds", "text_salt", "candidate_salt")
     if queries:
         index = postings(docs, sorted({t for q in queries.values() for c in q for t in c}))
         picked = written(candidates(index, queries), "secret-candidates")
-        picked = small(picked.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")), picked.count())
-        docs = docs.withColumn("_text_key", content_key(F.col("text")))
-        docs = docs.join(picked, F.col("_text_key") == F.col("_key"), "left").drop("_text_key", "_key")
+        n = picked.count()
+        picked = picked.toDF(there, kinds)
+        docs = docs.withColumn(key, content_key(F.col("text")))
+        same = F.col(key) == F.col(there)
+        if n > BROADCAST_ROWS:
+            simple = [c for c, t in docs.dtypes if t in ("string", "bigint", "int", "double", "date", "timestamp") and c not in ("text", key)]
+            docs = docs.withColumn(salt, F.pmod(F.xxhash64(*simple), F.lit(SALTS)))
+            picked = picked.withColumn(its_salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            same &= F.col(salt) == F.col(its_salt)
+        docs = docs.join(small(picked, n), same, "left").drop(key, there, salt, its_salt)
     else:
-        docs = docs.withColumn("_kinds", F.lit(None).cast("array<string>"))
+        docs = docs.withColumn(kinds, F.lit(None).cast("array<string>"))
     empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
     found = []
     for place, rule in enumerate(rules):
         spans = rule_spans(text, rule, place)
-        found.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(empty) if rule.kind in queries else spans)
-    return docs.withColumn("spans", F.sort_array(F.concat(*found))).drop("_kinds")
+        found.append(F.when(F.array_contains(kinds, rule.kind), spans).otherwise(empty) if rule.kind in queries else spans)
+    return docs.withColumn("spans", F.sort_array(F.concat(*found))).drop(kinds)
 
 
 def joined(spans: Column) -> Column:
@@ -258,7 +270,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
     Columns and rows stay; a null text stays null.
     """
     columns = docs.columns
-    found = scan(docs, rules)
+    (users,) = fresh(docs, "own_spans")
+    found = scan(docs.withColumnRenamed("spans", users), rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -270,4 +283,4 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
     found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.char_length("text").cast("long"))
-    return found.select(*columns)
+    return found.select(*[F.col(users).alias(c) if c.lower() == "spans" else c for c in columns])

@@ -63,3 +63,23 @@ def test_redaction_and_empty(spark):
     got = sorted(ss.redacted(docs).collect(), key=lambda r: r["doc_id"])
     assert [tuple(r) for r in got] == [(1, "é [SECRET] x", 12, "s"), (2, None, None, None), (3, "clean", 5, "s"), (3, "clean", 5, "s")]
     assert ss.report(docs.limit(0)).collect() == []
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + ("Mi+/" * 16 + "\n") * 3 + "-----END RSA PRIVATE KEY-----"
+
+
+def test_keys_go_whole_and_columns_stay(spark):
+    rows = [(1, f"a {KEY} b", "mine", 1), (2, "x -----BEGIN PRIVATE KEY-----\n" + "Qk" * 30 + "\nand prose", None, 2), (3, "-----BEGIN PRIVATE KEY----- only - words", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, candidate_kinds long")
+    got = sorted(ss.redacted(docs).collect())
+    assert docs.columns == ss.redacted(docs).columns
+    assert [tuple(r) for r in got] == [(1, "a [SECRET] b", "mine", 1), (2, "x [SECRET]\nand prose", None, 2), (3, "[SECRET] only - words", "s", 3)]
+
+
+def test_many_candidates_are_joined_by_shuffle(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, sample(rng) if i % 3 else "token=abcdefgh", 1, "x", "y") for i in range(300)] + [(None, None, 1, None, None)] * 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, ss.report(docs).collect()), key=str)
+    monkeypatch.setattr(ss, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, ss.report(docs.repartition(3)).collect()), key=str) == want
