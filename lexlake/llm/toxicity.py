@@ -9,8 +9,9 @@ beginnings minimises the class-prior-corrected logistic risk
 and, where the second term would fall below 0, climbs it instead of following it there. Labels of
 clean texts are not used, but for the prior: the toxic share of the labelled rows that may be learned from.
 
-The features come from the corpus: words and beginnings seen in enough positives, whose share of
-toxic texts by the prior is high, with counts over all positives and all unlabelled texts. Fitting
+The features come from the corpus: words and beginnings that ``LEAST_POSITIVES`` positives or more hold and whose
+share of toxic texts by the prior is high. They are counted over all positives and all unlabelled texts and
+chosen where the counts lie, without a cap; the driver gets the chosen ones, the vocabulary of toxicity. Fitting
 then takes at most ``MAX_POSITIVES`` positives and ``MAX_UNLABELLED`` unlabelled texts, chosen by a hash
 of doc_id, and for every feature that too few of these positives hold more positives with it, each
 standing for itself alone; the driver gets their numbered features only. Scoring is a pass over the texts.
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 
 from lexlake.llm.common import arrow_rows, small, written
 
+#: Bounds of the fit's sample: labelled positives, and unlabelled texts.
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 24_000
-MAX_CANDIDATES, MAX_FEATURES = 1 << 17, 1 << 13
+#: A task hands its counts on when it holds so many features.
+HELD_FEATURES = 200_000
 LEAST_POSITIVES, LEAST_POSTERIOR = 5, 0.4
 THRESHOLD = 0.7
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -103,17 +106,30 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _counts(texts: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """feature and n, the number of texts with it; each task adds up its own first."""
+def counts(texts: DataFrame) -> DataFrame:
+    """feature, n and n_pos: texts with it, and positives (column positive) with it; the feature "" is in every text.
+    Each task adds up its own first."""
+
+    def batch(n: Counter[str], n_pos: Counter[str]) -> pa.RecordBatch:
+        names = list(n)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.values(), pa.int64()), pa.array([n_pos[f] for f in names], pa.int64())], ["feature", "n", "n_pos"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
+        n_pos: Counter[str] = Counter()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                n.update(features(t) if among is None else features(t) & among)
-        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
+            for t, positive in zip(b.column("text").to_pylist(), b.column("positive").to_pylist(), strict=True):
+                found = features(t) | {""}
+                n.update(found)
+                if positive:
+                    n_pos.update(found)
+            if len(n) > HELD_FEATURES:
+                yield batch(n, n_pos)
+                n, n_pos = Counter(), Counter()
+        yield batch(n, n_pos)
 
-    return texts.mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = texts.select("text", "positive").mapInArrow(count, "feature string, n long, n_pos long")
+    return found.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -130,15 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     positive = small(positive, positive.count())
     learnable = _texts(docs).filter(~held_out(F.col("doc_id")))
     toxic = learnable.join(positive, "doc_id", "left_semi")
-    n_pos = toxic.count()
-    if not n_pos:
+    marked = learnable.join(positive.withColumn("positive", F.lit(True)), "doc_id", "left")
+    table = written(counts(marked), "toxicity-counts")
+    whole = table.filter("feature = ''").first()
+    if not whole or not whole["n_pos"]:
         return Model({}, 0.0)
-    common = _counts(toxic.select("text"), None).filter(F.col("n") >= min(LEAST_POSITIVES, n_pos))
-    common = {r["feature"]: r["n"] for r in common.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()}
-    n_all = learnable.count()
-    overall = {r["feature"]: r["n"] for r in _counts(learnable.select("text"), frozenset(common)).collect()}
-    posterior = {f: prior * (n / n_pos) / ((overall.get(f, 0) + 1) / (n_all + 1)) for f, n in common.items()}
-    chosen = sorted((f for f, p in posterior.items() if p >= LEAST_POSTERIOR), key=lambda f: (-common[f] * min(1.0, posterior[f]), f))[:MAX_FEATURES]
+    n_all, n_pos = whole["n"], whole["n_pos"]
+    posterior = prior * (F.col("n_pos") / n_pos) / ((F.col("n") + 1) / F.lit(n_all + 1))
+    picked = table.filter((F.col("feature") != "") & (F.col("n_pos") >= min(LEAST_POSITIVES, n_pos)) & (posterior >= LEAST_POSTERIOR))
+    chosen = [r["feature"] for r in picked.select("feature").orderBy("feature").collect()]
     number = {f: i for i, f in enumerate(chosen)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

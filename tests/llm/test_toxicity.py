@@ -84,3 +84,50 @@ def test_words_that_the_sample_lacks_are_learned(spark):
     model = tox.train(docs, spark.createDataFrame([x[:2] for x in labels], "doc_id long, toxic int"), max_positives=20)
     assert 5 <= len(rare) and len(toxic) > 90 and model.weights["dreckwort"] > 1
     assert model.score("some dreckwort here") > 0.5 > model.score("some word here")
+
+
+def test_fit_equals_a_dense_version():
+    """The same risk on dense matrices, its gradient by differences, stepped as Adam does."""
+    rng = np.random.default_rng(3)
+    pos = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(30)]
+    unl = [sorted(set(rng.integers(0, 9, 3).tolist())) for _ in range(80)]
+    n, prior = 9, 0.3
+    x = np.zeros((2, 80, n + 1))
+    for k, rows in enumerate((pos, unl)):
+        for i, r in enumerate(rows):
+            x[k, i, [*r, n]] = 1
+    xp, xu = x[0, :30], x[1]
+
+    def negative(w):
+        return np.logaddexp(0, xu @ w).mean() - prior * np.logaddexp(0, xp @ w).mean()
+
+    def risk(w):
+        below = negative(w)
+        value = prior * np.logaddexp(0, -(xp @ w)).mean() + below if below >= 0 else -below
+        return value + 0.5e-4 * (w[:n] ** 2).sum()
+
+    w = np.zeros(n + 1)
+    w[n] = np.log(prior / (1 - prior))
+    m, v, climbs = np.zeros(n + 1), np.zeros(n + 1), 0
+    for t in range(1, 121):
+        climbs += negative(w) < 0
+        g = np.array([(risk(w + d) - risk(w - d)) / 2e-6 for d in np.eye(n + 1) * 1e-6])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    got, bias = tox.fit_nnpu(pos, unl, n, prior, steps=120, rate=0.2)
+    assert np.allclose(got, w[:n], atol=0.02) and abs(bias - w[n]) < 0.02 and climbs > 0
+
+
+def test_counts_and_choice_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(tox, "HELD_FEATURES", 50)
+    rows, labels = corpus(random.Random(3), 400)
+    toxic = {i for i, y, _ in labels if y}
+    docs = spark.createDataFrame([(i, t, i in toxic or None) for i, t, *_ in rows] + [(None, None, None)], "doc_id long, text string, positive boolean")
+    got = {r["feature"]: (r["n"], r["n_pos"]) for r in tox.counts(docs.repartition(3)).collect()}
+    want = {"": [1, 0]}
+    for i, t, *_ in rows:
+        for f in tox.features(t) | {""}:
+            n = want.setdefault(f, [0, 0])
+            n[0] += 1
+            n[1] += i in toxic
+    assert got == {f: tuple(n) for f, n in want.items()}
