@@ -1,11 +1,11 @@
 """Batch encoding with public tokenizers, for use inside tasks.
 
 White space ends a chunk in both vocabularies' pre-tokenizers, so a text's ids are those of its
-chunks. Each distinct chunk is encoded once by the tokenizers library and kept in a table of
-bounded size; texts then become table lookups. A chunk that is one word of common letters, with
-at most some marks after it, goes straight to the library's BPE model, others through its whole
-chain. Texts with characters on which Python and the tokenizer might differ about white space or
-normal forms are encoded whole.
+chunks. Arrow cuts texts into chunks and finds the distinct ones; each is encoded once by the
+tokenizers library and kept in a table of bounded size, which its task drops at its end. A chunk that is one
+word of common letters, with at most some marks after it, goes straight to the library's BPE model, others
+through its whole chain. Texts that hold the string of an added token, long runs of
+white space, or characters on which the cut and the tokenizer might differ, are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,32 +21,29 @@ import pyarrow.compute as pc
 #: Vocabulary file and the way a text of it falls into chunks.
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Controls, unusual spaces, marks that combine with the character before: such texts are encoded whole.
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u206f\u3000\ufeff]")
-#: A word of Latin letters, perhaps after a space, and marks.
-_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)").fullmatch
+_ODD = r"[\x00-\x08\x0e-\x1f\x7f-\x{a0}\x{300}-\x{36f}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+#: In byte-level vocabularies a run of two blanks before a word is two chunks; longer ones, or two at the end, are not cut so.
+_BLANKS = r"[\x09-\x0d ][\x09-\x0d ](?:[\x09-\x0d ]|\z)"
+#: A word of Latin letters, and the marks that may follow it.
+_LETTERS, _MARKS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+", ".,;:!?"
+#: Marks at the head of a part: a line's beginning, a text's beginning, a whole text. Byte-level parts without one begin after a space.
+_LINE, _FIRST, _WHOLE = "\x01", "\x02", "\x03"
 #: Byte-level vocabularies write each byte as a character: printable ones as themselves, others from U+0100 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip(_SELF, map(chr, _SELF), strict=True))
 _BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _BYTES)}
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
-class _Table(dict):
-    """Chunk to number; a new chunk gets the next number and waits for its ids."""
-
-    def __init__(self) -> None:
-        self.waiting: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.waiting.append(chunk)
-        return n
+def _lines(parts: pa.Array) -> str:
+    """Parts, a line each."""
+    return pc.binary_join(pa.LargeListArray.from_arrays([0, len(parts)], parts), pa.scalar("\n", parts.type))[0].as_py()
 
 
 class Encoder:
-    """Encodes lists of texts with one vocabulary file, given by its path or its public name."""
+    """Encodes arrays of texts with one vocabulary file, given by its path or its public name, as the library does
+    without special tokens around a text. ``special_as_text``: the strings of added tokens are ordinary text."""
 
-    def __init__(self, vocabulary: str, table_chars: int = 8_000_000):
+    def __init__(self, vocabulary: str, table_bytes: int = 8_000_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,71 +53,109 @@ class Encoder:
 
             path = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenizer.encode_special_tokens = special_as_text
         self.spaced = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__
-        self.cut = _SPACED.findall if self.spaced else str.split
-        self.table_chars = table_chars
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = "|".join([_ODD, *([_BLANKS] if self.spaced else []), *added])
+        self.model = self.tokenizer.model
+        self.line = self._ids(["\n"])[0][0] if self.spaced else None
+        self.table_bytes = table_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.held = _Table(), 0
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.known = 0
-
-    def _learn(self) -> None:
-        chunks, self.table.waiting = self.table.waiting, []
-        if not chunks:
-            return
-        found = [self._word(c) for c in chunks]
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        new, n = int(lengths.sum()), self.known + len(chunks)
-        if self.used + new > len(self.flat):
-            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + new))
-        if n > len(self.first):
-            self.first, self.length = (np.resize(x, max(2 * len(x), n)) for x in (self.first, self.length))
-        self.flat[self.used : self.used + new] = np.fromiter((i for ids in found for i in ids), np.uint32, new)
-        self.length[self.known : n] = lengths
-        self.first[self.known : n] = self.used + np.cumsum(lengths) - lengths
-        self.used, self.known = self.used + new, n
-        self.held += sum(map(len, chunks))
-
-    def _word(self, chunk: str) -> list[int] | None:
-        """Ids of a plain word and the marks after it, by the model alone; None: not so plain."""
-        if not (found := _PLAIN(chunk)):
-            return None
-        space, word, marks = found.groups()
-        word = space + word if self.spaced else word.lower()
-        same = self.table.get(word, self.known)
-        if same < self.known:
-            ids = self.flat[self.first[same] : self.first[same] + self.length[same]].tolist()
-        else:
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
-        return ids + [t.id for t in self.model.tokenize(marks)] if marks else ids
-
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunk numbers of all texts on end, and where each text's begin (one more at the end)."""
-        if self.held > self.table_chars:
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk(self, part: str) -> str:
+        """The text that a part stands for."""
+        mark = part[:1]
+        if mark == _LINE:
+            return "\n" + part[1:]
+        if mark in (_FIRST, _WHOLE) and mark:
+            return part[1:]
+        return " " + part if self.spaced else part
+
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Add new parts to the table; their numbers."""
+        plain = pc.match_substring_regex(parts, f"^[{_FIRST}{_LINE}]?{_LETTERS}[{_MARKS}]*$")
+        places = np.arange(len(parts)), plain.to_numpy(zero_copy_only=False)
+        rest = parts.filter(pc.invert(plain))
+        plain = parts.filter(plain)
+        numbers = np.empty(len(parts), np.int64)
+        for group, at, of in ((plain, places[0][places[1]], self._words), (rest, places[0][~places[1]], lambda x: self._ids([self._chunk(p) for p in x.to_pylist()]))):
+            if len(group):
+                found = of(group)
+                length = np.fromiter(map(len, found), np.int64, len(found))
+                numbers[at] = len(self.known) + np.arange(len(group))
+                self.known = pa.concat_arrays([self.known, group])
+                self.first = np.append(self.first, np.cumsum(length) - length + len(self.flat))
+                self.length = np.append(self.length, length)
+                self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum())))
+        return numbers
+
+    def _words(self, parts: pa.Array) -> list[list[int]]:
+        """Ids of plain words and the marks after them, by the library's model alone."""
+        bare = pc.ascii_rtrim(parts, characters=_MARKS)
+        unique = bare.dictionary_encode()
+        text = "\n" + _lines(unique.dictionary)
+        text = text.replace("\n", "\n ").replace(" " + _LINE, "").replace(" " + _FIRST, "") if self.spaced else text.lower()
+        model = self.model.tokenize
+        words = [[t.id for t in model(w)] for w in text[1:].encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])]
+        marks: dict[str, list[int]] = {}
+        out = []
+        for part, word, k in zip(_lines(parts).split("\n"), _lines(bare).split("\n"), unique.indices.to_numpy().tolist(), strict=True):
+            ids = words[k]
+            if len(part) > len(word):
+                after = part[len(word) :]
+                if after not in marks:
+                    marks[after] = [t.id for t in model(after)]
+                ids = ids + marks[after]
+            out.append([self.line, *ids] if part[0] == _LINE else ids)
+        return out
+
+    def _parts(self, texts: pa.Array) -> pa.ListArray:
+        if not self.spaced:
+            return pc.ascii_split_whitespace(texts)
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_FIRST, texts.type), texts, pa.scalar("", texts.type)), "\n", " " + _LINE)
+        return pc.split_pattern(marked, " ")
+
+    def numbers(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' parts on end, and where each text's begin (one more at the end)."""
+        if self.known.nbytes > self.table_bytes:
             self._clear()
-        look, found, ends = self.table.__getitem__, [], [0]
-        for t in texts:
-            if t:
-                found.extend(map(look, [t] if _ODD.search(t) else self.cut(t)))
-            ends.append(len(found))
-        self._learn()
-        return np.array(found, np.int64), np.array(ends, np.int64)
-
-    def lengths(self, texts: list[str | None]) -> np.ndarray:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        uncut = pc.match_substring_regex(texts, self.uncut)
+        whole = np.flatnonzero(uncut.to_numpy(zero_copy_only=False))
+        cut = self._parts(pc.if_else(uncut, pa.scalar("", texts.type), texts) if len(whole) else texts)
+        flat = cut.flatten().dictionary_encode()
+        keys = flat.dictionary
+        if len(whole):
+            keys = pc.unique(pa.concat_arrays([keys, pa.array([_WHOLE + texts[i].as_py() for i in whole.tolist()], keys.type)]))
+        number = pc.fill_null(pc.index_in(keys, self.known), -1).to_numpy().astype(np.int64)
+        new = number < 0
+        if new.any():
+            number[new] = self._learn(keys.filter(pa.array(new)))
+        found = number[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy())))
+        if len(whole):
+            each = np.split(found, ends[1:-1])
+            own = number[pc.index_in(pa.array([_WHOLE + texts[i].as_py() for i in whole.tolist()], keys.type), keys).to_numpy()]
+            for i, k in zip(whole.tolist(), own.tolist(), strict=True):
+                each[i] = np.array([k], np.int64)
+            found, ends = np.concatenate(each), np.cumsum([0, *map(len, each)])
+        return found, ends
+
+    def lengths(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         """Tokens of each text; null: 0."""
         numbers, ends = self.numbers(texts)
         total = np.concatenate(([0], np.cumsum(self.length[numbers])))
         return total[ends[1:]] - total[ends[:-1]]
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end (uint32), each with ``end_id`` after it, and where each text's begin."""
         numbers, ends = self.numbers(texts)
         lengths = self.length[numbers]
@@ -133,21 +168,11 @@ class Encoder:
         return ids, starts
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: str) -> Encoder:
-    """The worker's encoder for a vocabulary: kept between batches and tasks."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
-
-
-def pieces(batch: pa.RecordBatch, most: int = 1_000_000, rows: int = 4096) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def pieces(batch: pa.RecordBatch, most: int = 4_000_000, rows: int = 4096) -> Iterator[tuple[pa.Array, pa.Array]]:
     """doc_id and text of a batch in runs of about ``most`` bytes of text at most."""
     sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))))
     begin, n = 0, batch.num_rows
     while begin < n:
         end = min(n, begin + rows, max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1))
-        yield batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin).to_pylist()
+        yield batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin)
         begin = end

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexlake.llm.common import arrow_rows, written
-from lexlake.llm.encoding import _ENCODERS, BYTE_VOCAB, encoder, pieces
+from lexlake.llm.encoding import BYTE_VOCAB, Encoder, pieces
 
 WINDOW = 2048
 END_ID = 1
@@ -162,10 +162,10 @@ def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID)
     names = [f.split()[0] for f in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, first = encoder(vocabulary), TaskContext.get().partitionId() << 32
+        enc, first = Encoder(vocabulary), TaskContext.get().partitionId() << 32
         df, n, tokens = np.zeros(1, np.int64), 0, 0
         for b in batches:
-            for doc_ids, texts in pieces(b, SHARD_BYTES, SHARD_ROWS):
+            for doc_ids, texts in pieces(b):
                 ids, starts = enc.encode(texts, end_id)
                 most = int(ids.max()) + 1
                 pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * most + ids.astype(np.int64))
@@ -222,7 +222,6 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, en
     orders = corpus.orders().astype(np.int32)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # the worker's, of the encoding before
         for b in batches:
             found = [*_ids(b), np.zeros(0, np.uint16)]
             ids, at = np.concatenate(found), np.cumsum([0, *map(len, found)])[:-2]
@@ -230,7 +229,6 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, en
             yield pa.RecordBatch.from_arrays([*b.columns, *keys], ["doc_id", "place", "ids", "wide", "key", "next_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()
         sequence = TaskContext.get().partitionId() << 32
         for doc_ids, shard in _shards(batches, shard_rows):
             packed = pack_shard(shard, window, corpus)

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.llm.common import arrow_rows
-from lexlake.llm.encoding import BYTE_VOCAB, encoder, pieces
+from lexlake.llm.encoding import BYTE_VOCAB, Encoder, pieces
 
 
 def lengths(docs: DataFrame, vocabulary: str = BYTE_VOCAB) -> DataFrame:
     """doc_id and n_tokens of every whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = Encoder(vocabulary)
         for b in batches:
             for doc_ids, texts in pieces(b):
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(enc.lengths(texts), pa.int64())], ["doc_id", "n_tokens"])
@@ -73,23 +73,15 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """context, docs_over, cut_tokens for each limit, lengths in between included: all from one row of
-    ``sums`` per limit, the shortest length that is not below it."""
-    rows = sums.select("n_tokens", "docs_from", "tokens_from", "docs_all", "tokens_all")
-    each = []
-    for n in limits:
-        long = F.col("n_tokens") > n
-        each.append(
-            rows.agg(
-                F.lit(n).cast("long").alias("context"),
-                F.coalesce(F.max(F.when(long, F.col("docs_from"))), F.lit(0)).alias("docs_over"),
-                (F.coalesce(F.max("tokens_all"), F.lit(0)) - F.coalesce(F.max(F.when(long, F.col("tokens_from"))), F.lit(0)) + F.coalesce(F.max(F.when(long, F.col("docs_from"))), F.lit(0)) * n).alias("cut_tokens"),
-            )
-        )
-    out = each[0]
-    for x in each[1:]:
-        out = out.unionByName(x)
-    return out
+    """context, docs_over, cut_tokens for each limit, lengths in between included: in one pass, from the row of
+    ``sums`` per limit whose length is the shortest above it (none: no text is longer)."""
+    context = F.explode(F.array(*[F.lit(n).cast("long") for n in limits])).alias("context")
+    rows = sums.select(context, "n_tokens", "docs_from", "tokens_from", "tokens_all")
+    above = F.min(F.when(F.col("n_tokens") > F.col("context"), F.struct("n_tokens", "docs_from", "tokens_from"))).alias("_a")
+    found = rows.groupBy("context").agg(above, F.max("tokens_all").alias("_all"))
+    over = F.coalesce("_a.docs_from", F.lit(0))
+    found = found.select("context", over.alias("docs_over"), (F.col("_all") - F.coalesce("_a.tokens_from", F.lit(0)) + over * F.col("context")).alias("cut_tokens"))
+    return found
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlake.llm.common import arrow_rows, shared_dir, small, written
-from lexlake.llm.encoding import WORD_VOCAB, encoder, pieces
+from lexlake.llm.encoding import WORD_VOCAB, Encoder, pieces
 
 CHUNK_IDS = 1 << 16
 END_ID = 1
@@ -134,7 +134,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCAB,
     rows = rows.repartitionByRange(max(1, chars // file_chars), *keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, built = encoder(vocabulary), FileBuilder(chunk_ids, bits)
+        enc, built = Encoder(vocabulary), FileBuilder(chunk_ids, bits)
         for b in batches:
             for doc_ids, texts in pieces(b):
                 ids, starts = enc.encode(texts, end_id)
