@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.operators.folds import folded
+
 MAX_ITEMS, MAX_TOKENS, MAX_CHARS = 100, 18_000, 72_000
 
 
 def bins(items: DataFrame, id_: str, text: str, block: str, max_items: int = MAX_ITEMS, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """block, id, bin_no, n_tokens: each block's items, in order, in as few bins as a greedy pass needs.
+    """block, id, n_tokens, bin_no: each block's items, in order, in as few bins as a greedy pass needs.
 
     A bin is closed when the next item would exceed its items or tokens (a quarter of the
-    characters; texts are cut at ``MAX_CHARS``). The fold carries numbers only; blocks bound its size.
+    characters; texts are cut at ``MAX_CHARS``, a null one has none). Only numbers move, and a task holds one bin's totals.
     """
-    tokens = F.floor(F.least(F.char_length(text), F.lit(MAX_CHARS)) / 4).cast("int")
-    ordered = items.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(F.col(id_).alias("id"), tokens.alias("n")))).alias("_items"))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).alias("k"), F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
+    tokens = F.coalesce(F.floor(F.least(F.char_length(text), F.lit(MAX_CHARS)) / 4).cast("int"), F.lit(0))
 
-    def step(acc, x):
-        full = (acc["k"] > 0) & ((acc["k"] >= max_items) | (acc["t"] + x["n"] > max_tokens))
-        number = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        return F.struct(number.alias("bin"), F.when(full, 1).otherwise(acc["k"] + 1).alias("k"), F.when(full, x["n"]).otherwise(acc["t"] + x["n"]).alias("t"), F.concat(acc["out"], F.array(number)).alias("out"))
+    def step(state: tuple[int, int, int], n: int) -> tuple[tuple[int, int, int], tuple]:
+        number, k, t = state
+        if k and (k >= max_items or t + n > max_tokens):
+            number, k, t = number + 1, 0, 0
+        return (number, k + 1, t + n), (number,)
 
-    rows = ordered.select(block, F.explode(F.arrays_zip("_items", F.aggregate("_items", start, step, lambda a: a["out"]).alias("bin"))).alias("r"))
-    return rows.select(block, F.col("r._items.id").alias(id_), F.col("r.bin").alias("bin_no"), F.col("r._items.n").alias("n_tokens"))
+    rows = items.select(block, id_, tokens.alias("n_tokens"))
+    return folded(rows, block, [id_], "n_tokens", "bin_no int", (0, 0, 0), step)
 
 
 def numbered_chunks(items: DataFrame, by: list[str], order: str, size: int = 500) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.operators.folds import folded
+
 
 def listing(messages: DataFrame) -> DataFrame:
     """conv_id, n_messages, last_turn, preview: the first 100 characters of the first user message."""
@@ -57,16 +59,13 @@ def deleted(parent: DataFrame, child: DataFrame, gone: DataFrame, key: str, owne
 
 
 def budget(requests: DataFrame, balance: int, by: str, order: list[str], cost: str) -> DataFrame:
-    """``requests`` with accepted and left, for a balance per key: in order, a request is accepted if what is
-    left covers it, else rejected without effect. A fold over each key's ordered requests."""
-    entries = F.sort_array(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("_cost"))))
-    start = F.struct(F.lit(float(balance)).alias("left"), F.array().cast("array<struct<accepted:boolean,left:double>>").alias("out"))
-
-    def step(acc, x):
-        fits = x["_cost"] <= acc["left"]
-        left = F.when(fits, acc["left"] - x["_cost"]).otherwise(acc["left"])
-        return F.struct(left.alias("left"), F.concat(acc["out"], F.array(F.struct(fits.alias("accepted"), left.alias("left")))).alias("out"))
-
-    rows = requests.groupBy(by).agg(entries.alias("_e"))
-    rows = rows.select(by, F.explode(F.arrays_zip("_e", F.aggregate("_e", start, step, lambda a: a["out"]).alias("_o"))).alias("_r"))
-    return rows.select(by, *[F.col(f"_r._e.{c}").alias(c) for c in order], F.col("_r._e._cost").alias(cost), F.col("_r._o.accepted").alias("accepted"), F.col("_r._o.left").alias("left"))
+    """``requests`` (key, order, cost) with accepted and left, for a balance per key: in order, a request is accepted if
+    what is left covers it, else rejected without effect; a request without a cost is neither."""
+
+    def step(left: float, cost: float | None) -> tuple[float, tuple]:
+        fits = None if cost is None else cost <= left
+        left = left - cost if fits else left
+        return left, (fits, left)
+
+    rows = requests.select(by, *order, F.col(cost).cast("double").alias(cost))
+    return folded(rows, by, order, cost, "accepted boolean, left double", float(balance), step)

@@ -6,26 +6,30 @@ Parquet has no merge; all are functions of DataFrames to DataFrames.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.session import checkpointed
+
 
-def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Keyed merge: properties that the new row has replace, the others stay; new keys are added.
 
-    Of several new rows with a key the last by its values wins, as one row per key must remain.
+    Of several new rows with a key one counts, whole: the last by the column ``order`` (which is not stored), ties and
+    tables without an order by the rows' values.
     """
-    fresh = new.groupBy(key).agg(*[F.max(c).alias(c) for c in new.columns if c != key])
+    columns = [c for c in new.columns if c not in (key, order)]
+    row = F.struct(*columns)
+    last = F.max(F.struct(F.col(order).alias("_order"), row.alias("_row")) if order else F.struct(row.alias("_row")))
+    fresh = new.groupBy(key).agg(last.alias("_last")).select(key, "_last._row.*")
     both = old.alias("o").join(fresh.alias("n"), key, "full")
-    columns = list(dict.fromkeys([*old.columns, *new.columns]))
+    names = list(dict.fromkeys([*old.columns, *fresh.columns]))
 
     def merged(c: str):
         sides = [F.col(f"{side}.{c}") for side, df in (("n", fresh), ("o", old)) if c in df.columns]
         return F.coalesce(*sides).alias(c)
 
-    return both.select(key, *[merged(c) for c in columns if c != key])
+    return both.select(key, *[merged(c) for c in names if c != key])
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -44,19 +48,28 @@ def missing_ends(edges: DataFrame, nodes: DataFrame, end: str = "dst") -> DataFr
     return edges.join(nodes.select(F.col("id").alias(end)), end, "left_anti")
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 10, down: bool = True) -> DataFrame:
-    """root, id, depth of all that is reached from ``roots`` (column id) along edges, in at most ``max_depth`` steps."""
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10, down: bool = True) -> DataFrame:
+    """root, id, depth (the least) of every node that is reached from ``roots`` (column id) along edges, in at most
+    ``max_depth`` steps (None: however many). A root's own node is not reached again.
+
+    A frontier goes a step at a time; what was found before is taken out, so cycles end and nodes with several
+    paths count once. The loop stops when nothing is new.
+    """
     a, b = ("dst", "src") if down else ("src", "dst")
     step = edges.select(F.col(a).alias("_at"), F.col(b).alias("_next"))
-    level = roots.select(F.col("id").alias("root"), F.col("id"))
-    found = []
-    for depth in range(1, max_depth + 1):
-        level = level.join(step, F.col("id") == F.col("_at")).select("root", F.col("_next").alias("id"))
-        found.append(level.withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, found)
-
-
-def without_subtree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+    seen = roots.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0))
+    level, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        level = level.join(step, F.col("id") == F.col("_at")).select("root", F.col("_next").alias("id")).distinct()
+        level = checkpointed(level.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen.filter("depth > 0")
+
+
+def without_subtree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges left when ``roots`` and all that is part of them are deleted, with the edges that touch them."""
     inside = closure(edges, roots, max_depth).select("id").unionByName(roots.select("id")).distinct()
     nodes = nodes.join(inside, "id", "left_anti")

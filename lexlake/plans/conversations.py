@@ -43,10 +43,14 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.deleted(parents, messages, gone, "conv_id", "owner")[1].select("conv_id", "turn", "role")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN n > 6 THEN 'query_too_long' WHEN regexp_matches(q, '""" + fn.LEGAL_PATTERN + """') THEN 'contains_legal_terms'
-  WHEN regexp_matches(q, '""" + fn.CLARIFY_PATTERN + """') AND prev THEN 'matches_clarification_pattern' WHEN NOT prev THEN 'no_previous_context' ELSE 'default' END AS reason
-  FROM (SELECT conv_id, turn, lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS q, len(regexp_extract_all(text, '\\S+')) AS n,
-  coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prev FROM conversations) WHERE true""")
+@query(r"""WITH m AS (SELECT conv_id, turn, lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS q, len(regexp_extract_all(text, '\S+')) AS n,
+    coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prev FROM conversations),
+  w AS (SELECT *, list_filter(regexp_split_to_array(q, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS words, regexp_replace(q, '[^\p{L}\p{N}_]+', ' ', 'g') AS flat FROM m),
+  d AS (SELECT *, list_has_any(words, ['artículo', 'articulo', 'ley', 'leyes', 'normativa', 'normativo', 'código', 'codigo', 'reglamento', 'decreto', 'constitución', 'constitucion', 'sentencia', 'jurisprudencia',
+      'tribunal', 'juzgado', 'demanda', 'recurso', 'apelación', 'apelacion', 'casación', 'casacion', 'amparo', 'disposición', 'disposicion', 'transitoria', 'derogatoria'])
+    OR regexp_matches(q, '(^|[^\p{L}\p{N}_])art\.[\p{L}\p{N}_]') OR regexp_matches(q, '(^|[^\p{L}\p{N}_])(habeas corpus|orden ministerial)([^\p{L}\p{N}_]|$)') AS legal,
+    trim(q, '¿?') IN ('está seguro', 'estás seguro', 'esta seguro', 'estas seguro', 'seguro', 'de verdad', 'en serio', 'por qué', 'cómo') AND NOT q LIKE '%?_%' AND NOT q LIKE '%_¿%' OR q IN ('ok', 'vale', 'entiendo', 'ya veo') AS remark FROM w)
+  SELECT conv_id, turn, CASE WHEN n > 6 THEN 'query_too_long' WHEN legal THEN 'contains_legal_terms' WHEN remark AND prev THEN 'matches_clarification_pattern' WHEN NOT prev THEN 'no_previous_context' ELSE 'default' END AS reason FROM d""")
 def context_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each message needs a search, and why."""
     rows = fn.with_previous_answer(table(spark, sf_dir, "conversations"))
@@ -71,7 +75,10 @@ def question_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.join(key, "item_id", "left").select("item_id", "question", "quality", "toxic")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  r AS (SELECT user_id, event_id, value, k, value <= 2000.0 AS accepted, CASE WHEN value <= 2000.0 THEN 2000.0 - value ELSE 2000.0 END::DOUBLE AS balance FROM o WHERE k = 1
+    UNION ALL SELECT o.user_id, o.event_id, o.value, o.k, o.value <= r.balance, CASE WHEN o.value <= r.balance THEN r.balance - o.value ELSE r.balance END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+  SELECT user_id, event_id, round(value, 2) AS value, accepted, round(balance, 2) AS "left" FROM r""")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of every user against a balance of 2000, those that don't fit rejected without effect."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")

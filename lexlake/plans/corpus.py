@@ -141,7 +141,11 @@ def exam_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("number").cast("string").alias("number"), "question", F.col("options")["a"].alias("a"), F.col("options")["b"].alias("b"), "answer")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id // 500 AS block, doc_id, coalesce(least(length(text), 72000) // 4, 0)::INT AS n, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS i FROM documents),
+  r AS (SELECT block, doc_id, n, i, 0 AS bin_no, 1 AS k, n AS t FROM o WHERE i = 1
+    UNION ALL SELECT o.block, o.doc_id, o.n, o.i, r.bin_no + (r.k >= 100 OR r.t + o.n > 18000)::INT, CASE WHEN r.k >= 100 OR r.t + o.n > 18000 THEN 1 ELSE r.k + 1 END, CASE WHEN r.k >= 100 OR r.t + o.n > 18000 THEN o.n ELSE r.t + o.n END
+    FROM r JOIN o ON o.block = r.block AND o.i = r.i + 1)
+  SELECT block, doc_id, bin_no, n AS n_tokens FROM r""")
 def bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in calls of bounded size, in blocks of 500."""
     docs = table(spark, sf_dir, "documents").withColumn("block", F.expr("doc_id div 500"))

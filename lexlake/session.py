@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,3 +35,15 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lexlake-"), "lexlake"), "zip", root, "lexlake")
     context.addPyFile(archive)
     context._lexlake_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut, in the folder that ``spark.checkpoint.dir`` names; a local session without
+    that setting gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="lexlake-"))
+    return df.checkpoint(eager=True)

@@ -50,6 +50,21 @@ def test_metadata_merge_and_citation_keys(spark):
     assert {r["id"]: r["citations"] for r in cited.collect()} == {1: ["a", "b"], 2: []}
 
 
+def test_upsert_keeps_rows_whole(spark):
+    old = spark.createDataFrame([(1, 7, 7), (2, 5, None)], "id int, a int, b int")
+    new = spark.createDataFrame([(1, 1, 9, 1), (1, 2, 1, 0), (3, None, 4, 0)], "id int, a int, b int, at int")
+    assert sorted(map(tuple, graph.upsert_nodes(old, new.drop("at")).collect())) == [(1, 2, 1), (2, 5, None), (3, None, 4)]
+    assert sorted(map(tuple, graph.upsert_nodes(old, new, order="at").collect())) == [(1, 1, 9), (2, 5, None), (3, None, 4)]
+
+
+def test_closure_of_cycles_and_many_paths(spark):
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("d", "b"), ("d", "c"), ("c", "a"), ("e", "d"), *[(f"n{k + 1}", f"n{k}") for k in range(14)]], "src string, dst string")
+    roots = spark.createDataFrame([("a",), ("n0",)], "id string")
+    got = {(r["root"], r["id"]): r["depth"] for r in graph.closure(edges, roots, None).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"b": 1, "c": 1, "d": 2, "e": 3}
+    assert got["n0", "n14"] == 14 and graph.closure(edges, roots).filter("root = 'n0'").count() == 10
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("a", "1", None), ("b", None, "2")], "id string, x string, y string")
     new = spark.createDataFrame([("a", None, "9"), ("c", "3", None)], "id string, x string, y string")
@@ -143,7 +158,7 @@ def test_number_spellings():
     assert "vigesima primera" in numbers.ordinal(21) and "tercer" in numbers.ordinal(3)
 
 
-@pytest.mark.parametrize(("message", "previous", "reason"), [("¿Y el artículo 15?", True, "contains_legal_terms"), ("¿Estás seguro?", True, "matches_clarification_pattern"), ("¿Estás seguro?", False, "no_previous_context"), ("vale", True, "matches_clarification_pattern"), ("hola", True, "default"), ("una pregunta larga que pasa de seis palabras", True, "query_too_long")])
+@pytest.mark.parametrize(("message", "previous", "reason"), [("¿Y el artículo 15?", True, "contains_legal_terms"), ("¿Estás seguro?", True, "matches_clarification_pattern"), ("¿Estás seguro?", False, "no_previous_context"), ("vale", True, "matches_clarification_pattern"), ("hola", True, "default"), ("leyenda del lago", True, "default"), ("su ley", True, "contains_legal_terms"), ("art.5", True, "contains_legal_terms"), ("art. 5", True, "default"), ("apelaciónes", True, "default"), ("una pregunta larga que pasa de seis palabras", True, "query_too_long")])
 def test_decisions(spark, message, previous, reason):
     df = spark.createDataFrame([(message, previous)], "m string, p boolean")
     (r,) = df.select(text.context_decision(F.col("m"), F.col("p"))["reason"].alias("r")).collect()
