@@ -10,37 +10,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.numbers import with_article_number
+from lexlake.functions.text import fold
 from lexlake.operators.versions import closed
 
-_WORDS = r"(?:únic|primer|segund|tercer|cuart|quint|sext|séptim|octav|noven|décim|undécim|duodécim)[oa]?"
-#: kind, depth, wording: the first that fits is a line's kind.
-KINDS = [
-    ("disposicion", 0, r"^disposici[oó]n\s+\S"),
-    ("libro", 0, r"^libro\s+\S"),
-    ("anexo", 0, r"^anexo(\s+([ivx]+|\d+|[a-z]))?\.?$"),
-    ("titulo", 1, r"^t[ií]tulo\s+\S"),
-    ("capitulo", 2, r"^cap[ií]tulo\s+\S"),
-    ("seccion", 3, rf"^secci[oó]n\s+({_WORDS}|\d+\.?\s*ª)"),
-    ("subseccion", 4, rf"^subsecci[oó]n\s+({_WORDS}|\d+\.?\s*ª)"),
-    ("articulo_unico", 5, r"^(art[ií]culo|art\.)\s+único"),
-    ("articulo", 5, r"^(art[ií]culo|art\.)\s+(\d|[a-záéíóú]+(\s+y\s+[a-z]+)?\s*\.?\s*$)"),
-    ("apartado_numerico", 6, r"^\d+\.\s+\S"),
-    ("apartado_alfa", 8, r"^[a-z]\)\s+\S"),
-    ("ordinal_alfa", 8, r"^\d+\.+ª"),
-    ("ordinal_numerico", 10, r"^\d+\.+º"),
-]
+#: Headings, the wider first. A section is told from a sentence by the ordinal that follows the word.
 STRUCTURE = ["libro", "titulo", "capitulo", "seccion", "subseccion"]
 ARTICLES = ["articulo", "articulo_unico", "anexo", "disposicion"]
+#: Beginnings of ordinals as they stand in headings of sections.
+ORDINALS = ["unic", "primer", "segund", "tercer", "cuart", "quint", "sext", "septim", "octav", "noven", "decim", "undecim", "duodecim"]
+#: Marks of enumerations and the kinds of their lines: the deeper come later.
+ITEMS = {r"^\d+\.$": "apartado_numerico", r"^[a-z]\)$": "apartado_alfa", r"^\d+\.+ª": "ordinal_alfa", r"^\d+\.+º": "ordinal_numerico"}
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """``lines`` with node_type and level."""
-    low = F.lower(F.trim("text"))
-    kind, level = F.when(F.col("kind") == "table", "table"), F.when(F.col("kind") == "table", 9)
-    for name, depth, pattern in KINDS:
-        fits = F.rlike(low, F.lit(pattern))
-        kind, level = kind.when(fits, name), level.when(fits, depth)
-    return lines.withColumns({"node_type": kind.otherwise("parrafo"), "level": level.otherwise(9)})
+    """``lines`` with node_type, from a line's first word and what follows it."""
+    line = fold(F.lower(F.trim("text")))
+    head = F.regexp_extract(line, r"^(\S+)", 1)
+    word, rest = F.rtrim(head, F.lit(".")), F.btrim(F.regexp_replace(line, r"^\S+", ""))
+    follows = F.regexp_extract(rest, r"^(\S+)", 1)
+    ordinal = F.rlike(follows, F.lit("^(" + "|".join(ORDINALS) + ")[oa]?\\W*$|^[0-9]+[.]?ª")) | F.rlike(rest, F.lit("^[0-9]+[.]? ª"))
+    one_name = F.rlike(rest, F.lit("^([ivx]+|[0-9]+|[a-z])?[.]?$"))
+    spelled = F.rlike(rest, F.lit(r"^[a-z]+( y [a-z]+)? ?[.]?$"))
+    kind = F.when(F.col("kind") == "table", "table")
+    kind = kind.when(word.isin("disposicion", "libro", "titulo", "capitulo") & (head == word) & (rest != ""), word)
+    kind = kind.when(word.isin("seccion", "subseccion") & ordinal, word).when((word == "anexo") & one_name, word)
+    kind = kind.when(word.isin("articulo", "art") & follows.startswith("unico"), "articulo_unico")
+    kind = kind.when(word.isin("articulo", "art") & (F.rlike(follows, F.lit("^[0-9]")) | spelled), "articulo")
+    mark = F.regexp_extract(F.lower(F.trim("text")), r"^(\S+)", 1)
+    for pattern, name in ITEMS.items():
+        kind = kind.when(F.rlike(mark, F.lit(pattern)) & ((rest != "") | F.lit("$" not in pattern)), name)
+    return lines.withColumn("node_type", kind.otherwise("parrafo"))
 
 
 def structured(lines: DataFrame) -> DataFrame:
@@ -117,6 +116,57 @@ def graph_rows(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, part.unionByName(after).unionByName(before)
 
 
+def elements(lines: DataFrame) -> DataFrame:
+    """One row per line below an article: element_id, article_id, parent_id (the element it belongs to, or the article),
+    depth (1: directly below the article), line_no, node_type, text.
+
+    A numbered paragraph is above letters, letters above ordinals, and anything without a mark belongs to the last mark
+    before it. The line's nearest wider mark is found with windows over the lines of its article's version.
+    """
+    ranks = {name: 1 + min(k, 2) for k, name in enumerate(ITEMS.values())}
+    article = ["law_id", "block_id", "version_no"]
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("node_type")], F.lit(4))
+    rows = classified(lines).withColumn("_rank", rank)
+    named = F.max(F.col("node_type").isin(ARTICLES)).over(Window.partitionBy(*article))
+    rows = rows.withColumn("_named", named).filter(F.col("_named") & ~F.col("node_type").isin(ARTICLES))
+    before = Window.partitionBy(*article).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    for k in (1, 2, 3):
+        rows = rows.withColumn(f"_m{k}", F.last(F.when(F.col("_rank") == k, F.col("line_no")), ignorenulls=True).over(before))
+    # a mark of rank 2 counts only after the last of rank 1, and so on
+    two = F.when(F.col("_m2") > F.coalesce("_m1", F.lit(-1)), F.col("_m2"))
+    three = F.when(F.col("_m3") > F.greatest(F.coalesce("_m1", F.lit(-1)), F.coalesce(two, F.lit(-1))), F.col("_m3"))
+    chain = [F.when(F.col("_rank") > 1, F.col("_m1")), F.when(F.col("_rank") > 2, two), F.when(F.col("_rank") > 3, three)]
+    above = F.array_compact(F.array(*chain))
+    article_id = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
+    rows = rows.withColumns({"article_id": article_id, "_above": above})
+    parent = F.when(F.size("_above") == 0, F.col("article_id")).otherwise(F.concat_ws("#", "article_id", F.element_at("_above", -1).cast("string")))
+    return rows.select(F.concat_ws("#", "article_id", F.col("line_no").cast("string")).alias("element_id"), "article_id", parent.alias("parent_id"), (F.size("_above") + 1).alias("depth"), "line_no", "node_type", "text")
+
+
+def indented_text(parts: DataFrame, step: str = "  ") -> DataFrame:
+    """article_id and rich_text: the lines of ``elements`` in order, each indented by its depth."""
+    line = F.concat(F.repeat(F.lit(step), F.col("depth") - 1), F.col("text"))
+    rows = parts.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("_lines"))
+    return rows.select("article_id", F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("rich_text"))
+
+
+def element_changes(parts: DataFrame, versions: DataFrame) -> DataFrame:
+    """old_id, new_id, node_type, name, change: elements of each article version that the next one adds, removes or
+    alters. Elements are matched by kind and name (their mark, or for those without one their place among its kind)."""
+    order = Window.partitionBy("article_id", "parent_id", "node_type").orderBy("line_no")
+    marked = F.col("node_type").isin(*ITEMS.values())
+    mark = F.when(marked, F.regexp_extract("text", r"^(\S+)", 1)).otherwise(F.row_number().over(order).cast("string"))
+    rows = parts.withColumn("_mark", mark)
+    up = rows.select(F.col("element_id").alias("parent_id"), F.col("_mark").alias("_up"))
+    rows = rows.join(up, "parent_id", "left").select("article_id", "node_type", F.concat_ws(" ", "_up", "_mark").alias("name"), "text")
+    pairs = versions.filter("next_id IS NOT NULL").select(F.col("article_id").alias("old_id"), F.col("next_id").alias("new_id"))
+    old = pairs.join(rows.withColumnsRenamed({"article_id": "old_id", "text": "_old"}), "old_id")
+    new = pairs.join(rows.withColumnsRenamed({"article_id": "new_id", "text": "_new"}), "new_id")
+    both = old.join(new, ["old_id", "new_id", "node_type", "name"], "full")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "modified")
+    return both.withColumn("change", change).filter("change IS NOT NULL").select("old_id", "new_id", "node_type", "name", "change")
+
+
 def context_text(versions: DataFrame) -> DataFrame:
     """article_id and context: what an embedding of the article is made from."""
     from lexlake.functions.text import date_in_words

@@ -144,10 +144,34 @@ def test_law_reading(spark):
     assert missing == {("ley 999/2099", 1), ("stc", 1)}
 
 
+def test_line_kinds_and_elements(spark):
+    kinds = {"TÍTULO I": "titulo", "Capítulo II. Algo": "capitulo", "Sección primera": "seccion", "Sección 2.ª Otra": "seccion", "Sección que no": "parrafo", "Subsección única": "subseccion", "Libro III": "libro", "Título": "parrafo", "ANEXO": "anexo", "Anexo IV.": "anexo",
+             "Anexo que sigue": "parrafo", "Disposición adicional primera": "disposicion", "Artículo único. X": "articulo_unico", "Art. 5. Y": "articulo", "Artículo primero": "articulo", "Artículo treinta y uno.": "articulo", "Artículo que dice algo": "parrafo",
+             "1. Uno": "apartado_numerico", "a) Letra": "apartado_alfa", "1.ª Regla": "ordinal_alfa", "2.º Regla": "ordinal_numerico", "12 de mayo": "parrafo", "": "parrafo"}
+    df = spark.createDataFrame([(t,) for t in kinds], "text string").withColumn("kind", F.lit("p"))
+    assert {r["text"]: r["node_type"] for r in law_tree.classified(df).collect()} == kinds
+    first = ["Artículo 1. X", "Intro", "1. Uno", "a) A", "1.º I", "nota", "b) B", "2. Dos", "a) C"]
+    second = ["Artículo 1. X", "Intro nueva", "1. Uno", "b) B", "2. Dos", "a) C", "c) D"]
+    rows = [("L", 1, "b", v, k, t, "p") for v, lines in enumerate((first, second)) for k, t in enumerate(lines)]
+    parts = law_tree.elements(spark.createDataFrame(rows, "law_id string, block_no int, block_id string, version_no int, line_no int, text string, kind string")).cache()
+    got = {r["line_no"]: (r["parent_id"], r["depth"]) for r in parts.filter("article_id = 'L_b_0'").collect()}
+    assert got == {1: ("L_b_0", 1), 2: ("L_b_0", 1), 3: ("L_b_0#2", 2), 4: ("L_b_0#3", 3), 5: ("L_b_0#4", 4), 6: ("L_b_0#2", 2), 7: ("L_b_0", 1), 8: ("L_b_0#7", 2)}
+    text_ = {r["article_id"]: r["rich_text"] for r in law_tree.indented_text(parts).collect()}["L_b_0"]
+    assert text_.split("\n")[:5] == ["Intro", "1. Uno", "  a) A", "    1.º I", "      nota"]
+    chain = spark.createDataFrame([("L_b_0", "L_b_1"), ("L_b_1", None)], "article_id string, next_id string")
+    changes = {(r["name"], r["change"]) for r in law_tree.element_changes(parts, chain).collect()}
+    assert changes == {("1", "modified"), ("1. a)", "removed"), ("a) 1.º", "removed"), ("1.º 1", "removed"), ("2. c)", "added")}
+
+
 def test_citation_overlaps():
     kinds = [(r["kind"], r["article"]) for r in find_citations("art. 5 bis de la Ley 1/2000, art. 96.2 y Reglamento (CE) n.º 1221/2009; artículos 101 y 102 del TFUE")]
-    assert kinds == [("article_of_law", "5 bis"), ("internal", "96"), ("eu_legislation", None), ("eu_treaty", "101")]
+    assert kinds == [("article_of_law", "5 bis"), ("internal", "96"), ("eu_legislation", None), ("eu_treaty", "101"), ("eu_treaty", "102")]
     assert find_citations(None) == [] and find_citations("") == []
+    of = lambda t: [(r["kind"], r["article"], r["abbreviation"] or r["law_number"] or r["law_type"]) for r in find_citations(t)]
+    assert of("El art. 10 bis de la Ley y el artículo 149.1.23.ª CE.") == [("internal", "10 bis", None), ("abbreviated", "149", "CE")]
+    assert of("los artículos 96, 782 y 808 de la citada Ley Orgánica 6/1985") == [("article_of_law", n, "6/1985") for n in ("96", "782", "808")]
+    assert of("Real Decreto-ley 8/2010, Real Decreto Legislativo 1/2013 y Estatuto de Autonomía") == [("law", None, "8/2010"), ("law", None, "1/2013"), ("named_law", None, "estatuto de autonomía")]
+    assert of("el (CE) no, ni CECE, ni UNO_CE; SÍ CE") == [("abbreviated", None, "CE")]
     r = find_citations("artículos 5 a 12")[0]
     assert (r["article"], r["range_end"]) == ("5", "12")
 
