@@ -13,11 +13,13 @@ How it runs:
 3.  Star rounds: in every posting list one class is compared with all others, so a group of
     thousands of near copies costs a pair for each member, and verified links merge components.
 4.  The last round compares every pair that shares enough prefix shingles and is in different
-    components still: in each list, all rows with those outside the list's largest component.
+    components still: in each list, all rows with those outside the list's largest component, of sizes
+    that may link (bands of sizes are part of the join's key).
     No link between components is lost, and no list is squared within a component.
 5.  Before that, a bitmap of each set's parities (``MAP_WORDS`` times 64 bits, an element toggles one)
     drops pairs: two sets differ in at least as many elements as their bitmaps in bits.
-6.  Verification joins the whole sets of both classes and counts.
+6.  Verification counts on whole sets: one class of a pair sends its set to the other's, which is held once
+    for a run of its pairs, so a star's middle isn't copied for each of its members.
 
 Step order and shingle frequency only decide how much work is done, never what links. Tables
 between steps are in the shared folder.
@@ -32,13 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import arrow_rows, small, written
+from lexlake.llm.common import arrow_rows, forget, small, written
 from lexlake.llm.shingles import mixed, shingle_sets
 
 MAX_MATCHES = 4
@@ -50,6 +53,8 @@ MAP = [f"map_{k}" for k in range(MAP_WORDS)]
 VERIFY_COST = 16
 #: Single long keys are short: so many may be broadcast.
 BROADCAST_KEYS = 500_000
+#: Pairs of one class that are verified in one run.
+RUN_PAIRS = 256
 
 
 @dataclass(frozen=True)
@@ -63,6 +68,10 @@ class Rule:
         """Shingles that any partner shares with a set of this size."""
         return -(-size * self.percent // 100)
 
+    def band(self, size: Column) -> Column:
+        """A number of the size: sets that link are of the same band or of two next to each other."""
+        return F.floor(F.log(size) / -log(self.percent / 100) + 1e-9).cast("int") if 0 < self.percent < 100 else size.cast("int")
+
 
 def frequent_slots(texts: DataFrame, rule: Rule) -> np.ndarray:
     """Of each of 2**SLOT_BITS hash classes of shingles, the bit length of how many texts have it, 0 for ordinary ones.
@@ -149,14 +158,16 @@ def postings(classes: DataFrame, rule: Rule) -> DataFrame:
     best = F.array_min(F.filter(costs, lambda c: c["m"] <= F.col("_most")))
     per = per.filter(F.col("_rest") + F.col("_shared") >= F.col("_most"))
     per = per.select("rep", best["m"].alias("matches"), (F.col("_rest") + F.col("_shared")).alias("common"))
-    return written(rows.join(per, "rep").select("token", *COLUMNS), "join-lists")
+    lists = written(rows.join(per, "rep").select("token", *COLUMNS), "join-lists")
+    forget(rows)
+    return lists
 
 
 COLUMNS = ("rep", "n", "common", "pos", "matches", *MAP)
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "comp")])
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("token", *more, *[F.col(c).alias(f"{name}_{c}") for c in (*COLUMNS, "comp")])
 
 
 def matched(pairs: DataFrame, rule: Rule, most: int = MAX_MATCHES) -> DataFrame:
@@ -190,11 +201,12 @@ def rest_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     """Candidates of all classes in different components: of each list, rows outside its largest component with all rows."""
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("_n"))
     largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_largest"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
-    rows = rows.join(largest, "token")
-    outside = _side(rows.filter("comp <> _largest"), "x")
-    every = _side(rows, "y").join(largest, "token")
-    pairs = outside.join(every, "token").filter((F.col("y_comp") == F.col("_largest")) | (F.col("x_rep") < F.col("y_rep")))
-    return matched(pairs, rule)
+    rows = rows.join(largest, "token").withColumn("band", rule.band(F.col("n")))
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
+    outside = rows.filter("comp <> _largest")
+    outside = outside.select(near, *[c for c in outside.columns if c != "band"])
+    pairs = _side(outside, "x", "band").join(_side(rows, "y", "band", "_largest"), ["token", "band"])
+    return matched(pairs.filter((F.col("y_comp") == F.col("_largest")) | (F.col("x_rep") < F.col("y_rep"))), rule)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -207,19 +219,45 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(b.column("text"), rule.n)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["rep", "shingles"])
 
-    found = written(own.mapInArrow(sets, "rep long, shingles binary"), "join-sets").dropDuplicates(["rep", "shingles"])
+    found = written(own.mapInArrow(sets, "rep long, shingles binary"), "join-sets")
+    single = found.dropDuplicates(["rep", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    rows = pairs.join(found.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a").join(found.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b")
-    return written(rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "join-links")
+        run, held = None, []
+        for batch in batches:
+            pairs = []
+            for a, part, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), batch.column("shingles"), strict=True):
+                if run != (a, part):
+                    run, held = (a, part), []
+                y = np.frombuffer(s.as_buffer(), np.uint64)
+                if b is None:
+                    held.append(np.array(y))
+                    continue
+                for x in held:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= rule.percent * (len(x) + len(y) - both):
+                        pairs.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    # the middle of a star, if it has one, is the end that is held
+    ends = pairs.select(F.col("a").alias("_rep")).unionByName(pairs.select(F.col("b").alias("_rep")))
+    often = ends.groupBy("_rep").agg(F.count("*").alias("_n"))
+    often = small(written(often.filter(F.col("_n") > 1), "join-often"), needed.count(), BROADCAST_KEYS)
+    rows = pairs.join(often.toDF("a", "_na"), "a", "left").join(often.toDF("b", "_nb"), "b", "left")
+    held = F.when(F.coalesce("_nb", F.lit(1)) > F.coalesce("_na", F.lit(1)), F.col("b")).otherwise(F.col("a"))
+    rows = rows.select(held.alias("a"), F.when(held == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    runs = rows.groupBy("a").agg(F.expr(f"count(*) div {RUN_PAIRS} + 1").alias("_parts"))
+    runs = written(runs, "join-runs")
+    slim = small(runs, needed.count(), BROADCAST_KEYS)
+    sent = rows.join(slim, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"), "b")
+    sent = sent.join(single.withColumnRenamed("rep", "b"), "b").select("a", "part", "b", "shingles")
+    own = single.withColumnRenamed("rep", "a").join(slim, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    laid = own.unionByName(sent).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    good = laid.mapInArrow(check, "a long, b long").distinct()
+    links = written(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-links")
+    forget(needed, found, runs)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,6 +266,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both, "components-links")
     labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "rep"), "components")
+    held = labels
     while True:
         near = both.join(labels.withColumnsRenamed({"rep": "b", "comp": "_c"}), "b").groupBy("a").agg(F.min("_c").alias("_c"))
         near = near.select(F.col("a").alias("rep"), "_c")
@@ -235,8 +274,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("rep").alias("_to"), F.col("comp").alias("_end"))
         following = written(closer.join(jump, "_to").select("rep", "_old", F.least("_to", "_end").alias("comp")), "components")
         changed = following.filter("_old <> comp").limit(1).count()
-        labels = following.select("rep", "comp")
+        forget(held)
+        held, labels = following, following.select("rep", "comp")
         if not changed:
+            forget(both)
             return labels
 
 
@@ -262,9 +303,11 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
         if not pairs.limit(1).count():
             continue
         more = verified(pairs, texts, rule)
+        forget(pairs)
         if more.limit(1).count():
             links = more if links is None else links.unionByName(more)
             labels = components(links)
+    forget(lists)
     named = classes.select(*same, "rep")
     if labels is not None:
         named = named.join(labels, "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))

@@ -21,7 +21,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUES = (_RNG.integers(0, 2**64, 256, np.uint64) | np.uint64(1))[_LOWER]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(1 << 16, np.uint64(0xD1342543DE82EF95)), dtype=np.uint64)
-SEGMENT = 1 << 21
+#: Bytes worked on at a time: what numpy makes of them stays within a few megabytes.
+SEGMENT = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
