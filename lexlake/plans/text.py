@@ -124,3 +124,21 @@ def journal_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Official-journal references in parts."""
     rows = spark.createDataFrame([(x[0],) for x in JOURNALS], "ref string")
     return rows.withColumn("r", fn.journal_reference(F.col("ref"))).select("ref", "r.series", "r.number", "r.date")
+
+
+@query("""SELECT doc_id, trim(regexp_replace(lower(translate(str_split(text, '.')[-1], 'áàäâãåéèëêíìïîóòöôõúùüûñçýÿÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ', 'aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY')), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents""")
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows the last dot of every document, folded."""
+    return table(spark, sf_dir, "documents").select("doc_id", fn.normalized(F.col("text")).alias("folded"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)
+  SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^[abcd]([^\p{L}]|$)') THEN t[1] WHEN regexp_matches(t, '^\([abcd]\)') THEN t[2]
+    WHEN regexp_matches(t, 'respuesta[ \t\r\n\f\v]*:?[ \t\r\n\f\v]*[abcd]') THEN regexp_extract(t, 'respuesta[ \t\r\n\f\v]*:?[ \t\r\n\f\v]*([abcd])', 1)
+    WHEN regexp_matches(t, 'opción[ \t\r\n\f\v]*:?[ \t\r\n\f\v]*[abcd]') THEN regexp_extract(t, 'opción[ \t\r\n\f\v]*:?[ \t\r\n\f\v]*([abcd])', 1)
+    WHEN regexp_matches(t, '^la[ \t\r\n\f\v]+[abcd]([^\pL\pN_]|$)') THEN regexp_extract(t, '^la[ \t\r\n\f\v]+([abcd])', 1)
+    WHEN regexp_matches(t, '(^|[^\pL\pN_])[abcd][ \t\r\n\f\v]*$') THEN regexp_extract(t, '([abcd])[ \t\r\n\f\v]*$', 1)
+    ELSE nullif(regexp_extract(t, '[abcd]', 0), '') END AS letter FROM t""")
+def answer_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The option that every message names."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.answer_letter(F.col("text")).alias("letter"))
