@@ -40,4 +40,19 @@ a AS (SELECT doc_id, count(*) FILTER (x.k = 'assign') AS n_assign, count(*) FILT
   string_agg(x.k || ':' || x.s || ':' || x.e, ',' ORDER BY x.s, x.p) FILTER (x.p < {_PLACES}) AS base, string_agg(x.k || ':' || x.s || ':' || x.e, ',' ORDER BY x.s, x.p) AS spans FROM x GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
-SQL = {"op2_secrets": _SECRETS, "op5_warc": _WARC, "op6_ngram_join": _JOIN}
+_EDITS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS o FROM documents)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(o, length(t) // 2)) AS edited_sha256 FROM d"""
+
+_CHARS = """WITH h AS (SELECT coalesce(length(text), 0)::BIGINT AS n, count(*) AS docs FROM documents GROUP BY 1)
+SELECT n AS n_tokens, docs, (sum(docs) OVER up)::BIGINT AS docs_from, (sum(docs * n) OVER up)::BIGINT AS tokens_from, (sum(docs) OVER ())::BIGINT AS docs_all, (sum(docs * n) OVER ())::BIGINT AS tokens_all,
+  (sum(docs * n) OVER () - sum(docs * n) OVER up + n * sum(docs) OVER up)::BIGINT AS cut_tokens, (sum(docs) OVER () - sum(docs) OVER up)::DOUBLE / (sum(docs) OVER ())::DOUBLE AS share_below
+FROM h WINDOW up AS (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+# the level of all sources below their cap is the one at which targets add up: found by trying every source's own
+_TARGETS = """WITH s AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0))::BIGINT AS n FROM documents GROUP BY 1),
+w AS (SELECT source, n, 3.0 * n AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
+l AS (SELECT a.cap / a.w AS level, (SELECT sum(n) FROM s) AS total, sum(least(b.cap, b.w * a.cap / a.w)) AS at_level, sum(CASE WHEN b.cap / b.w <= a.cap / a.w THEN b.cap ELSE 0 END) AS capped, sum(CASE WHEN b.cap / b.w > a.cap / a.w THEN b.w ELSE 0 END) AS free FROM w a, w b GROUP BY a.source, a.cap, a.w),
+b AS (SELECT coalesce(max_by((total - capped) / free, level), (SELECT sum(n) FROM s) / (SELECT sum(w) FROM w)) AS level FROM l WHERE at_level <= total AND free > 0)
+SELECT source, n AS source_size, round(least(cap, w * level), 3) AS target FROM w, b"""
+
+SQL = {"op2_secrets": _SECRETS, "op5_warc": _WARC, "op6_ngram_join": _JOIN, "fingerprint_edits": _EDITS, "char_counts": _CHARS, "mix_targets": _TARGETS}

@@ -71,6 +71,22 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_taken(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1: the edited text's digest of every document, which SQL can express."""
+    return fingerprints.edit_report(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4: the histogram and its suffix sums with characters in place of tokens, which SQL can express."""
+    counted = _table(spark, sf_dir, "documents").select(F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    return token_counts.suffix_sums(token_counts.histogram(counted))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10: the sources with their sizes and targets, which SQL can express."""
+    return mixing.targets(mixing.sized(_table(spark, sf_dir, "documents"))).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to builder."""
     return {
@@ -84,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
+        "fingerprint_edits": fingerprint_edits,
+        "char_counts": char_counts,
+        "mix_targets": mix_targets,
     }
 
 
