@@ -1,9 +1,12 @@
-"""Vector measures on arrays of numbers, inside the JVM."""
+"""Vector measures on arrays of numbers, inside the JVM, and vectors as bytes, by Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def _fold(x: Column) -> Column:
@@ -36,3 +39,21 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 METRICS = {"cosine": cosine, "dot": dot, "euclidean": euclidean}
+
+
+def packed(vectors: Column) -> Column:
+    """A vector as little-endian 32-bit floats on end; null if null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return F.pandas_udf(run, BinaryType())(vectors)
+
+
+def unpacked(data: Column) -> Column:
+    """The vector of ``packed`` bytes; null if null or no whole number of floats."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+    return F.pandas_udf(run, ArrayType(FloatType()))(data)

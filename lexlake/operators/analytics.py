@@ -61,3 +61,16 @@ def merge_counters(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def merge_peaks(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Keyed upsert of maxima: the greater value stays."""
     return old.unionByName(new).groupBy(key).agg(F.max(value).alias(value))
+
+
+def unexpired(entries: DataFrame, ts: str, now: Column, hours: int = 24) -> DataFrame:
+    """Entries younger than ``hours`` at ``now``; those without a time have expired."""
+    return entries.filter(F.col(ts) > now - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def merged_stats(parts: list[DataFrame], by: list[str], counters: list[str]) -> DataFrame:
+    """Counters of several tables of partial sums as one: each key once, what a table lacks counts as 0."""
+    rows = parts[0].select(*by, *counters)
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select(*by, *counters))
+    return rows.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])

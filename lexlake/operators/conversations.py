@@ -69,3 +69,9 @@ def budget(requests: DataFrame, balance: int, by: str, order: list[str], cost: s
 
     rows = requests.select(by, *order, F.col(cost).cast("double").alias(cost))
     return folded(rows, by, order, cost, "accepted boolean, left double", float(balance), step)
+
+
+def owned_feedback(feedback: DataFrame, messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Feedback (conv_id, turn, user_id and more) on a message that exists, by the owner of its conversation alone."""
+    on_message = feedback.join(messages.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    return on_message.join(conversations.select("conv_id", "user_id"), ["conv_id", "user_id"], "left_semi")

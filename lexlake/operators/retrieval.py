@@ -111,3 +111,10 @@ def nearest_phrase(queries: DataFrame, phrases: DataFrame, least: float = 0.5) -
     rows = queries.join(F.broadcast(phrases), F.lit(True)).withColumn("similarity", cosine(F.col("vector"), F.col("phrase_vector")))
     best = F.max_by(F.struct("phrase", "category", "similarity"), F.struct("similarity", "phrase")).alias("b")
     return rows.groupBy("query_no").agg(best).select("query_no", "b.*").filter(F.col("similarity") >= least)
+
+
+def checked_requests(requests: DataFrame, most: int = 100) -> DataFrame:
+    """``requests`` with query trimmed and error: why a request is refused, null if it isn't. A null query is an empty
+    one; top_k must be from 1 to ``most``."""
+    rows = requests.withColumn("query", F.btrim(F.coalesce("query", F.lit("")), F.lit(" \t\r\n")))
+    return rows.withColumn("error", F.when(F.col("query") == "", "empty query").when(~F.coalesce(F.col("top_k").between(1, most), F.lit(False)), "top_k out of range"))

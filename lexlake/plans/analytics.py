@@ -157,3 +157,19 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, mean and conditional counts by type."""
     rows = table(spark, sf_dir, "events").groupBy("event_type")
     return rows.agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.sum("value"), 2).alias("total"), F.count_if(F.col("value") > 100).alias("large"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def unexpired_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries less than a day old at the last event's time, which is one row and goes into the plan as a literal."""
+    events = table(spark, sf_dir, "events")
+    (now,) = events.agg(F.max("ts")).first()
+    return ops.unexpired(events, "ts", F.lit(now).cast("timestamp_ntz")).select("event_id", "user_id")
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_large FROM events GROUP BY event_type")
+def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type, merged from the statistics of four parts of the events."""
+    counted = [F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_large")]
+    per = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 4).alias("worker"), "event_type").agg(*counted)
+    return ops.merged_stats([per.filter(F.col("worker") < 2), per.filter(F.col("worker") >= 2)], ["event_type"], ["n", "n_large"])

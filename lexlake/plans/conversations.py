@@ -83,3 +83,13 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of every user against a balance of 2000, those that don't fit rejected without effect."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     return ops.budget(rows, 2000, "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", F.round("value", 2).alias("value"), "accepted", F.round("left", 2).alias("left"))
+
+
+@query("""SELECT e.event_id, e.event_id % 100 AS conv_id, e.event_id % 3 AS turn FROM events e
+  WHERE (e.event_id % 100, e.event_id % 3) IN (SELECT (conv_id, turn) FROM conversations) AND e.user_id % 7 = (e.event_id % 100) % 7""")
+def owned_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback (events stand in) on messages that exist, by the owners of their conversations."""
+    marks = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 100).alias("conv_id"), (F.col("event_id") % 3).alias("turn"), (F.col("user_id") % 7).alias("user_id"))
+    messages = table(spark, sf_dir, "conversations")
+    owners = messages.select("conv_id", (F.col("conv_id") % 7).alias("user_id")).distinct()
+    return ops.owned_feedback(marks, messages, owners).select("event_id", "conv_id", "turn")

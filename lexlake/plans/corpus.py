@@ -1,4 +1,4 @@
-"""Queries that read legal text: small literal corpora, with the expected rows as SQL."""
+"""Queries that read legal text: a law, sentences, an answer or an exam made for every row of a table, with SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexlake.functions import citations as cites
 from lexlake.operators import batches, exams, law_tree, linking
 from lexlake.plans.catalogue import query, table
-from lexlake.plans.text import _fixture
+from lexlake.plans.text import _dealt, _fixture
 from lexlake.sources import laws
 
 LAW = """<response><data><metadatos><identificador>{id}</identificador><titulo>Ley de prueba</titulo></metadatos><texto>
@@ -22,8 +22,24 @@ LAW = """<response><data><metadatos><identificador>{id}</identificador><titulo>L
 </texto></data></response>"""
 
 
-def _law_lines(spark: SparkSession) -> DataFrame:
-    return laws.law_lines(spark.createDataFrame([("L1", LAW.format(id="L1"))], "law_id string, xml string"))
+def _law_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a law in XML for every order, in force first on the order's day."""
+    law_id = F.concat(F.lit("L"), F.col("o_orderkey").cast("string"))
+    xml = F.replace(F.lit(LAW), F.lit("{id}"), law_id)
+    xml = F.replace(xml, F.lit("20100102"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMMdd"))
+    return laws.law_lines(table(spark, sf_dir, "orders").select(law_id.alias("law_id"), xml.alias("xml")))
+
+
+def _of_orders(columns: str, rows: list[tuple], ids: list[str]) -> str:
+    """Rows expected of law L1, for the laws of all orders: their ids named, the first day the order's."""
+    names = [c.strip() for c in columns.split(",")]
+
+    def shown(c: str) -> str:
+        if c in ids:
+            return f"replace({c}, 'L1', 'L' || o_orderkey) AS {c}"
+        return f"CASE WHEN {c} = '2010-01-02' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE {c} END AS {c}" if c == "valid_from" else c
+
+    return f"SELECT {', '.join(map(shown, names))} FROM orders, ({_fixture(columns, rows)})"
 
 
 VERSIONS = [
@@ -35,33 +51,62 @@ VERSIONS = [
 ]
 
 
-def _versions(spark: SparkSession) -> DataFrame:
-    return law_tree.article_versions(law_tree.distributed(_law_lines(spark)))
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return law_tree.article_versions(law_tree.distributed(_law_lines(spark, sf_dir)))
 
 
-@query(_fixture("article_id, name, clean_number, path, valid_from, valid_to", VERSIONS))
+@query(_of_orders("article_id, name, clean_number, path, valid_from, valid_to", VERSIONS, ["article_id"]))
 def law_tree_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article versions of a law in XML: structure, numbers, validity; a compound block is shared out."""
+    """Article versions of every order's law in XML: structure, numbers, validity; a compound block is shared out."""
     day = lambda c: F.to_date(c).cast("string").alias(c)
-    return _versions(spark).select("article_id", "name", "clean_number", "path", day("valid_from"), day("valid_to"))
+    return _versions(spark, sf_dir).select("article_id", "name", "clean_number", "path", day("valid_from"), day("valid_to"))
 
 
-TEXTS = [("L1_a1_1", "1. Conforme al art. 2.\n\na) Se modifica todo."), ("L1_a2_0", "| Concepto | Euros |\n|---|---|\n| Item | - |"), ("L1_a2_1", "(Derogados)")]
+TABLE = "| Concepto | Euros |\n|---|---|\n| Item | - |"
+FIRST = "1. Según el artículo 14 de la Constitución Española y el artículo siguiente."
+TEXTS = [("L1_a1_0", FIRST), ("L1_a1_1", "1. Conforme al art. 2.\n\na) Se modifica todo."), ("L1_a1_2", "(Derogados)"), ("L1_a2_0", TABLE), ("L1_a2_1", "(Derogados)")]
 
 
-@query(_fixture("article_id, full_text", TEXTS).replace("\n", "' || chr(10) || '"))
+@query(_of_orders("article_id, full_text", TEXTS, ["article_id"]).replace("\n", "' || chr(10) || '"))
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full texts of some article versions, tables and inline marks included."""
-    return _versions(spark).filter(F.col("article_id").isin([a for a, _ in TEXTS])).select("article_id", "full_text")
+    """Full texts of the article versions of every order's law, tables and inline marks included."""
+    return _versions(spark, sf_dir).select("article_id", "full_text")
+
+
+RICH = [(a, t.replace("\n\na)", "\n  a)")) for a, t in TEXTS]
+
+
+@query(_of_orders("article_id, rich_text", RICH, ["article_id"]).replace("\n", "' || chr(10) || '"))
+def rich_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the article versions of every order's law, indented by depth."""
+    return law_tree.indented_text(law_tree.elements(law_tree.distributed(_law_lines(spark, sf_dir))))
+
+
+CHANGES = [
+    ("L1_a1_0", "L1_a1_1", "apartado_numerico", "1.", "modified"),
+    ("L1_a1_0", "L1_a1_1", "apartado_alfa", "1. a)", "added"),
+    ("L1_a1_1", "L1_a1_2", "apartado_numerico", "1.", "removed"),
+    ("L1_a1_1", "L1_a1_2", "apartado_alfa", "1. a)", "removed"),
+    ("L1_a1_1", "L1_a1_2", "parrafo", "1", "added"),
+    ("L1_a2_0", "L1_a2_1", "table", "1", "removed"),
+    ("L1_a2_0", "L1_a2_1", "parrafo", "1", "added"),
+]
+
+
+@query(_of_orders("old_id, new_id, node_type, name, change", CHANGES, ["old_id", "new_id"]))
+def element_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that the next version of an article adds, removes or alters, in every order's law."""
+    lines = law_tree.distributed(_law_lines(spark, sf_dir))
+    return law_tree.element_changes(law_tree.elements(lines), law_tree.article_versions(lines))
 
 
 EDGES = [("L1_a1_1", "NEXT_VERSION", "L1_a1_2"), ("L1_a1_0", "NEXT_VERSION", "L1_a1_1"), ("L1_a2_0", "NEXT_VERSION", "L1_a2_1"), ("L1_a1_0", "PART_OF", "L1"), ("L1_a1_1", "PART_OF", "L1"), ("L1_a1_2", "PART_OF", "L1"), ("L1_a2_0", "PART_OF", "L1"), ("L1_a2_1", "PART_OF", "L1")]
 
 
-@query(_fixture("src, rel, dst", EDGES))
+@query(_of_orders("src, rel, dst", EDGES, ["src", "dst"]))
 def law_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of a law's articles."""
-    return law_tree.graph_rows(_versions(spark))[1].filter("rel <> 'PREVIOUS_VERSION'")
+    """Edges of the articles of every order's law."""
+    return law_tree.graph_rows(_versions(spark, sf_dir))[1].filter("rel <> 'PREVIOUS_VERSION'")
 
 
 SENTENCES = [
@@ -102,43 +147,47 @@ REFS = [
 ]
 
 
-@query("SELECT CAST(sentence AS BIGINT) AS sentence, kind, article, law FROM (" + _fixture("sentence, kind, article, law", REFS) + ")")
+@query(f"SELECT o_orderkey, kind, article, law FROM orders JOIN ({_fixture('sentence, kind, article, law', REFS)}) ON o_orderkey % {len(SENTENCES)} = CAST(sentence AS BIGINT)")
 def refs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of some sentences with their kind, article and law."""
-    rows = spark.createDataFrame([(str(i), "S", "7", t) for i, t in enumerate(SENTENCES)], "article_id string, law_id string, clean_number string, full_text string")
-    found = linking.extracted(rows.withColumn("valid_from", F.lit(None).cast("timestamp_ntz")))
-    return found.select(F.col("article_id").cast("long").alias("sentence"), F.col("reference_type").alias("kind"), F.col("target_number").alias("article"), F.col("target_law").alias("law"))
+    """Citations of sentences, one for every order, with their kind, article and law."""
+    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [("S", "7", t) for t in SENTENCES], ["law_id", "clean_number", "full_text"])
+    rows = rows.withColumns({"article_id": F.col("o_orderkey").cast("string"), "valid_from": F.lit(None).cast("timestamp_ntz")}).drop("o_orderkey")
+    found = linking.extracted(rows)
+    return found.select(F.col("article_id").cast("long").alias("o_orderkey"), F.col("reference_type").alias("kind"), F.col("target_number").alias("article"), F.col("target_law").alias("law"))
 
 
 LINKS = [("L1_a1_0", "REFERS_TO", "BOE-A-1978-31229_14")]
 
 
-@query(_fixture("src, rel, dst", LINKS + [("L1_a1_1", "REFERS_TO", "L1"), ("L1_a1_0", "REFERS_TO", "L1")]))
+@query(_of_orders("src, rel, dst", LINKS + [("L1_a1_1", "REFERS_TO", "L1"), ("L1_a1_0", "REFERS_TO", "L1")], ["src", "dst"]))
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations as edges: to the article in force, or to the law where there is no such article."""
-    own = _versions(spark).select("article_id", "law_id", "clean_number", "full_text", "valid_from", "valid_to")
+    own = _versions(spark, sf_dir).select("article_id", "law_id", "clean_number", "full_text", "valid_from", "valid_to")
     other = spark.createDataFrame([("BOE-A-1978-31229_14", "BOE-A-1978-31229", "14", "")], "article_id string, law_id string, clean_number string, full_text string")
     both = own.unionByName(other.withColumns({"valid_from": F.lit("1978-12-29").cast("timestamp_ntz"), "valid_to": F.lit(None).cast("timestamp_ntz")}))
     return linking.linked(linking.extracted(own), both).select("src", "rel", "dst")
 
 
-@query(_fixture("key, place", [("art_1_ce", "1"), ("art_2_cc", "2")]))
+@query("SELECT o_orderkey AS id, 'art_' || o_orderkey || '_ce' AS key, '1' AS place FROM orders UNION ALL SELECT o_orderkey, 'art_x_cc', '2' FROM orders")
 def cite_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that an answer cites, known ones only, at their first use."""
-    answers = spark.createDataFrame([(1, "Como [cite:art_1_ce]dice[/cite], [cite:none] y [cite:art_2_cc] o [cite:art_1_ce].")], "id int, text string")
-    known = spark.createDataFrame([(1, "art_1_ce"), (1, "art_2_cc"), (1, "art_9")], "id int, key string")
-    return cites.cited_keys(answers, known, "id", "text").select("key", F.col("place").cast("string").alias("place"))
+    """Keys that an answer, one for every order, cites, known ones only, at their first use."""
+    key = F.concat(F.lit("art_"), F.col("id").cast("string"), F.lit("_ce"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    answers = orders.select("id", F.replace(F.lit("Como [cite:K]dice[/cite], [cite:none] y [cite:art_x_cc] o [cite:K]."), F.lit("K"), key).alias("text"))
+    known = orders.select("id", F.explode(F.array(key, F.lit("art_x_cc"), F.lit("art_y"))).alias("key"))
+    return cites.cited_keys(answers, known, "id", "text").select("id", "key", F.col("place").cast("string").alias("place"))
 
 
 EXAM = "EXAMEN\n1.- ¿Cuál es\nla capital?\na) Madrid\nb) Barcelona\nPágina 1 de 2\n2. - ¿Y el río?\na) Ebro que\nes largo\nb) Tajo\n1 A\n2. B\n"
 
 
-@query(_fixture("number, question, a, b, answer", [("1", "¿Cuál es la capital?", "Madrid", "Barcelona", "a"), ("2", "¿Y el río?", "Ebro que es largo", "Tajo", "b")]))
+@query("""SELECT o_orderkey::VARCHAR AS exam_id, number, question, replace(a, 'Madrid', 'Villa ' || o_orderkey) AS a, b, answer FROM orders, (""" + _fixture("number, question, a, b, answer", [("1", "¿Cuál es la capital?", "Madrid", "Barcelona", "a"), ("2", "¿Y el río?", "Ebro que es largo", "Tajo", "b")]) + ")")
 def exam_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions, options and key of an exam as text."""
-    exam = spark.createDataFrame([("e", EXAM)], "exam_id string, content string")
+    """Questions, options and key of an exam as text, one for every order."""
+    id_ = F.col("o_orderkey").cast("string")
+    exam = table(spark, sf_dir, "orders").select(id_.alias("exam_id"), F.replace(F.lit(EXAM), F.lit("Madrid"), F.concat(F.lit("Villa "), id_)).alias("content"))
     rows = exams.questions(exam).join(exams.answer_key(exam), ["exam_id", "number"], "left")
-    return rows.select(F.col("number").cast("string").alias("number"), "question", F.col("options")["a"].alias("a"), F.col("options")["b"].alias("b"), "answer")
+    return rows.select("exam_id", F.col("number").cast("string").alias("number"), "question", F.col("options")["a"].alias("a"), F.col("options")["b"].alias("b"), "answer")
 
 
 @query("""WITH RECURSIVE o AS (SELECT doc_id // 500 AS block, doc_id, coalesce(least(length(text), 72000) // 4, 0)::INT AS n, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS i FROM documents),

@@ -159,3 +159,20 @@ def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("_hit"))
     rows = table(spark, sf_dir, "documents").select("doc_id").join(cache, "doc_id", "left")
     return rows.groupBy(F.coalesce("_hit", F.lit(False)).alias("cached")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(13) || chr(10)) AS q, doc_id % 120 AS k FROM documents)
+  SELECT doc_id, length(q) AS n_chars, CASE WHEN q = '' THEN 'empty query' WHEN k < 1 OR k > 100 THEN 'top_k out of range' END AS error FROM r""")
+def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests: trimmed, and refused if empty or if they ask for too many or no hits."""
+    requests = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"), (F.col("doc_id") % 120).alias("top_k"))
+    return ops.checked_requests(requests).select("doc_id", F.char_length("query").cast("long").alias("n_chars"), "error")
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS n_bytes, true AS same FROM embeddings")
+def float_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector packed into bytes and unpacked."""
+    from lexlake.functions.vectors import packed, unpacked
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("_bytes", packed(F.col("embedding")))
+    return rows.select("vec_id", F.octet_length("_bytes").cast("long").alias("n_bytes"), (unpacked(F.col("_bytes")) == F.col("embedding")).alias("same"))

@@ -20,6 +20,18 @@ def _fixture(columns: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {values}) t({columns})"
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, key: str, cases: list[tuple], columns: list[str]) -> DataFrame:
+    """Every row of a table, by its key, with one of the cases in turn."""
+    few = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "_case long, " + ", ".join(f"{c} string" for c in columns))
+    return table(spark, sf_dir, name).select(key, (F.col(key) % len(cases)).cast("long").alias("_case")).join(F.broadcast(few), "_case").drop("_case")
+
+
+def _dealt_sql(name: str, key: str, columns: str, rows: list[tuple]) -> str:
+    """The rows expected of ``_dealt`` as a DuckDB query."""
+    values = ", ".join(f"({i}, " + ", ".join(map(_literal, r)) + ")" for i, r in enumerate(rows))
+    return f"SELECT {key}, {columns} FROM {name} JOIN (VALUES {values}) t(_case, {columns}) ON {key} % {len(rows)} = _case"
+
+
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of every whole text."""
@@ -59,71 +71,69 @@ def change_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBER_WORDS = [("cero", "0"), ("veintiún", "21"), ("dieciséis", "16"), ("treinta y uno", "31"), ("treinta_y_uno", "31"), ("cincuenta y uno", "51"), ("noventa y nueve", "99"), ("ciento veintisiete", "127"), ("quinientas", "500"), ("primero", "1"), ("Décima", "10"), ("duodécimo", "12"), ("vigésimo", "20"), ("vigésimo_primero", "21"), ("adicional", None)]
 
 
-@query(_fixture("word, number", NUMBER_WORDS))
+@query(_dealt_sql("orders", "o_orderkey", "word, number", NUMBER_WORDS))
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spanish number words as numbers, by a join with their spellings."""
-    rows = spark.createDataFrame([(w,) for w, _ in NUMBER_WORDS], "word string")
-    return numbers.with_number(rows, "word", "number").select("word", F.col("number").cast("string").alias("number"))
+    """Spanish number words, one for every order, as numbers, by a join with their spellings."""
+    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(w,) for w, _ in NUMBER_WORDS], ["word"])
+    return numbers.with_number(rows, "word", "number").select("o_orderkey", "word", F.col("number").cast("string").alias("number"))
 
 
 ARTICLES = [("Artículo 14", "14"), ("Art. 1 bis", "1 bis"), ("Artículo 154.1", "154"), ("Artículo 1.428", "1428"), ("art. 24", "24"), ("Artículo cincuenta y uno", "51"), ("Artículo primero", "1"), ("Disposición adicional primera", None), ("", None)]
 
 
-@query(_fixture("title, number", ARTICLES))
+@query(_dealt_sql("orders", "o_orderkey", "title, number", ARTICLES))
 def article_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of article titles, in digits or words."""
-    rows = spark.createDataFrame([(w,) for w, _ in ARTICLES], "title string")
-    return numbers.with_article_number(rows, "title", "number").select("title", "number")
+    """Numbers of article titles, one for every order, in digits or words."""
+    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(w,) for w, _ in ARTICLES], ["title"])
+    return numbers.with_article_number(rows, "title", "number").select("o_orderkey", "title", "number")
 
 
 CITES = [("Artículo 14", "Constitución Española", "BOE-1978-000014", "art_14_ce_000014"), ("Artículo 3.b", "Código Civil", "x7", "art_3_b_cc_x7"), ("", "Ley de la Jurisdicción", None, "ref_lj"), ("Artículo 2", "Real Decreto Legislativo del Estatuto de los Trabajadores", "", "art_2_rdle")]
 
 
-@query(_fixture("title, key", [(a + "|" + b, k) for a, b, _, k in CITES]))
+@query(_dealt_sql("orders", "o_orderkey", "title, key", [(a + "|" + b, k) for a, b, _, k in CITES]))
 def cite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation keys of articles."""
-    rows = spark.createDataFrame([x[:3] for x in CITES], "number string, title string, id string")
-    return rows.select(F.concat_ws("|", "number", "title").alias("title"), fn.cite_key(F.col("number"), F.col("title"), F.col("id")).alias("key"))
+    """Citation keys of articles, one for every order."""
+    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [x[:3] for x in CITES], ["number", "title", "id"])
+    return rows.select("o_orderkey", F.concat_ws("|", "number", "title").alias("title"), fn.cite_key(F.col("number"), F.col("title"), F.col("id")).alias("key"))
 
 
-CELEX = [("32016R0679", "REG"), ("32019L0771", "DIR"), ("32000D0001", "DEC"), ("32000H0001", "REC"), ("12016", "OTHER"), ("12016P/TXT", "OTHER")]
-
-
-@query(_fixture("celex, kind", CELEX))
+@query("""WITH c AS (SELECT o_orderkey, '3' || strftime(o_orderdate, '%Y') || substr('RLDHCS', 1 + (o_orderkey % 6)::INT, 1) || o_orderkey AS celex FROM orders)
+  SELECT o_orderkey, celex, CASE celex[6] WHEN 'R' THEN 'REG' WHEN 'L' THEN 'DIR' WHEN 'D' THEN 'DEC' WHEN 'H' THEN 'REC' WHEN 'C' THEN 'OPI' ELSE 'OTHER' END AS kind FROM c""")
 def celex_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of acts by their CELEX numbers."""
-    rows = spark.createDataFrame([(c,) for c, _ in CELEX], "celex string")
-    return rows.select("celex", fn.celex_type(F.col("celex")).alias("kind"))
+    """Kinds of acts by CELEX numbers made of every order's year and key."""
+    letter = F.substring(F.lit("RLDHCS"), (F.col("o_orderkey") % 6 + 1).cast("int"), F.lit(1))
+    celex = F.concat(F.lit("3"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy"), letter, F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", celex.alias("celex")).withColumn("kind", fn.celex_type(F.col("celex")))
 
 
 FOLDS = [("Constitución Española", "constitucion espanola"), ("a.b.Año/Ñu  3", "ano nu 3"), ("ÁÉÍÓÚ", "aeiou")]
 
 
-@query(_fixture("name, folded", FOLDS))
+@query(_dealt_sql("orders", "o_orderkey", "name, folded", FOLDS))
 def fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names without marks, dots and signs."""
-    rows = spark.createDataFrame([(c,) for c, _ in FOLDS], "name string")
-    return rows.select("name", fn.normalized(F.col("name")).alias("folded"))
+    """Names, one for every order, without marks, dots and signs."""
+    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(c,) for c, _ in FOLDS], ["name"])
+    return rows.select("o_orderkey", "name", fn.normalized(F.col("name")).alias("folded"))
 
 
 ANSWERS = [("b", "b"), ("a) porque", "a"), ("(c) es", "c"), ("Respuesta: d", "d"), ("La opción: b", "b"), ("es la c", "c"), ("no sé", None), ("", None), ("xyz b2", "b")]
 
 
-@query(_fixture("answer, letter", ANSWERS))
+@query(_dealt_sql("orders", "o_orderkey", "answer, letter", ANSWERS))
 def answer_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The option that an answer names."""
-    rows = spark.createDataFrame([(c,) for c, _ in ANSWERS], "answer string")
-    return rows.select("answer", fn.answer_letter(F.col("answer")).alias("letter"))
-
-
-JOURNALS = [("OJ L 123, 01/01/2024, p. 1", "L", "123", "01/01/2024"), ("OJ C 7", "C", "7", None), ("DO L 1", None, None, None)]
+    """The option that an answer, one for every order, names."""
+    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(c,) for c, _ in ANSWERS], ["answer"])
+    return rows.select("o_orderkey", "answer", fn.answer_letter(F.col("answer")).alias("letter"))
 
 
-@query(_fixture("ref, series, number, date", JOURNALS))
+@query("""SELECT o_orderkey, substr('LC', 1 + (o_orderkey % 2)::INT, 1) AS series, o_orderkey::VARCHAR AS number, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS date FROM orders""")
 def journal_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Official-journal references in parts."""
-    rows = spark.createDataFrame([(x[0],) for x in JOURNALS], "ref string")
-    return rows.withColumn("r", fn.journal_reference(F.col("ref"))).select("ref", "r.series", "r.number", "r.date")
+    """Official-journal references, one made of every order, in parts; every third has no date."""
+    series = F.substring(F.lit("LC"), (F.col("o_orderkey") % 2 + 1).cast("int"), F.lit(1))
+    day = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(", "), F.date_format(F.col("o_orderdate").cast("timestamp"), "dd/MM/yyyy"), F.lit(", p. 1"))).otherwise("")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("OJ "), series, F.lit(" "), F.col("o_orderkey").cast("string"), day).alias("ref"))
+    return rows.withColumn("r", fn.journal_reference(F.col("ref"))).select("o_orderkey", "r.series", "r.number", "r.date")
 
 
 @query("""SELECT doc_id, trim(regexp_replace(lower(translate(str_split(text, '.')[-1], 'áàäâãåéèëêíìïîóòöôõúùüûñçýÿÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ', 'aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY')), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents""")

@@ -231,3 +231,20 @@ def test_contexts(spark):
     decisions = spark.createDataFrame([(1, True), (2, False)], "k int, needs_search boolean")
     both = [spark.createDataFrame([(1, w), (2, w)], "k int, context string") for w in ("new", "old")]
     assert {r["k"]: r["context"] for r in ops.reused(decisions, *both, "k").collect()} == {1: "new", 2: "old"}
+
+
+def test_parts_of_acts_and_journals(spark):
+    kinds = {"32016R0679": "REG", "32019L0771": "DIR", "32000D0001": "DEC", "32000H0001": "REC", "12016": "OTHER", "12016P/TXT": "OTHER"}
+    rows = spark.createDataFrame([(c,) for c in kinds], "celex string")
+    assert {r["celex"]: r["kind"] for r in rows.select("celex", text.celex_type(F.col("celex")).alias("kind")).collect()} == kinds
+    parts = {"OJ L 123, 01/01/2024, p. 1": ("L", "123", "01/01/2024"), "OJ C 7": ("C", "7", None), "DO L 1": (None, None, None)}
+    rows = spark.createDataFrame([(c,) for c in parts], "ref string").withColumn("r", text.journal_reference(F.col("ref")))
+    assert {r[0]: tuple(r[1:]) for r in rows.select("ref", "r.series", "r.number", "r.date").collect()} == parts
+
+
+def test_vectors_as_bytes(spark):
+    from lexlake.functions.vectors import packed, unpacked
+
+    rows = spark.createDataFrame([(1, [1.5, -2.0]), (2, []), (3, None)], "k int, v array<float>").withColumn("b", packed(F.col("v")))
+    got = {r["k"]: (r["b"] and bytes(r["b"]), r["u"]) for r in rows.select("k", "b", unpacked(F.col("b")).alias("u")).collect()}
+    assert got == {1: (b"\x00\x00\xc0?\x00\x00\x00\xc0", [1.5, -2.0]), 2: (b"", []), 3: (None, None)}
