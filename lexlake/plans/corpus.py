@@ -22,24 +22,29 @@ LAW = """<response><data><metadatos><identificador>{id}</identificador><titulo>L
 </texto></data></response>"""
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, dealt to all cores: a few bytes of each become a text that Python reads."""
+    return table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+
+
 def _law_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a law in XML for every order, in force first on the order's day."""
-    law_id = F.concat(F.lit("L"), F.col("o_orderkey").cast("string"))
+    """Lines of a law in XML for every customer, in force first on a day by the customer's key."""
+    law_id = F.concat(F.lit("L"), F.col("c_custkey").cast("string"))
     xml = F.replace(F.lit(LAW), F.lit("{id}"), law_id)
-    xml = F.replace(xml, F.lit("20100102"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMMdd"))
-    return laws.law_lines(table(spark, sf_dir, "orders").select(law_id.alias("law_id"), xml.alias("xml")))
+    xml = F.replace(xml, F.lit("20100102"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")), "yyyyMMdd"))
+    return laws.law_lines(_customers(spark, sf_dir).select(law_id.alias("law_id"), xml.alias("xml")))
 
 
-def _of_orders(columns: str, rows: list[tuple], ids: list[str]) -> str:
-    """Rows expected of law L1, for the laws of all orders: their ids named, the first day the order's."""
+def _of_customers(columns: str, rows: list[tuple], ids: list[str]) -> str:
+    """Rows expected of law L1, for the laws of all customers: their ids named, the first day the customer's."""
     names = [c.strip() for c in columns.split(",")]
 
     def shown(c: str) -> str:
         if c in ids:
-            return f"replace({c}, 'L1', 'L' || o_orderkey) AS {c}"
-        return f"CASE WHEN {c} = '2010-01-02' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE {c} END AS {c}" if c == "valid_from" else c
+            return f"replace({c}, 'L1', 'L' || c_custkey) AS {c}"
+        return f"CASE WHEN {c} = '2010-01-02' THEN strftime(DATE '1990-01-01' + (c_custkey % 3000)::INT, '%Y-%m-%d') ELSE {c} END AS {c}" if c == "valid_from" else c
 
-    return f"SELECT {', '.join(map(shown, names))} FROM orders, ({_fixture(columns, rows)})"
+    return f"SELECT {', '.join(map(shown, names))} FROM customer, ({_fixture(columns, rows)})"
 
 
 VERSIONS = [
@@ -55,9 +60,9 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law_tree.article_versions(law_tree.distributed(_law_lines(spark, sf_dir)))
 
 
-@query(_of_orders("article_id, name, clean_number, path, valid_from, valid_to", VERSIONS, ["article_id"]))
+@query(_of_customers("article_id, name, clean_number, path, valid_from, valid_to", VERSIONS, ["article_id"]))
 def law_tree_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article versions of every order's law in XML: structure, numbers, validity; a compound block is shared out."""
+    """Article versions of every customer's law in XML: structure, numbers, validity; a compound block is shared out."""
     day = lambda c: F.to_date(c).cast("string").alias(c)
     return _versions(spark, sf_dir).select("article_id", "name", "clean_number", "path", day("valid_from"), day("valid_to"))
 
@@ -67,18 +72,18 @@ FIRST = "1. Según el artículo 14 de la Constitución Española y el artículo
 TEXTS = [("L1_a1_0", FIRST), ("L1_a1_1", "1. Conforme al art. 2.\n\na) Se modifica todo."), ("L1_a1_2", "(Derogados)"), ("L1_a2_0", TABLE), ("L1_a2_1", "(Derogados)")]
 
 
-@query(_of_orders("article_id, full_text", TEXTS, ["article_id"]).replace("\n", "' || chr(10) || '"))
+@query(_of_customers("article_id, full_text", TEXTS, ["article_id"]).replace("\n", "' || chr(10) || '"))
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full texts of the article versions of every order's law, tables and inline marks included."""
+    """Full texts of the article versions of every customer's law, tables and inline marks included."""
     return _versions(spark, sf_dir).select("article_id", "full_text")
 
 
 RICH = [(a, t.replace("\n\na)", "\n  a)")) for a, t in TEXTS]
 
 
-@query(_of_orders("article_id, rich_text", RICH, ["article_id"]).replace("\n", "' || chr(10) || '"))
+@query(_of_customers("article_id, rich_text", RICH, ["article_id"]).replace("\n", "' || chr(10) || '"))
 def rich_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the article versions of every order's law, indented by depth."""
+    """Texts of the article versions of every customer's law, indented by depth."""
     return law_tree.indented_text(law_tree.elements(law_tree.distributed(_law_lines(spark, sf_dir))))
 
 
@@ -93,9 +98,9 @@ CHANGES = [
 ]
 
 
-@query(_of_orders("old_id, new_id, node_type, name, change", CHANGES, ["old_id", "new_id"]))
+@query(_of_customers("old_id, new_id, node_type, name, change", CHANGES, ["old_id", "new_id"]))
 def element_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements that the next version of an article adds, removes or alters, in every order's law."""
+    """Elements that the next version of an article adds, removes or alters, in every customer's law."""
     lines = law_tree.distributed(_law_lines(spark, sf_dir))
     return law_tree.element_changes(law_tree.elements(lines), law_tree.article_versions(lines))
 
@@ -103,9 +108,9 @@ def element_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = [("L1_a1_1", "NEXT_VERSION", "L1_a1_2"), ("L1_a1_0", "NEXT_VERSION", "L1_a1_1"), ("L1_a2_0", "NEXT_VERSION", "L1_a2_1"), ("L1_a1_0", "PART_OF", "L1"), ("L1_a1_1", "PART_OF", "L1"), ("L1_a1_2", "PART_OF", "L1"), ("L1_a2_0", "PART_OF", "L1"), ("L1_a2_1", "PART_OF", "L1")]
 
 
-@query(_of_orders("src, rel, dst", EDGES, ["src", "dst"]))
+@query(_of_customers("src, rel, dst", EDGES, ["src", "dst"]))
 def law_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the articles of every order's law."""
+    """Edges of the articles of every customer's law."""
     return law_tree.graph_rows(_versions(spark, sf_dir))[1].filter("rel <> 'PREVIOUS_VERSION'")
 
 
@@ -147,19 +152,19 @@ REFS = [
 ]
 
 
-@query(f"SELECT o_orderkey, kind, article, law FROM orders JOIN ({_fixture('sentence, kind, article, law', REFS)}) ON o_orderkey % {len(SENTENCES)} = CAST(sentence AS BIGINT)")
+@query(f"SELECT c_custkey, kind, article, law FROM customer JOIN ({_fixture('sentence, kind, article, law', REFS)}) ON c_custkey % {len(SENTENCES)} = CAST(sentence AS BIGINT)")
 def refs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of sentences, one for every order, with their kind, article and law."""
-    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [("S", "7", t) for t in SENTENCES], ["law_id", "clean_number", "full_text"])
-    rows = rows.withColumns({"article_id": F.col("o_orderkey").cast("string"), "valid_from": F.lit(None).cast("timestamp_ntz")}).drop("o_orderkey")
-    found = linking.extracted(rows)
-    return found.select(F.col("article_id").cast("long").alias("o_orderkey"), F.col("reference_type").alias("kind"), F.col("target_number").alias("article"), F.col("target_law").alias("law"))
+    """Citations of sentences, one for every customer, with their kind, article and law."""
+    rows = _dealt(spark, sf_dir, "customer", "c_custkey", [("S", "7", t) for t in SENTENCES], ["law_id", "clean_number", "full_text"])
+    rows = rows.withColumns({"article_id": F.col("c_custkey").cast("string"), "valid_from": F.lit(None).cast("timestamp_ntz")}).drop("c_custkey")
+    found = linking.extracted(rows.repartition(spark.sparkContext.defaultParallelism, "article_id"))
+    return found.select(F.col("article_id").cast("long").alias("c_custkey"), F.col("reference_type").alias("kind"), F.col("target_number").alias("article"), F.col("target_law").alias("law"))
 
 
 LINKS = [("L1_a1_0", "REFERS_TO", "BOE-A-1978-31229_14")]
 
 
-@query(_of_orders("src, rel, dst", LINKS + [("L1_a1_1", "REFERS_TO", "L1"), ("L1_a1_0", "REFERS_TO", "L1")], ["src", "dst"]))
+@query(_of_customers("src, rel, dst", LINKS + [("L1_a1_1", "REFERS_TO", "L1"), ("L1_a1_0", "REFERS_TO", "L1")], ["src", "dst"]))
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations as edges: to the article in force, or to the law where there is no such article."""
     own = _versions(spark, sf_dir).select("article_id", "law_id", "clean_number", "full_text", "valid_from", "valid_to")
@@ -168,24 +173,24 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.linked(linking.extracted(own), both).select("src", "rel", "dst")
 
 
-@query("SELECT o_orderkey AS id, 'art_' || o_orderkey || '_ce' AS key, '1' AS place FROM orders UNION ALL SELECT o_orderkey, 'art_x_cc', '2' FROM orders")
+@query("SELECT c_custkey AS id, 'art_' || c_custkey || '_ce' AS key, '1' AS place FROM customer UNION ALL SELECT c_custkey, 'art_x_cc', '2' FROM customer")
 def cite_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that an answer, one for every order, cites, known ones only, at their first use."""
+    """Keys that an answer, one for every customer, cites, known ones only, at their first use."""
     key = F.concat(F.lit("art_"), F.col("id").cast("string"), F.lit("_ce"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    answers = orders.select("id", F.replace(F.lit("Como [cite:K]dice[/cite], [cite:none] y [cite:art_x_cc] o [cite:K]."), F.lit("K"), key).alias("text"))
-    known = orders.select("id", F.explode(F.array(key, F.lit("art_x_cc"), F.lit("art_y"))).alias("key"))
+    customers = _customers(spark, sf_dir).select(F.col("c_custkey").alias("id"))
+    answers = customers.select("id", F.replace(F.lit("Como [cite:K]dice[/cite], [cite:none] y [cite:art_x_cc] o [cite:K]."), F.lit("K"), key).alias("text"))
+    known = customers.select("id", F.explode(F.array(key, F.lit("art_x_cc"), F.lit("art_y"))).alias("key"))
     return cites.cited_keys(answers, known, "id", "text").select("id", "key", F.col("place").cast("string").alias("place"))
 
 
 EXAM = "EXAMEN\n1.- ¿Cuál es\nla capital?\na) Madrid\nb) Barcelona\nPágina 1 de 2\n2. - ¿Y el río?\na) Ebro que\nes largo\nb) Tajo\n1 A\n2. B\n"
 
 
-@query("""SELECT o_orderkey::VARCHAR AS exam_id, number, question, replace(a, 'Madrid', 'Villa ' || o_orderkey) AS a, b, answer FROM orders, (""" + _fixture("number, question, a, b, answer", [("1", "¿Cuál es la capital?", "Madrid", "Barcelona", "a"), ("2", "¿Y el río?", "Ebro que es largo", "Tajo", "b")]) + ")")
+@query("""SELECT c_custkey::VARCHAR AS exam_id, number, question, replace(a, 'Madrid', 'Villa ' || c_custkey) AS a, b, answer FROM customer, (""" + _fixture("number, question, a, b, answer", [("1", "¿Cuál es la capital?", "Madrid", "Barcelona", "a"), ("2", "¿Y el río?", "Ebro que es largo", "Tajo", "b")]) + ")")
 def exam_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions, options and key of an exam as text, one for every order."""
-    id_ = F.col("o_orderkey").cast("string")
-    exam = table(spark, sf_dir, "orders").select(id_.alias("exam_id"), F.replace(F.lit(EXAM), F.lit("Madrid"), F.concat(F.lit("Villa "), id_)).alias("content"))
+    """Questions, options and key of an exam as text, one for every customer."""
+    id_ = F.col("c_custkey").cast("string")
+    exam = _customers(spark, sf_dir).select(id_.alias("exam_id"), F.replace(F.lit(EXAM), F.lit("Madrid"), F.concat(F.lit("Villa "), id_)).alias("content"))
     rows = exams.questions(exam).join(exams.answer_key(exam), ["exam_id", "number"], "left")
     return rows.select("exam_id", F.col("number").cast("string").alias("number"), "question", F.col("options")["a"].alias("a"), F.col("options")["b"].alias("b"), "answer")
 
