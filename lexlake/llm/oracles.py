@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexlake.llm.quality import FINE, LEAST_DOCS, SYMBOLS
+from lexlake.llm.quality import RULES as QUALITY
 from lexlake.llm.secret_scan import BASE, RULES
 
 _WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
@@ -55,4 +57,36 @@ l AS (SELECT a.cap / a.w AS level, (SELECT sum(n) FROM s) AS total, sum(least(b.
 b AS (SELECT coalesce(max_by((total - capped) / free, level), (SELECT sum(n) FROM s) / (SELECT sum(w) FROM w)) AS level FROM l WHERE at_level <= total AND free > 0)
 SELECT source, n AS source_size, round(least(cap, w * level), 3) AS target FROM w, b"""
 
-SQL = {"op2_secrets": _SECRETS, "op5_warc": _WARC, "op6_ngram_join": _JOIN, "fingerprint_edits": _EDITS, "char_counts": _CHARS, "mix_targets": _TARGETS}
+_BLANK = "[\\x20\\x09-\\x0D]"
+_RULE_ROWS = ", ".join(f"({k}, {r.slack}, {r.spread}, {str(r.low).lower()})" for k, r in enumerate(QUALITY))
+_VALUES = ", ".join(f"({r.scale} * {r.part}) // nullif({r.whole}, 0)" for r in QUALITY)
+_SHIFT = f"greatest(0, length(bin(v)) - 1 - {FINE})"
+_FLOOR = f"greatest(0, b // {2**FINE} - 1)"
+
+
+def _quartiles(by: str) -> str:
+    keys = f"{by}, " if by else ""
+    least = ", ".join(f"min(b) FILTER (4 * upto >= {k} * every) AS b{k}" for k in (1, 3))
+    floors = ", ".join(f"((b{k} - {_FLOOR.replace('b /', f'b{k} /')} * {2**FINE}) << ({_FLOOR.replace('b /', f'b{k} /')})::INT)::BIGINT AS q{k}" for k in (1, 3))
+    return f"""SELECT {keys}rule, n, {floors} FROM (SELECT {keys}rule, max(every) AS n, {least} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}rule ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS every
+      FROM (SELECT {keys}rule, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
+
+
+_QUALITY = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2), x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM v),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM x WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+c AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+  len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+e AS (SELECT *, [{_VALUES}] AS vs FROM c), rules(rule, slack, spread, low) AS (VALUES {_RULE_ROWS}),
+vals AS (SELECT doc_id, lang, source, unnest(vs) AS v, unnest(range(len(vs))) AS rule FROM e),
+sketch AS (SELECT lang, source, rule, {_SHIFT} * {2**FINE} + (v >> ({_SHIFT})::INT) AS b, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY ALL),
+f AS ({_quartiles("lang, source")}), m AS ({_quartiles("lang")}), a AS ({_quartiles("")}),
+q AS (SELECT f.lang, f.source, f.rule, CASE WHEN f.n >= {LEAST_DOCS} THEN f.q1 WHEN m.n >= {LEAST_DOCS} THEN m.q1 ELSE a.q1 END AS q1, CASE WHEN f.n >= {LEAST_DOCS} THEN f.q3 WHEN m.n >= {LEAST_DOCS} THEN m.q3 ELSE a.q3 END AS q3
+  FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.rule = m.rule JOIN a ON a.rule = f.rule),
+cuts AS (SELECT lang, source, rule, q3 + greatest(spread * (q3 - q1), slack) AS high, CASE WHEN low THEN q1 - greatest(spread * (q3 - q1), slack) END AS low FROM q JOIN rules USING (rule)),
+bad AS (SELECT vals.doc_id, list(vals.rule ORDER BY vals.rule) AS rules FROM vals JOIN cuts ON vals.rule = cuts.rule AND vals.lang IS NOT DISTINCT FROM cuts.lang AND vals.source IS NOT DISTINCT FROM cuts.source WHERE v > high OR v < low GROUP BY vals.doc_id),
+z AS (SELECT e.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(array_to_string(list_transform(rules, lambda k: {[r.name for r in QUALITY]}[k + 1]), ','), '') AS failed_rules FROM e LEFT JOIN bad USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM z"""
+
+SQL = {"op13_quality": _QUALITY, "op2_secrets": _SECRETS, "op5_warc": _WARC, "op6_ngram_join": _JOIN, "fingerprint_edits": _EDITS, "char_counts": _CHARS, "mix_targets": _TARGETS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import audio, fingerprints, mixing, ngram_join, packing, secret_scan, token_counts, token_files, toxicity, warc
+from lexlake.llm import audio, fingerprints, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity, warc
 from lexlake.llm.common import written
 from lexlake.llm.oracles import SQL
 
@@ -71,6 +71,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_taken(_table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, held against the quartiles of their language's source."""
+    return quality.report(_table(spark, sf_dir, "documents"))
+
+
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op1: the edited text's digest of every document, which SQL can express."""
     return fingerprints.edit_report(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
+        "op13_quality": op13_quality,
         "fingerprint_edits": fingerprint_edits,
         "char_counts": char_counts,
         "mix_targets": mix_targets,
