@@ -176,3 +176,52 @@ def pieces(batch: pa.RecordBatch, most: int = 4_000_000, rows: int = 4096) -> It
         end = min(n, begin + rows, max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1))
         yield batch.column("doc_id").slice(begin, end - begin), batch.column("text").slice(begin, end - begin)
         begin = end
+
+
+class PieceEncoder(Encoder):
+    """Encodes arrays of texts with a sentencepiece model, given by its path or its public name. Its pieces begin with a space or hold
+    none, runs of spaces aside, so a text's ids are those of its words; texts with such runs, or with U+2581 itself, are encoded whole."""
+
+    def __init__(self, vocabulary: str, table_bytes: int = 8_000_000):
+        import sentencepiece
+
+        path = vocabulary
+        if os.path.sep not in vocabulary:
+            import public_tokenizers
+
+            path = public_tokenizers.path(vocabulary)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.uncut = r"[\x00-\x08]|  |^ | \z|\x{2581}"
+        self.table_bytes = table_bytes
+        self._clear()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        found = self._ids([p.removeprefix(_WHOLE) for p in parts.to_pylist()])
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = len(self.known) + np.arange(len(parts))
+        self.known = pa.concat_arrays([self.known, parts])
+        self.first = np.append(self.first, np.cumsum(length) - length + len(self.flat))
+        self.length = np.append(self.length, length)
+        self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum())))
+        return numbers
+
+    def _parts(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(texts, " ")
+
+
+def byte_level_tokens(tokenizer) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary."""
+    back = {c: b for b, c in _BYTES.items()}
+    found = [b""] * tokenizer.get_vocab_size()
+    for token, i in tokenizer.get_vocab().items():
+        found[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+    return found
+
+
+def piece_tokens(model) -> list[bytes]:
+    """The bytes of every id of a sentencepiece model: U+2581 is a space, <0xHH> a byte."""
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]

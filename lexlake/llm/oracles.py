@@ -26,7 +26,9 @@ def _spans(place: int) -> str:
     """A list of (start, place, end, kind) of a rule's matches that count, in a text t."""
     rule = RULES[place]
     # maximal runs: asking for 24 digits at once finds the same spans as dropping shorter ones, only sooner
-    pattern = "[0-9a-f]{24,}" if rule.kind == "hex" else rule.pattern.replace("'", "''")
+    # DuckDB's expressions know no possessive loops: those of the rules match as greedy ones do
+    greedy = rule.pattern.replace("]++", "]+").replace("}+", "}").replace(")*+", ")*")
+    pattern = "[0-9a-f]{24,}" if rule.kind == "hex" else greedy.replace("'", "''")
     hits = f"regexp_extract_all(t, '{pattern}')"
     sized = f"regexp_extract_all(t, '{pattern}', {rule.group})"
     gaps = f"regexp_split_to_array(t, '{pattern}')"
@@ -89,4 +91,40 @@ bad AS (SELECT vals.doc_id, list(vals.rule ORDER BY vals.rule) AS rules FROM val
 z AS (SELECT e.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(array_to_string(list_transform(rules, lambda k: {[r.name for r in QUALITY]}[k + 1]), ','), '') AS failed_rules FROM e LEFT JOIN bad USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM z"""
 
-SQL = {"op13_quality": _QUALITY, "op2_secrets": _SECRETS, "op5_warc": _WARC, "op6_ngram_join": _JOIN, "fingerprint_edits": _EDITS, "char_counts": _CHARS, "mix_targets": _TARGETS}
+_H = " || ".join("coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')".format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{t}"))
+_CRC_ROW = "k"
+for _ in range(8):
+    _CRC_ROW = f"(SELECT i, xor(k >> 1, (k & 1) * 3988292384) AS k FROM {_CRC_ROW if _CRC_ROW != 'k' else '(SELECT i, i AS k FROM range(256) r(i))'})"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+_DEPTH, _TOP = 7, 4
+
+
+def _tree(name: str, keys: str, depth: int) -> str:
+    """Levels name0 (given: keys, i, h, n) to name{depth}, and the steps of each level's nodes."""
+    out = []
+    for k in range(depth):
+        run = f"PARTITION BY {keys}, i // 16 ORDER BY i ROWS BETWEEN"
+        out.append(f"{name}{k + 1} AS (SELECT {keys}, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (max(n) + 15) // 16 AS n FROM {name}{k} WHERE n > 1 GROUP BY {keys}, i // 16)")
+        out.append(f"{name}s{k} AS (SELECT {keys}, i, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)")
+    return ", ".join(out)
+
+
+def _walk(source: str, name: str, keys: str, at: str, depth: int, out: str) -> str:
+    """``source`` with its path p and fold f carried on through the steps of name0 to name{depth - 1}."""
+    steps = []
+    for k in range(depth):
+        steps.append(f"{out}{k} AS (SELECT a.* REPLACE (p || coalesce(l || r, '') AS p, CASE WHEN l IS NULL THEN f ELSE sha256(l || f || r) END AS f) FROM {source if k == 0 else f'{out}{k - 1}'} a LEFT JOIN {name}s{k} b ON a.{keys} IS NOT DISTINCT FROM b.{keys} AND b.i = {at} // {16**k})")
+    return ", ".join(steps)
+
+
+_MERKLE = f"""WITH c AS (SELECT list(k ORDER BY i) AS t FROM {_CRC_ROW}),
+d AS (SELECT doc_id, source, sha256({_H.format(t="text")}) AS h, CASE WHEN {_CRC} % 5 = 0 THEN sha256({_H.format(t=f"translate(text, '{_UPPER}', '{_LOWER}')")}) END AS g FROM documents, c),
+e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+n0 AS (SELECT source, i, h, n FROM e), {_tree("n", "source", _DEPTH)},
+r AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM ({" UNION ALL ".join(f"SELECT source, h FROM n{k} WHERE n = 1" for k in range(_DEPTH + 1))})),
+u0 AS (SELECT 0 AS z, i, h, n FROM r), {_tree("u", "z", _TOP)}, root AS ({" UNION ALL ".join(f"SELECT h AS root FROM u{k} WHERE n = 1" for k in range(_TOP + 1))}),
+w AS (SELECT doc_id, source, h AS leaf, i AS at, '' AS p, coalesce(g, h) AS f FROM e), {_walk("w", "n", "source", "a.at", _DEPTH, "w")},
+x AS (SELECT w{_DEPTH - 1}.*, r.h AS subroot, 0 AS z, r.i AS up FROM w{_DEPTH - 1} JOIN r ON r.source IS NOT DISTINCT FROM w{_DEPTH - 1}.source), {_walk("x", "u", "z", "a.up", _TOP, "x")}
+SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified FROM x{_TOP - 1}, root"""
+
+SQL = {"op11_merkle": _MERKLE, "op13_quality": _QUALITY, "op2_secrets": _SECRETS, "op5_warc": _WARC, "op6_ngram_join": _JOIN, "fingerprint_edits": _EDITS, "char_counts": _CHARS, "mix_targets": _TARGETS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import audio, fingerprints, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity, warc
+from lexlake.llm import alignment, audio, fingerprints, merkle, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity, warc
 from lexlake.llm.common import written
 from lexlake.llm.oracles import SQL
 
@@ -71,6 +71,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_taken(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle digests, proofs and checks of all documents."""
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents' tokens in two vocabularies, with the links' counts over all documents."""
+    return alignment.report(_table(spark, sf_dir, "documents"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents, held against the quartiles of their language's source."""
     return quality.report(_table(spark, sf_dir, "documents"))
@@ -105,6 +115,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
+        "op11_merkle": op11_merkle,
+        "op12_alignment": op12_alignment,
         "op13_quality": op13_quality,
         "fingerprint_edits": fingerprint_edits,
         "char_counts": char_counts,
