@@ -46,8 +46,13 @@ RULES: tuple[Rule, ...] = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
-    # headers, body and closing line of a key; without a closing line the lines of base64 that follow
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\x20\x09\x0A\x0D]+[A-Za-z-]+: [^\x0A\x0D]*)*[^-]*-----END [A-Z ]*PRIVATE KEY-----|(?:[\x0A\x0D]+[A-Za-z0-9+/=]{16,})*)"),
+    # all up to the closing line, which is the next run of five dashes; else the lines of base64 that follow. Loops over groups
+    # are possessive: Java's matcher goes round those in place, others by recursion, and a key may have any number of lines
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-{1,4}[^-])*+-----END [A-Z ]*PRIVATE KEY-----|(?:[\x0A\x0D]++[A-Za-z0-9+/=]{16,}+)*+)",
+        screen=r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    ),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("prefixed", r"(gh[pousr]_|sk_live_|sk_test_|xox[abp]-)[A-Za-z0-9_-]{16,}"),
 )

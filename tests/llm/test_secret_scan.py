@@ -83,3 +83,20 @@ def test_many_candidates_are_joined_by_shuffle(spark, monkeypatch):
     want = sorted(map(tuple, ss.report(docs).collect()), key=str)
     monkeypatch.setattr(ss, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, ss.report(docs.repartition(3)).collect()), key=str) == want
+
+
+def test_keys_of_any_length(spark):
+    line = "Mi+/" * 16 + "\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    log = "".join(f"2024-01-01 - step {i} -- ok\n" for i in range(100_000))
+    body = line * 100_000
+    heads = "".join(f"Head-{'x' * 8}: value {i}\n" for i in range(100_000))
+    texts = [begin + body + end + " tail", begin + body + "and prose", begin + heads + "\n" + line + end, begin + log, begin + log + begin + line + end, begin * 2_000, "é" * 10 + begin + "\U0001f600" * 300_000 + end]
+    want = [f"private_key:0:{len(begin + body + end)}", f"private_key:0:{len(begin + body) - 1}", f"private_key:0:{len(begin + heads) + 1 + len(line + end)}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    keys = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("private_key")] for r in ss.report(docs).collect()}
+    assert [keys[i] for i in range(3)] == [[w] for w in want]
+    for i, t in enumerate(texts):
+        assert keys[i] == [f"private_key:{a}:{b}" for a, _, b, k in brute(t, ss.RULES) if k == "private_key"]
+    clean = {r["doc_id"]: r["text"] for r in ss.redacted(docs).collect()}
+    assert clean[0] == "[SECRET] tail" and clean[1] == "[SECRET]\nand prose" and clean[3] == "[SECRET]\n" + log and clean[6] == "é" * 10 + "[SECRET]"
