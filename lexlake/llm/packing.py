@@ -165,7 +165,7 @@ def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID)
         enc, first = Encoder(vocabulary), TaskContext.get().partitionId() << 32
         df, n, tokens = np.zeros(1, np.int64), 0, 0
         for b in batches:
-            for doc_ids, texts in pieces(b):
+            for doc_ids, texts in pieces(b, 1_000_000):
                 ids, starts = enc.encode(texts, end_id)
                 most = int(ids.max()) + 1
                 pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * most + ids.astype(np.int64))
