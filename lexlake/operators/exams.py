@@ -5,35 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.functions.text import fold
+
+
+# How lines begin that printing put into an exam, without accents: headings of sessions, bodies and pages.
+PRINTED = ["primer ejercicio", "pagina", "consejo general del", "fiscalia general", "ministerio de la presidencia", "comision de seleccion", "acuerdo de"]
+DIGITS, DASHES = "0123456789", ["-", "–", "—"]
+
 
 def lines_of(exams: DataFrame) -> DataFrame:
-    """exam_id, line_no, line of every line that isn't blank or only a page number."""
+    """exam_id, line_no, line of every line that isn't blank, a heading of the printing or only a page's number."""
     rows = exams.select("exam_id", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line"))
-    page = F.rlike(F.lower("line"), F.lit(r"^\s*(p[aá]gina\s+)?\d+(\s+de\s+\d+)?\s*$"))
-    return rows.filter((F.trim("line") != "") & ~page)
+    bare = F.trim(fold(F.lower("line")))
+    printed = F.lit(False)
+    for words in PRINTED:
+        printed = printed | bare.startswith(words)
+    page = (bare != "") & (F.translate(bare, DIGITS + " ", "").isin("", "de"))
+    return rows.filter((bare != "") & ~printed & ~page)
 
 
-def questions(exams: DataFrame) -> DataFrame:
-    """exam_id, number, question, options (map of letter to text); texts may run over several lines."""
+def marked(exams: DataFrame) -> DataFrame:
+    """Lines with kind and value: a question (its number; a dash follows), an option (its letter; a bracket follows), a key (number, with the letter
+    in ``text``), or a continuation; ``text`` is what follows the mark."""
     rows = lines_of(exams)
-    number = F.regexp_extract("line", r"^\s*(\d+)[.\s]*[–—-]\s*\S", 1).try_cast("int")
-    letter = F.nullif(F.lower(F.regexp_extract("line", r"^\s*([a-dA-D])\)\s*\S", 1)), F.lit(""))
-    is_key = F.rlike("line", F.lit(r"^\s*\d+[.\s]+[A-Da-d]\s*$"))
+    line = F.ltrim("line")
+    number = F.substring(line, F.lit(1), F.char_length(line) - F.char_length(F.ltrim(line, F.lit(DIGITS))))
+    behind = F.substring(line, F.char_length(number) + 1, F.lit(1 << 30))
+    after = F.ltrim(behind, F.lit(". \t"))
+    said = F.trim(F.substring(after, 2, 1 << 30))
+    is_question = (number != "") & F.substring(after, 1, 1).isin(DASHES) & (said != "")
+    is_key = (number != "") & (after != behind) & F.lower(F.trim(after)).isin("a", "b", "c", "d")
+    letter = F.lower(F.substring(line, 1, 1))
+    choice = F.trim(F.substring(line, 3, 1 << 30))
+    is_option = letter.isin("a", "b", "c", "d") & (F.substring(line, 2, 1) == ")") & (choice != "")
+    kind = F.when(is_key, "key").when(is_question, "question").when(is_option, "option").otherwise("more")
+    value = F.when(is_key | is_question, number).when(is_option, letter)
+    text = F.when(is_key, F.lower(F.trim(after))).when(is_question, said).when(is_option, choice).otherwise(F.trim("line"))
+    return rows.select("exam_id", "line_no", kind.alias("kind"), value.alias("value"), text.alias("text"))
+
+
+def questions(exams: DataFrame) -> DataFrame:
+    """exam_id, place, number, question, options (map of letter to text). Texts may run over several lines; questions are told apart by
+    place, so numbers may repeat; of a letter given twice in a question the texts are one after the other."""
     order = Window.partitionBy("exam_id").orderBy("line_no")
-    rows = rows.filter(~is_key).withColumns({"_number": number, "_letter": letter})
-    rows = rows.withColumn("number", F.last("_number", ignorenulls=True).over(order)).filter("number IS NOT NULL")
-    part = Window.partitionBy("exam_id", "number").orderBy("line_no")
-    rows = rows.withColumn("part", F.coalesce(F.last("_letter", ignorenulls=True).over(part), F.lit("question")))
-    text = F.trim(F.when(F.col("_number").isNotNull(), F.regexp_replace("line", r"^\s*\d+[.\s]*[–—-]\s*", "")).when(F.col("_letter").isNotNull(), F.regexp_replace("line", r"^\s*[a-dA-D]\)\s*", "")).otherwise(F.col("line")))
-    parts = rows.groupBy("exam_id", "number", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda x: x["t"]), " ").alias("text"))
-    options = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("part") != "question", F.struct("part", "text")))))
-    return parts.groupBy("exam_id", "number").agg(F.max(F.when(F.col("part") == "question", F.col("text"))).alias("question"), options.alias("options"))
+    rows = marked(exams).filter("kind <> 'key'")
+    rows = rows.withColumn("place", F.count(F.when(F.col("kind") == "question", True)).over(order)).filter("place > 0")
+    of_question = Window.partitionBy("exam_id", "place").orderBy("line_no")
+    rows = rows.withColumn("part", F.coalesce(F.last(F.when(F.col("kind") == "option", F.col("value")), ignorenulls=True).over(of_question), F.lit("")))
+    rows = rows.withColumn("number", F.first(F.col("value").try_cast("int")).over(of_question))
+    parts = rows.groupBy("exam_id", "place", "number", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text"))
+    options = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("part", "text")))))
+    return parts.groupBy("exam_id", "place", "number").agg(F.max(F.when(F.col("part") == "", F.col("text"))).alias("question"), options.alias("options"))
 
 
 def answer_key(exams: DataFrame) -> DataFrame:
-    """exam_id, number, answer from lines of a number and a letter."""
-    found = F.regexp_extract("line", r"^\s*(\d+)[.\s]+([A-Da-d])\s*$", 1), F.lower(F.regexp_extract("line", r"^\s*(\d+)[.\s]+([A-Da-d])\s*$", 2))
-    return lines_of(exams).select("exam_id", found[0].try_cast("int").alias("number"), found[1].alias("answer")).filter("number IS NOT NULL")
+    """exam_id, number, answer from lines of a number and a letter; of several the last."""
+    keys = marked(exams).filter("kind = 'key'")
+    return keys.groupBy("exam_id", F.col("value").try_cast("int").alias("number")).agg(F.max_by("text", "line_no").alias("answer"))
 
 
 def prompts(rows: DataFrame) -> DataFrame:

@@ -6,20 +6,32 @@ law's lines, so no tree is built and every law is one window group, as large as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.numbers import with_article_number
-from lexlake.functions.text import fold
+from lexlake.functions.text import ARTICLE_WORDS, change_id, fold, is_digits, title_words
+from lexlake.operators import trees
 from lexlake.operators.versions import closed
+from lexlake.session import checkpointed
 
 #: Headings, the wider first. A section is told from a sentence by the ordinal that follows the word.
 STRUCTURE = ["libro", "titulo", "capitulo", "seccion", "subseccion"]
 ARTICLES = ["articulo", "articulo_unico", "anexo", "disposicion"]
 #: Beginnings of ordinals as they stand in headings of sections.
 ORDINALS = ["unic", "primer", "segund", "tercer", "cuart", "quint", "sext", "septim", "octav", "noven", "decim", "undecim", "duodecim"]
-#: Marks of enumerations and the kinds of their lines: the deeper come later.
-ITEMS = {r"^\d+\.$": "apartado_numerico", r"^[a-z]\)$": "apartado_alfa", r"^\d+\.+ª": "ordinal_alfa", r"^\d+\.+º": "ordinal_numerico"}
+#: Kinds of enumerated lines, the wider first.
+ITEMS = ["apartado_numerico", "apartado_alfa", "ordinal_alfa", "ordinal_numerico"]
+
+
+def item_kind(mark: Column, followed: Column) -> Column:
+    """The kind of a line by its first word, in lower case: digits and a dot, a letter and a bracket (text must follow either), digits, dots and an ordinal
+    sign; null without such a mark."""
+    stem, sign = F.substring(mark, F.lit(1), F.char_length(mark) - 1), F.substring(mark, -1, 1)
+    dotted = stem.endswith(".") & is_digits(F.rtrim(stem, F.lit(".")))
+    kind = F.when((sign == ".") & is_digits(stem) & followed, ITEMS[0])
+    kind = kind.when((sign == ")") & (F.char_length(stem) == 1) & stem.between("a", "z") & followed, ITEMS[1])
+    return kind.when((sign == "ª") & dotted, ITEMS[2]).when((sign == "º") & dotted, ITEMS[3])
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -37,9 +49,7 @@ def classified(lines: DataFrame) -> DataFrame:
     kind = kind.when(word.isin("articulo", "art") & follows.startswith("unico"), "articulo_unico")
     kind = kind.when(word.isin("articulo", "art") & (F.rlike(follows, F.lit("^[0-9]")) | spelled), "articulo")
     mark = F.regexp_extract(F.lower(F.trim("text")), r"^(\S+)", 1)
-    for pattern, name in ITEMS.items():
-        kind = kind.when(F.rlike(mark, F.lit(pattern)) & ((rest != "") | F.lit("$" not in pattern)), name)
-    return lines.withColumn("node_type", kind.otherwise("parrafo"))
+    return lines.withColumn("node_type", F.coalesce(kind, item_kind(mark, rest != ""), F.lit("parrafo")))
 
 
 def structured(lines: DataFrame) -> DataFrame:
@@ -79,31 +89,41 @@ def article_versions(lines: DataFrame) -> DataFrame:
     return closed(out.withColumn("_start", start).drop("valid_from"), ["law_id", "block_id"], "article_id", "_start").drop("_start")
 
 
-def compound_titles(lines: DataFrame) -> DataFrame:
-    """law_id, block_id, number: the article numbers that a title of several names, as 'Artículos 3 a 5' or '7, 8 y 9'."""
-    low = F.lower(F.trim("block_title"))
-    head = r"^(?:art[ií]culos?|arts?\.)\s+"
-    a, b = F.regexp_extract(low, head + r"(\d+)[º°]?\s+a\s+(\d+)[º°]?\.?$", 1), F.regexp_extract(low, head + r"(\d+)[º°]?\s+a\s+(\d+)[º°]?\.?$", 2)
-    several = F.rlike(low, F.lit(head + r"\d+[º°]?(?:\s*,\s*\d+[º°]?)*\s+y\s+\d+[º°]?\.?$"))
-    numbers = F.when(a != "", F.sequence(a.try_cast("int"), b.try_cast("int"))).when(several, F.transform(F.regexp_extract_all(low, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int")))
-    blocks = lines.select("law_id", "block_id", "block_title").distinct()
-    return blocks.select("law_id", "block_id", F.explode(numbers).alias("number"))
+def title_numbers(title: Column) -> Column:
+    """The article numbers that a block's title names: one of 'Artículo 3' (a word may follow), all of 'Artículos 3 a 5' and of '7, 8 y 9'; null of
+    any other title."""
+    words = title_words(F.replace(title, F.lit(","), F.lit(" , ")))
+    named = F.rtrim(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(".")).isin(ARTICLE_WORDS)
+    parts = F.transform(F.slice(words, 2, 1 << 30), lambda w: F.rtrim(w, F.lit(".º°")))
+    numbers = F.transform(F.filter(parts, is_digits), lambda w: w.try_cast("int"))
+    between = F.filter(parts, lambda w: ~is_digits(w))
+    in_turn = F.forall(F.transform(parts, lambda w, i: is_digits(w) == (i % 2 == 0)), lambda x: x) & (F.size(parts) % 2 == 1)
+    last = F.get(between, F.size(between) - 1)
+    listed = in_turn & (last == "y") & F.forall(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), lambda w: w == ",")
+    ranged = in_turn & (F.size(parts) == 3) & (last == "a") & (numbers[0] <= numbers[1])
+    single = (F.size(numbers) == 1) & (F.size(parts) <= 2) & is_digits(F.get(parts, F.lit(0)))
+    return F.when(named & single, numbers).when(named & ranged, F.sequence(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)))).when(named & listed & (F.size(numbers) > 1), numbers)
 
 
 def distributed(lines: DataFrame) -> DataFrame:
     """``lines`` where the versions of a block with a compound title go to the blocks of its articles, titled as
-    these are, and the compound block goes."""
-    compound = compound_titles(lines)
-    blocks = lines.select("law_id", "block_no", "block_id", "block_title", "block_type").distinct()
-    single = F.regexp_extract(F.lower("block_title"), r"^(?:art[ií]culo|art\.)\s+(\d+)[º°]?(?:\s+\w+)?\.?$", 1).try_cast("int")
-    single = blocks.withColumn("number", single).filter("number IS NOT NULL").select("law_id", "number", *[F.col(c).alias(f"_{c}") for c in ("block_no", "block_id", "block_title", "block_type")])
-    to = compound.join(single, ["law_id", "number"])
-    last = lines.groupBy("law_id", F.col("block_id").alias("_block_id")).agg((F.max("version_no") + 1).alias("_next"))
-    moved = lines.join(to, ["law_id", "block_id"]).join(last, ["law_id", "_block_id"])
-    text = F.when(F.col("line_no") == 0, F.col("_block_title")).otherwise(F.col("text"))
-    moved = moved.withColumns({"block_no": F.col("_block_no"), "block_id": F.col("_block_id"), "block_title": F.col("_block_title"), "block_type": F.col("_block_type"), "version_no": F.col("version_no") + F.col("_next"), "text": text})
-    rest = lines.join(compound.select("law_id", "block_id").distinct(), ["law_id", "block_id"], "left_anti")
-    return rest.unionByName(moved.select(*lines.columns))
+    these are, and the compound block goes.
+
+    The lines are computed once and kept in the shared folder; titles come from one aggregate of their blocks, and only what a law's
+    blocks say of each other is joined to the lines.
+    """
+    lines = checkpointed(lines)
+    blocks = lines.groupBy("law_id", "block_no", "block_id", "block_title", "block_type").agg((F.max("version_no") + 1).alias("next"))
+    blocks = blocks.withColumn("numbers", title_numbers(F.col("block_title"))).filter("numbers IS NOT NULL")
+    single = blocks.filter("size(numbers) = 1").select("law_id", F.col("numbers")[0].alias("number"), F.struct("block_no", "block_id", "block_title", "block_type", "next").alias("to"))
+    compound = blocks.filter("size(numbers) > 1").select("law_id", "block_id", F.explode("numbers").alias("number"))
+    moves = compound.join(single, ["law_id", "number"], "left").groupBy("law_id", "block_id").agg(F.collect_list("to").alias("_moves"))
+    rows = lines.join(moves, ["law_id", "block_id"], "left").withColumn("_to", F.explode(F.coalesce("_moves", F.array(F.lit(None).cast(moves.schema["_moves"].dataType.elementType)))))
+    to, moved = F.col("_to"), F.col("_to").isNotNull()
+    text = F.when(moved & (F.col("line_no") == 0), to["block_title"]).otherwise(F.col("text"))
+    values = {c: F.when(moved, to[c]).otherwise(F.col(c)) for c in ("block_no", "block_id", "block_title", "block_type")}
+    rows = rows.withColumns({**values, "version_no": F.when(moved, F.col("version_no") + to["next"]).otherwise(F.col("version_no")), "text": text})
+    return rows.select(*lines.columns)
 
 
 def graph_rows(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,6 +136,49 @@ def graph_rows(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, part.unionByName(after).unionByName(before)
 
 
+def tree_edges(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, node_type, name, place) and edges (src, dst) of whole laws: the law, its headings, articles and what lies in these.
+
+    A heading is a child of the nearest wider heading before it, an article of the nearest heading, an element of the element or article that it belongs
+    to. ``place`` orders a law's nodes as its lines are.
+    """
+    rows = classified(lines).withColumn("place", F.struct("block_no", "version_no", "line_no"))
+    order = Window.partitionBy("law_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    heading_id = F.concat_ws("~", "law_id", F.col("block_no").cast("string"), F.col("line_no").cast("string"))
+    heads = rows.filter(F.col("node_type").isin(STRUCTURE) | F.col("node_type").isin(ARTICLES))
+    for k, name in enumerate(STRUCTURE):
+        heads = heads.withColumn(f"_{k}", F.last(F.when(F.col("node_type") == name, F.struct("place", heading_id.alias("id"))), ignorenulls=True).over(order))
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in enumerate(STRUCTURE) for x in reversed(kv)])[F.col("node_type")], F.lit(len(STRUCTURE)))
+    # of the wider headings before a line, the last one
+    wider = F.array_compact(F.array(*[F.when(rank > k, F.col(f"_{k}")) for k in range(len(STRUCTURE))]))
+    up = F.coalesce(F.array_max(wider)["id"], F.col("law_id"))
+    article = F.col("node_type").isin(ARTICLES)
+    article_id = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
+    heads = heads.select(F.when(article, article_id).otherwise(heading_id).alias("src"), up.alias("dst"), "node_type", F.col("text").alias("name"), "place").dropDuplicates(["src"])
+    inner = elements(lines).join(rows.select(F.concat_ws("#", article_id, F.col("line_no").cast("string")).alias("element_id"), "place"), "element_id")
+    inner = inner.select(F.col("element_id").alias("src"), F.col("parent_id").alias("dst"), "node_type", F.col("text").alias("name"), "place")
+    both = heads.unionByName(inner)
+    laws = lines.select(F.col("law_id").alias("id")).distinct().select("id", F.lit("normativa").alias("node_type"), F.col("id").alias("name"), F.lit(None).cast(both.schema["place"].dataType).alias("place"))
+    return laws.unionByName(both.select(F.col("src").alias("id"), "node_type", "name", "place")), both.select("src", "dst", "place")
+
+
+def saved_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node rows (id, label, name, seq_id) and edge rows (src, rel, dst) of whole laws as they are saved: headings are left out and what was below them is
+    linked to what is above, at last the law; ``seq_id`` numbers a law's nodes in reading order, headings counted."""
+    nodes, edges = tree_edges(lines)
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    labels = trees.numbered(trees.labelled(edges, F.col("place")), F.col("root"), first=0)
+    skipped = nodes.filter(F.col("node_type").isin(STRUCTURE)).select("id")
+    rows = nodes.join(skipped, "id", "left_anti").join(labels.select("id", "seq_id"), "id", "left")
+    part = trees.contracted(edges, skipped).select("src", F.lit("PART_OF").alias("rel"), "dst")
+    return rows.select("id", F.col("node_type").alias("label"), "name", "seq_id"), part
+
+
+def saved_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, name, n: nodes by label and edges by relation, as a save reports them."""
+    return nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).agg(F.count("*").alias("n")))
+
+
 def elements(lines: DataFrame) -> DataFrame:
     """One row per line below an article: element_id, article_id, parent_id (the element it belongs to, or the article),
     depth (1: directly below the article), line_no, node_type, text.
@@ -123,7 +186,7 @@ def elements(lines: DataFrame) -> DataFrame:
     A numbered paragraph is above letters, letters above ordinals, and anything without a mark belongs to the last mark
     before it. The line's nearest wider mark is found with windows over the lines of its article's version.
     """
-    ranks = {name: 1 + min(k, 2) for k, name in enumerate(ITEMS.values())}
+    ranks = {name: 1 + min(k, 2) for k, name in enumerate(ITEMS)}
     article = ["law_id", "block_id", "version_no"]
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("node_type")], F.lit(4))
     rows = classified(lines).withColumn("_rank", rank)
@@ -150,21 +213,76 @@ def indented_text(parts: DataFrame, step: str = "  ") -> DataFrame:
     return rows.select("article_id", F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("rich_text"))
 
 
+def subtree_hashes(parts: DataFrame) -> DataFrame:
+    """``parts`` (elements) with mark, digest and size: of each element and all below it.
+
+    A mark is an element's own, or its place among its kind under its parent; one that repeats there is told apart by its turn. Digests are
+    made from the deepest level up, a level's from those of the level below.
+    """
+    order = Window.partitionBy("article_id", "parent_id", "node_type").orderBy("line_no")
+    mark = F.when(F.col("node_type").isin(*ITEMS), F.regexp_extract("text", r"^(\S+)", 1)).otherwise(F.row_number().over(order).cast("string"))
+    rows = parts.withColumn("mark", mark)
+    turn = F.row_number().over(Window.partitionBy("article_id", "parent_id", "node_type", "mark").orderBy("line_no"))
+    rows = checkpointed(rows.withColumn("_turn", turn).withColumn("mark", F.when(F.col("_turn") > 1, F.concat_ws("#", "mark", "_turn")).otherwise(F.col("mark"))).drop("_turn"))
+    done, below = None, None
+    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        level = rows.filter(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumns({"_under": F.lit(""), "_size": F.lit(0).cast("long")})
+        else:
+            under = below.groupBy(F.col("parent_id").alias("element_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "digest"))), lambda x: x["digest"]), "").alias("_under"), F.sum("size").alias("_size"))
+            level = level.join(under, "element_id", "left").fillna({"_under": "", "_size": 0})
+        own = F.concat_ws("\x1f", "node_type", "mark", "text", "_under")
+        below = level.withColumns({"digest": F.sha2(own, 256), "size": F.col("_size") + 1}).select(*rows.columns, "digest", "size")
+        done = below if done is None else done.unionByName(below)
+    return checkpointed(done) if done is not None else rows.withColumns({"digest": F.lit(""), "size": F.lit(0).cast("long")})
+
+
+def compared(parts: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes (old_id, new_id, node_type, name, change) of each article version's elements to the next, and what was not looked at
+    (old_id, new_id, pruned: elements in subtrees of equal digests).
+
+    Children of an equal parent are matched by kind and mark, level by level from the top; only below elements whose digests differ, or that one side
+    lacks, the next level is read.
+    """
+    rows = subtree_hashes(parts)
+    pairs = versions.filter("next_id IS NOT NULL").select(F.col("article_id").alias("old_id"), F.col("next_id").alias("new_id"))
+    asked = pairs.select("old_id", "new_id", F.col("old_id").alias("old_up"), F.col("new_id").alias("new_up"), F.lit(None).cast("string").alias("up"))
+    changes, pruned = None, None
+    for depth in range(1, (rows.agg(F.max("depth")).first()[0] or 0) + 1):
+        level = rows.filter(F.col("depth") == depth).select("parent_id", "node_type", "mark", F.struct("element_id", "text", "digest", "size").alias("e"))
+        sides = [asked.join(level.withColumnsRenamed({"parent_id": f"{s}_up", "e": s}), f"{s}_up").select("old_id", "new_id", "up", "node_type", "mark", s) for s in ("old", "new")]
+        key = ["old_id", "new_id", "up", "node_type", "mark"]
+        keyed = [s.withColumn("up", F.coalesce("up", F.lit(""))) for s in sides]
+        both = checkpointed(keyed[0].join(keyed[1], key, "full"))
+        same = F.col("old.digest") == F.col("new.digest")
+        change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old.text") != F.col("new.text"), "modified")
+        # a name has the mark of the element above before it
+        name = F.concat_ws(" ", F.nullif(F.substring_index("up", "\x1f", -1), F.lit("")), "mark")
+        found = both.withColumn("change", change).filter("change IS NOT NULL").select("old_id", "new_id", "node_type", name.alias("name"), "change")
+        skipped = both.filter(same).groupBy("old_id", "new_id").agg(F.sum("old.size").alias("pruned"))
+        changes, pruned = (found, skipped) if changes is None else (changes.unionByName(found), pruned.unionByName(skipped))
+        path = F.concat_ws("\x1f", F.nullif(F.col("up"), F.lit("")), "node_type", "mark")
+        asked = both.filter(~F.coalesce(same, F.lit(False))).select("old_id", "new_id", F.col("old.element_id").alias("old_up"), F.col("new.element_id").alias("new_up"), path.alias("up"))
+    if changes is None:
+        changes = asked.select("old_id", "new_id", F.lit("").alias("node_type"), F.lit("").alias("name"), F.lit("").alias("change")).limit(0)
+        pruned = asked.select("old_id", "new_id", F.lit(0).cast("long").alias("pruned")).limit(0)
+    return changes, pruned.groupBy("old_id", "new_id").agg(F.sum("pruned").alias("pruned"))
+
+
 def element_changes(parts: DataFrame, versions: DataFrame) -> DataFrame:
     """old_id, new_id, node_type, name, change: elements of each article version that the next one adds, removes or
     alters. Elements are matched by kind and name (their mark, or for those without one their place among its kind)."""
-    order = Window.partitionBy("article_id", "parent_id", "node_type").orderBy("line_no")
-    marked = F.col("node_type").isin(*ITEMS.values())
-    mark = F.when(marked, F.regexp_extract("text", r"^(\S+)", 1)).otherwise(F.row_number().over(order).cast("string"))
-    rows = parts.withColumn("_mark", mark)
-    up = rows.select(F.col("element_id").alias("parent_id"), F.col("_mark").alias("_up"))
-    rows = rows.join(up, "parent_id", "left").select("article_id", "node_type", F.concat_ws(" ", "_up", "_mark").alias("name"), "text")
-    pairs = versions.filter("next_id IS NOT NULL").select(F.col("article_id").alias("old_id"), F.col("next_id").alias("new_id"))
-    old = pairs.join(rows.withColumnsRenamed({"article_id": "old_id", "text": "_old"}), "old_id")
-    new = pairs.join(rows.withColumnsRenamed({"article_id": "new_id", "text": "_new"}), "new_id")
-    both = old.join(new, ["old_id", "new_id", "node_type", "name"], "full")
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "modified")
-    return both.withColumn("change", change).filter("change IS NOT NULL").select("old_id", "new_id", "node_type", "name", "change")
+    return compared(parts, versions)[0]
+
+
+def change_events(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """change_id, target_id, source_id and counts of added, modified and removed elements, one row for each pair of versions; with ``known`` (change_id)
+    only of pairs that have none yet, so saving twice adds nothing."""
+    counts = [F.count_if(F.col("change") == k).alias(k) for k in ("added", "modified", "removed")]
+    rows = changes.groupBy(F.col("old_id").alias("target_id"), F.col("new_id").alias("source_id")).agg(*counts)
+    rows = rows.select(change_id(F.col("target_id"), F.col("source_id")).alias("change_id"), "*")
+    return rows if known is None else rows.join(known.select("change_id").distinct(), "change_id", "left_anti")
 
 
 def context_text(versions: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ Top-k is an ordered limit, which Spark takes per partition first; only k rows me
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.vectors import METRICS
+from lexlake.operators.blocks import nearest
 
 
 def vector_hits(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", id_: str = "id", vector: str = "embedding") -> DataFrame:
@@ -21,19 +23,10 @@ def vector_hits(vectors: DataFrame, query: list[float], k: int, metric: str = "c
     return vectors.select(F.col(id_).alias("id"), score.alias("score")).orderBy(order, "id").limit(k).withColumn("strategy", F.lit("vector"))
 
 
-def many_queries(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector: str = "embedding", slots: int = 64) -> DataFrame:
-    """query_no, id, score, rank: the k nearest of each of a bounded, broadcast set of queries, in one pass.
-
-    Ranks are first taken in salted slots, so no task sees all scores of a query.
-    """
-    from lexlake.functions.vectors import cosine
-
-    scored = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(queries.select("query_no", F.col("vector").alias("_q"))), F.lit(True))
-    scored = scored.select("query_no", "id", cosine(F.col("_v"), F.col("_q")).alias("score"), F.pmod(F.xxhash64("id"), F.lit(slots)).alias("_slot"))
-    best = F.col("score").desc_nulls_last()
-    near = scored.withColumn("_rn", F.row_number().over(Window.partitionBy("query_no", "_slot").orderBy(best, "id"))).filter(F.col("_rn") <= k)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_no").orderBy(best, "id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_no", "id", "score", "rank")
+def many_queries(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector: str = "embedding") -> DataFrame:
+    """query_no, id, score, rank: the k nearest of each query, exactly, by block products; either side may exceed a task's memory."""
+    key = F.lit(0).alias("key")
+    return nearest(queries.select(key, "query_no", "vector"), vectors.select(key, F.col(id_).alias("id"), F.col(vector).alias("vector")), k)
 
 
 def position_scored(rows: DataFrame, k: int, order: str = "id") -> DataFrame:
@@ -104,13 +97,61 @@ def filtered(hits: DataFrame, min_score: float | None = None, sources: list[str]
     return hits
 
 
-def nearest_phrase(queries: DataFrame, phrases: DataFrame, least: float = 0.5) -> DataFrame:
-    """query_no, phrase, category, similarity of the nearest of a small, broadcast set of phrases, if near enough."""
-    from lexlake.functions.vectors import cosine
+def nearest_phrase(queries: DataFrame, phrases: DataFrame, least: float = 0.5, categories: list[str] | None = None) -> DataFrame:
+    """query_no, phrase, category, similarity of the nearest phrase (a number; of equally near ones the greatest), perhaps of some categories only,
+    if near enough."""
+    if categories is not None:
+        phrases = phrases.filter(F.col("category").isin(categories))
+    key = F.lit(0).alias("key")
+    best = nearest(queries.select(key, "query_no", "vector"), phrases.select(key, F.col("phrase").alias("id"), F.col("phrase_vector").alias("vector")), 1, last_id=True)
+    best = best.filter(F.col("score") >= least).select("query_no", F.col("id").alias("phrase"), F.col("score").alias("similarity"))
+    return best.join(phrases.select(F.col("phrase").cast("long").alias("phrase"), "category"), "phrase").select("query_no", "phrase", "category", "similarity")
+
+
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits with rich_text, fetched again by id (``texts``: id, rich_text); a hit without one keeps a null."""
+    return hits.join(texts.select("id", "rich_text"), "id", "left")
+
+
+#: Modes of the graph strategy.
+GRAPH_MODES = ("structure", "versions", "subject")
+
+
+def graph_hits(docs: DataFrame, mode: str, asked: str, k: int, path: str = "path", chain: str = "chain", order: str = "version_no", subject: str = "subject", id_: str = "doc_id") -> DataFrame:
+    """Hits of the graph strategy: by path (scored by place), all versions of a chain (the later the higher) or a subject's (by place); an unknown mode finds
+    nothing."""
+    if mode == "structure":
+        return path_hits(docs, asked, k, path, id_=id_)
+    if mode == "versions":
+        found = docs.filter(F.col(chain).cast("string") == asked).select(F.col(id_).alias("id"), F.col(order).alias("_o"))
+        every = Window.partitionBy(F.lit(0))
+        found = found.withColumn("score", F.row_number().over(every.orderBy("_o", "id")) / F.count("*").over(every))
+        return found.orderBy(F.desc("score"), "id").limit(k).select("id", "score", F.lit("graph").alias("strategy"))
+    rows = docs.filter(F.col(subject).cast("string") == asked) if mode == "subject" else docs.limit(0)
+    return position_scored(rows.select(F.col(id_).alias("id")), k).withColumn("strategy", F.lit("graph"))
+
 
-    rows = queries.join(F.broadcast(phrases), F.lit(True)).withColumn("similarity", cosine(F.col("vector"), F.col("phrase_vector")))
-    best = F.max_by(F.struct("phrase", "category", "similarity"), F.struct("similarity", "phrase")).alias("b")
-    return rows.groupBy("query_no").agg(best).select("query_no", "b.*").filter(F.col("similarity") >= least)
+def searched(strategies: dict[str, Callable[[], DataFrame]], names: list[str]) -> dict[str, DataFrame | Exception]:
+    """The hits of several strategies by name. One that isn't known is a ValueError before any runs; one that fails gives its error in place of hits, the
+    others are not touched (``hits_or_none`` makes it an empty list)."""
+    unknown = [n for n in names if n not in strategies]
+    if unknown:
+        raise ValueError(f"no strategy of the name {unknown[0]!r}; there are {sorted(strategies)}")
+    out: dict[str, DataFrame | Exception] = {}
+    for name in names:
+        try:
+            hits = strategies[name]()
+            _ = hits.schema
+            out[name] = hits
+        except Exception as e:  # whatever a strategy raises is its own failure
+            out[name] = e
+    return out
+
+
+def hits_or_none(spark: SparkSession, found: dict[str, DataFrame | Exception]) -> DataFrame:
+    """strategy, id, score of all strategies that ``searched`` could run; failed ones have no rows."""
+    rows = [x.select(F.lit(n).alias("strategy"), "id", F.col("score").cast("double").alias("score")) for n, x in found.items() if isinstance(x, DataFrame)]
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], "strategy string, id long, score double")
 
 
 def checked_requests(requests: DataFrame, most: int = 100) -> DataFrame:

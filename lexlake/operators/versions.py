@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexlake.session import small
+
 EARLIEST = "1800-01-01"
 
 
@@ -51,12 +53,60 @@ def as_of(left: DataFrame, versions: DataFrame, by: list[str], at: str, start: s
     return both.filter("_side = 1").select("_row.*", "as_of_id")
 
 
+#: Of the time that a key's versions span, at most 2 ** LEVELS buckets are made.
+LEVELS = 16
+
+
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp_ltz"))
+
+
+def _nodes(first: Column, end: Column) -> Column:
+    """The fewest (level, node) whose buckets, 2 ** level each, make up the buckets from ``first`` up to ``end``."""
+    node = lambda level, n: F.struct(level.alias("level"), n.alias("node"))
+    start = F.struct(first.alias("a"), end.alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b, out = acc["a"], acc["b"], acc["out"]
+        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        none = F.array().cast("array<struct<level:int,node:bigint>>")
+        out = F.concat(out, F.when(left, F.array(node(level, a))).otherwise(none), F.when(right, F.array(node(level, b - 1))).otherwise(none))
+        a, b = F.when(left, a + 1).otherwise(a), F.when((a < b) & (b % 2 == 1), b - 1).otherwise(b)
+        return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["out"])
+
+
 def valid_at(left: DataFrame, versions: DataFrame, by: list[str], left_id: str, at: str, id_: str) -> DataFrame:
-    """left_id and target_id for any intervals: of the versions in force the one that began last (unknown starts first)."""
-    pairs = left.select(*by, left_id, F.col(at).alias("_at")).join(versions.select(*by, id_, "valid_from", "valid_to"), by)
-    pairs = pairs.filter(in_force(F.col("_at"), F.col("valid_from"), F.col("valid_to")))
-    rank = F.struct(F.col("valid_from").isNull(), F.col("valid_from"), F.col(id_))
-    return pairs.groupBy(left_id).agg(F.max_by(id_, rank).alias("target_id"))
+    """left_id and target_id for any intervals: of the versions in force the one that began last (unknown starts first).
+
+    The time that a key's versions span is cut into about as many buckets as it has versions. A version is laid over the buckets that it
+    touches: where it begins or ends by itself, with its bounds checked, over whole buckets by the fewest nodes of a binary tree above them, of
+    which only the best version is kept. A row looks up its own bucket and the nodes above it, so a pair meets in one place alone, no row
+    meets all versions of its key, and a key with most rows is spread over its buckets. Rows without a time take their key's best version.
+    """
+    keyed = versions.select(*by, F.col(id_).alias("_id"), "valid_from", "valid_to", _micros(F.col("valid_from")).alias("_a"), _micros(F.col("valid_to")).alias("_b"))
+    rank = F.struct(F.col("valid_from").isNull().alias("unknown"), F.col("valid_from").alias("begins"), F.col("_id").alias("id"))
+    span = keyed.groupBy(*by).agg(F.min("_a").alias("_lo"), F.greatest(F.max("_a"), F.max("_b")).alias("_hi"), F.count("_a").alias("_n"), F.max(rank).alias("_best"))
+    levels = F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest("_n", F.lit(1))))).cast("int")
+    span = span.withColumn("_levels", levels).withColumn("_width", F.expr("(_hi - _lo) div shiftleft(1L, _levels) + 1"))
+    span = small(span.select(*by, "_lo", "_hi", "_levels", "_width", "_best"))
+
+    rows = left.select(*by, left_id, F.col(at).alias("_at")).join(span, by)
+    whenever = rows.filter("_at IS NULL").select(left_id, F.col("_best").alias("rank"))
+    timed = rows.filter("_at IS NOT NULL").withColumn("_t", _micros(F.col("_at"))).filter("_t >= _lo")
+    timed = timed.withColumn("_bucket", F.expr("(least(_t, _hi) - _lo) div _width"))
+
+    laid = keyed.filter("_a IS NOT NULL AND (_b IS NULL OR _a < _b)").join(span, by).select(*by, rank.alias("rank"), "_a", "_b", F.expr("(_a - _lo) div _width").alias("_first"), F.expr("(_b - _lo) div _width").alias("_last"), F.expr("shiftleft(1L, _levels)").alias("_all"))
+    ends = laid.select(*by, "rank", "_a", "_b", F.explode(F.array_distinct(F.array_compact(F.array("_first", "_last")))).alias("_bucket"))
+    inner = laid.select(*by, "rank", F.explode(_nodes(F.col("_first") + 1, F.coalesce("_last", "_all"))).alias("n"))
+    inner = inner.groupBy(*by, F.col("n.level").alias("_level"), F.col("n.node").alias("_node")).agg(F.max("rank").alias("rank"))
+
+    asks = timed.select(*by, left_id, "_t", "_bucket")
+    near = asks.join(ends, [*by, "_bucket"]).filter("_a <= _t AND (_b IS NULL OR _t < _b)").select(left_id, "rank")
+    above = timed.select(*by, left_id, "_bucket", F.explode(F.sequence(F.lit(0), F.col("_levels"))).alias("_level"))
+    above = above.withColumn("_node", F.expr("shiftright(_bucket, _level)")).join(inner, [*by, "_level", "_node"]).select(left_id, "rank")
+    return whenever.unionByName(near).unionByName(above).groupBy(left_id).agg(F.max("rank").alias("_best")).select(left_id, F.col("_best.id").alias("target_id"))
 
 
 def differences(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -173,3 +173,17 @@ def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = [F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_large")]
     per = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 4).alias("worker"), "event_type").agg(*counted)
     return ops.merged_stats([per.filter(F.col("worker") < 2), per.filter(F.col("worker") >= 2)], ["event_type"], ["n", "n_large"])
+
+
+@query(_sessions_sql(30) + " SELECT user_id, session_no, n_events FROM t")
+def sessions_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all users in two passes over slices of a day, as users with most of the rows need."""
+    rows = ops.sliced_sessions(table(spark, sf_dir, "events"), gap_minutes=30, slice_minutes=1440)
+    return rows.groupBy("user_id", "session_no").agg(F.count("*").alias("n_events"))
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW), 4) AS usage FROM events")
+def usage_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every kind of event used in the hour up to each event; the five kinds are cut into slices of six hours."""
+    rows = ops.sliding_usage(table(spark, sf_dir, "events"), 3600, by=("event_type",), slice_seconds=21600)
+    return rows.select("event_id", F.round("usage", 4).alias("usage"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.operators import graph as ops
-from lexlake.operators import versions
+from lexlake.operators import trees, versions
 from lexlake.plans.catalogue import query, table
 
 
@@ -144,3 +144,37 @@ def hop_and_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = hits.select("id", "o_custkey").join(newest, "o_custkey").select("id", "latest_id")
     refs = _references(spark, sf_dir).select("src", (-F.col("dst")).alias("dst"))
     return ops.hop_and_expand(hits.select("id", "rank"), newest, refs, 3)
+
+
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
+
+
+@query(_DOWN + " SELECT root, depth, count(*) AS n FROM t GROUP BY ALL")
+def label_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes lie how deep below every root, by ranges of pre-order numbers."""
+    return trees.descendants(trees.labelled(_hierarchy(spark, sf_dir)), _roots(spark, sf_dir)).groupBy("root", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, t AS (SELECT dst AS root, src AS id FROM e WHERE dst LIKE 'n%' UNION ALL SELECT t.root, e.src FROM t JOIN e ON e.dst = t.id)
+  SELECT e.src, e.dst FROM e WHERE e.src NOT IN (SELECT id FROM t WHERE root IN ('n3', 'n8')) AND e.dst NOT IN (SELECT id FROM t WHERE root IN ('n3', 'n8')) AND e.src NOT IN ('n3', 'n8') AND e.dst NOT IN ('n3', 'n8')""")
+def label_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges left when two nations and all below them are deleted, by ranges of pre-order numbers."""
+    edges = _hierarchy(spark, sf_dir)
+    labels = trees.labelled(edges)
+    roots = labels.filter(F.col("id").isin("n3", "n8")).select("id")
+    return trees.without(labels.select("id"), edges, labels, roots)[1].select("src", "dst")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, t AS (SELECT dst AS root, dst AS id, [dst] AS path FROM e WHERE dst LIKE 'r%' UNION SELECT t.root, e.src, list_append(t.path, e.src) FROM t JOIN e ON e.dst = t.id),
+  n AS (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY path) AS seq FROM t) SELECT root, id, seq, root || '_' || seq AS seq_id FROM n""")
+def label_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's place in its tree's pre-order, and an id of it."""
+    return trees.numbered(trees.labelled(_hierarchy(spark, sf_dir)), F.col("root")).select("root", "id", F.col("seq").cast("long").alias("seq"), "seq_id")
+
+
+@query("SELECT 'c' || c_custkey AS src, 'r' || n_regionkey AS dst FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders")
+def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy without nations: what was below them is linked to what is above."""
+    edges = _hierarchy(spark, sf_dir)
+    return trees.contracted(edges, edges.filter("src LIKE 'n%'").select(F.col("src").alias("id"))).select("src", "dst")

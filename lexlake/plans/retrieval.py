@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions.vectors import METRICS, cosine
-from lexlake.operators import evaluation
+from lexlake.operators import evaluation, vector_index
 from lexlake.operators import retrieval as ops
 from lexlake.plans.catalogue import query, table
+from lexlake.session import scratch
 
 WORD = "onth"
 _COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"
@@ -176,3 +177,48 @@ def float_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").withColumn("_bytes", packed(F.col("embedding")))
     return rows.select("vec_id", F.octet_length("_bytes").cast("long").alias("n_bytes"), (unpacked(F.col("_bytes")) == F.col("embedding")).alias("same"))
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those of every fiftieth id as queries."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors, vectors.filter("id % 50 = 0").select(F.col("id").alias("query_no"), "vector")
+
+
+@query(f"""SELECT query_no, id, rank FROM (SELECT q.vec_id AS query_no, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS rank
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10""")
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every fiftieth vector, through an inverted-file index of all: a few lists first, then those that may hold nearer ones."""
+    vectors, queries = _dense(spark, sf_dir)
+    path = scratch(spark, "vector-index")
+    vector_index.create(vectors, path)
+    found = vector_index.search(queries, path, 10, probes=4, exact=True)
+    return found.select("query_no", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def index_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the nearest 13 of 16 lists alone, half of the vectors having been added to the index later. A test holds its recall."""
+    vectors, queries = _dense(spark, sf_dir)
+    path = scratch(spark, "vector-index")
+    vector_index.create(vectors.filter("id % 2 = 0"), path, lists=16)
+    vector_index.add(vectors.filter("id % 2 = 1"), path)
+    return vector_index.search(queries, path, 10, probes=13).select("query_no", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS v FROM documents), a AS (SELECT doc_id, v::DOUBLE / count(*) OVER () AS score FROM d WHERE source = 'src3'),
+  b AS (SELECT doc_id, 1.0::DOUBLE - (row_number() OVER (ORDER BY doc_id) - 1)::DOUBLE / count(*) OVER () AS score FROM (SELECT doc_id FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 15))
+  SELECT 'subject' AS strategy, doc_id AS id, round(score, 6) AS score FROM b UNION ALL SELECT * FROM (SELECT 'versions', doc_id, round(score, 6) FROM a ORDER BY score DESC, doc_id LIMIT 15)""")
+def graph_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the graph strategy's modes on documents: versions of a chain, a subject, an unknown mode (nothing), and one that fails (nothing)."""
+    docs = table(spark, sf_dir, "documents")
+    modes = {m: (lambda m=m, x=x: ops.graph_hits(docs, m, x, 15, chain="source", order="doc_id", subject="lang")) for m, x in (("versions", "src3"), ("subject", "de"), ("other", "x"))}
+    found = ops.searched(modes | {"broken": lambda: docs.select("no_such_column")}, ["versions", "subject", "other", "broken"])
+    return ops.hits_or_none(spark, found).select("strategy", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_VEC % 10} SELECT v.id, round(score, 6) AS score, d.lang || ' > ' || d.source || chr(10) || d.text AS rich_text FROM v LEFT JOIN documents d ON d.doc_id = v.id")
+def hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors with their documents' rich texts, fetched again by id."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", F.lit(" > "), "source", F.lit("\n"), "text").alias("rich_text"))
+    return ops.with_texts(_vector_hits(spark, sf_dir, 10), texts).select("id", F.round("score", 6).alias("score"), "rich_text")

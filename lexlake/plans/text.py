@@ -10,26 +10,18 @@ from lexlake.functions import text as fn
 from lexlake.plans.catalogue import query, table
 
 
-def _literal(x: object) -> str:
-    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+# How numbers are spelled, without accents: 0 to 29, tens from 30, hundreds from 100 (before others; alone 'cien').
+UNITS = "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete dieciocho diecinueve veinte veintiuno veintidos veintitres veinticuatro veinticinco veintiseis veintisiete veintiocho veintinueve".split()
+TENS = "treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+HUNDREDS = "ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split()
 
 
-def _fixture(columns: str, rows: list[tuple]) -> str:
-    """Expected rows as a DuckDB query."""
-    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {values}) t({columns})"
-
-
-def _dealt(spark: SparkSession, sf_dir: str, name: str, key: str, cases: list[tuple], columns: list[str]) -> DataFrame:
-    """Every row of a table, by its key, with one of the cases in turn."""
-    few = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "_case long, " + ", ".join(f"{c} string" for c in columns))
-    return table(spark, sf_dir, name).select(key, (F.col(key) % len(cases)).cast("long").alias("_case")).join(F.broadcast(few), "_case").drop("_case")
-
-
-def _dealt_sql(name: str, key: str, columns: str, rows: list[tuple]) -> str:
-    """The rows expected of ``_dealt`` as a DuckDB query."""
-    values = ", ".join(f"({i}, " + ", ".join(map(_literal, r)) + ")" for i, r in enumerate(rows))
-    return f"SELECT {key}, {columns} FROM {name} JOIN (VALUES {values}) t(_case, {columns}) ON {key} % {len(rows)} = _case"
+def _spelled(n: str, div: str, of: str) -> str:
+    """An expression of the words of a number below 1000, in Spark (div: DIV, lists by ``element_at``) or DuckDB (//, ``list_extract``)."""
+    pick = lambda words, i: f"{of}({'array' if of == 'element_at' else 'list_value'}({', '.join(repr(w) for w in words)}), cast({i} as int))"
+    low = f"({n}) % 100"
+    small = f"CASE WHEN {low} < 30 THEN {pick(UNITS, f'1 + {low}')} ELSE concat({pick(TENS, f'{low} {div} 10 - 2')}, CASE WHEN {low} % 10 > 0 THEN concat(' y ', {pick(UNITS, f'1 + {low} % 10')}) ELSE '' END) END"
+    return f"CASE WHEN ({n}) < 100 THEN {small} WHEN ({n}) = 100 THEN 'cien' ELSE concat({pick(HUNDREDS, f'({n}) {div} 100')}, CASE WHEN {low} > 0 THEN concat(' ', {small}) ELSE '' END) END"
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -68,34 +60,31 @@ def change_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", fn.change_id(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("change_id"))
 
 
-NUMBER_WORDS = [("cero", "0"), ("veintiún", "21"), ("dieciséis", "16"), ("treinta y uno", "31"), ("treinta_y_uno", "31"), ("cincuenta y uno", "51"), ("noventa y nueve", "99"), ("ciento veintisiete", "127"), ("quinientas", "500"), ("primero", "1"), ("Décima", "10"), ("duodécimo", "12"), ("vigésimo", "20"), ("vigésimo_primero", "21"), ("adicional", None)]
-
-
-@query(_dealt_sql("orders", "o_orderkey", "word, number", NUMBER_WORDS))
+@query(f"SELECT o_orderkey, {_spelled('o_orderkey % 1000', '//', 'list_extract')} AS word, o_orderkey % 1000 AS number FROM orders")
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spanish number words, one for every order, as numbers, by a join with their spellings."""
-    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(w,) for w, _ in NUMBER_WORDS], ["word"])
-    return numbers.with_number(rows, "word", "number").select("o_orderkey", "word", F.col("number").cast("string").alias("number"))
-
+    """The last three digits of every order in Spanish words, as numbers again, by a join with their spellings."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_spelled("o_orderkey % 1000", "DIV", "element_at")).alias("word"))
+    return numbers.with_number(rows, "word", "number").select("o_orderkey", "word", F.col("number").cast("long").alias("number"))
 
-ARTICLES = [("Artículo 14", "14"), ("Art. 1 bis", "1 bis"), ("Artículo 154.1", "154"), ("Artículo 1.428", "1428"), ("art. 24", "24"), ("Artículo cincuenta y uno", "51"), ("Artículo primero", "1"), ("Disposición adicional primera", None), ("", None)]
 
-
-@query(_dealt_sql("orders", "o_orderkey", "title, number", ARTICLES))
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 997 AS n FROM orders)
+  SELECT k AS o_orderkey, CASE k % 7 WHEN 0 THEN n::VARCHAR WHEN 1 THEN n || ' bis' WHEN 2 THEN n::VARCHAR WHEN 3 THEN (1000 * (1 + k % 9) + n)::VARCHAR WHEN 4 THEN n::VARCHAR WHEN 5 THEN n || ' ' || substr('terquater', CASE WHEN n % 2 = 0 THEN 1 ELSE 4 END, CASE WHEN n % 2 = 0 THEN 3 ELSE 6 END) END AS number FROM o""")
 def article_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of article titles, one for every order, in digits or words."""
-    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(w,) for w, _ in ARTICLES], ["title"])
-    return numbers.with_article_number(rows, "title", "number").select("o_orderkey", "title", "number")
-
+    """Numbers of article titles made of every order's key: in digits, with suffix, section, thousands or ordinal sign, in words, or without a number."""
+    titles = ["concat('Artículo ', n, '.')", "concat('Art. ', n, ' bis')", "concat('Artículo ', n, '.', 1 + k % 9)", "concat('artículo ', 1 + k % 9, '.', lpad(n, 3, '0'), '. Objeto')", f"concat('ARTÍCULO ', {_spelled('n', 'DIV', 'element_at')})", "concat('Artículo ', n, if(n % 2 = 0, ' ter', ' quáter'), '. Casos')", "concat('Disposición adicional ', n)"]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 997).alias("n"))
+    rows = rows.select(F.col("k").alias("o_orderkey"), F.expr(f"element_at(array({', '.join(titles)}), cast(k % 7 as int) + 1)").alias("title"))
+    return numbers.with_article_number(rows, "title", "number").select("o_orderkey", "number")
 
-CITES = [("Artículo 14", "Constitución Española", "BOE-1978-000014", "art_14_ce_000014"), ("Artículo 3.b", "Código Civil", "x7", "art_3_b_cc_x7"), ("", "Ley de la Jurisdicción", None, "ref_lj"), ("Artículo 2", "Real Decreto Legislativo del Estatuto de los Trabajadores", "", "art_2_rdle")]
 
-
-@query(_dealt_sql("orders", "o_orderkey", "title, key", [(a + "|" + b, k) for a, b, _, k in CITES]))
+@query("""WITH p AS (SELECT p_partkey AS k, 'Ley de la ' || p_type || ' y ' || p_brand AS title FROM part), w AS (SELECT k, title, list_filter(string_split(lower(title), ' '), lambda x: x NOT IN ('de', 'la', 'y', '')) AS w FROM p)
+  SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN 'ref_' ELSE 'art_' || k || CASE WHEN k % 5 = 1 THEN '_b_' ELSE '_' END END || substr(array_to_string(list_transform(w, lambda x: x[1]), ''), 1, 4) || CASE WHEN k % 3 = 0 THEN '' ELSE '_' || right('BOE-A-' || k, 6) END AS key FROM w""")
 def cite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation keys of articles, one for every order."""
-    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [x[:3] for x in CITES], ["number", "title", "id"])
-    return rows.select("o_orderkey", F.concat_ws("|", "number", "title").alias("title"), fn.cite_key(F.col("number"), F.col("title"), F.col("id")).alias("key"))
+    """Citation keys made of every part's key, kind and brand."""
+    k = F.col("p_partkey")
+    number = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("Artículo "), k, F.when(k % 5 == 1, ".b").otherwise("")))
+    title = F.concat(F.lit("Ley de la "), "p_type", F.lit(" y "), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", fn.cite_key(number, title, F.when(k % 3 != 0, F.concat(F.lit("BOE-A-"), k))).alias("key"))
 
 
 @query("""WITH c AS (SELECT o_orderkey, '3' || strftime(o_orderdate, '%Y') || substr('RLDHCS', 1 + (o_orderkey % 6)::INT, 1) || o_orderkey AS celex FROM orders)
@@ -107,24 +96,21 @@ def celex_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", celex.alias("celex")).withColumn("kind", fn.celex_type(F.col("celex")))
 
 
-FOLDS = [("Constitución Española", "constitucion espanola"), ("a.b.Año/Ñu  3", "ano nu 3"), ("ÁÉÍÓÚ", "aeiou")]
-
-
-@query(_dealt_sql("orders", "o_orderkey", "name, folded", FOLDS))
+@query("SELECT c_custkey, lower(c_mktsegment) || ' ' || c_custkey AS folded FROM customer")
 def fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, one for every order, without marks, dots and signs."""
-    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(c,) for c, _ in FOLDS], ["name"])
-    return rows.select("o_orderkey", "name", fn.normalized(F.col("name")).alias("folded"))
-
-
-ANSWERS = [("b", "b"), ("a) porque", "a"), ("(c) es", "c"), ("Respuesta: d", "d"), ("La opción: b", "b"), ("es la c", "c"), ("no sé", None), ("", None), ("xyz b2", "b")]
+    """Names made of every customer's segment, with accents put in and a prefix before a dot, without all of these."""
+    name = F.concat(F.lit("x.é."), F.translate("c_mktsegment", "AEIOUN", "ÁËÎÒÚÑ"), F.lit(" / -"), F.col("c_custkey"), F.lit("!"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.normalized(name).alias("folded"))
 
 
-@query(_dealt_sql("orders", "o_orderkey", "answer, letter", ANSWERS))
+@query("SELECT c_custkey, CASE WHEN c_custkey % 9 < 8 THEN substr('abcd', 1 + (c_custkey // 9 % 4)::INT, 1) END AS letter FROM customer")
 def answer_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The option that an answer, one for every order, names."""
-    rows = _dealt(spark, sf_dir, "orders", "o_orderkey", [(c,) for c, _ in ANSWERS], ["answer"])
-    return rows.select("o_orderkey", "answer", fn.answer_letter(F.col("answer")).alias("letter"))
+    """The option that an answer, made for every customer in one of nine forms, names."""
+    forms = ["l", "concat(l, ') porque ', c)", "concat('(', upper(l), ') es lo justo')", "concat('Mi Respuesta: ', upper(l), ' sin más')", "concat('Es por opción ', l)", "concat('La ', l, ' es')", "concat('es un ', l, ' ')", "concat('xyz ', l, c)", "concat('no sé, ', c)"]
+    letter = F.substring(F.lit("abcd"), (F.expr("c DIV 9 % 4") + 1).cast("int"), F.lit(1))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).withColumn("l", letter)
+    answer = F.expr(f"element_at(array({', '.join(forms)}), cast(c % 9 as int) + 1)")
+    return rows.select(F.col("c").alias("c_custkey"), fn.answer_letter(answer).alias("letter"))
 
 
 @query("""SELECT o_orderkey, substr('LC', 1 + (o_orderkey % 2)::INT, 1) AS series, o_orderkey::VARCHAR AS number, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS date FROM orders""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexlake.plans import analytics, context, conversations, corpus, graph, retrieval, text, versions  # noqa: F401  each registers its queries
+from lexlake.plans import analytics, context, conversations, corpus, graph, pipelines, retrieval, text, versions  # noqa: F401  each registers its queries
 from lexlake.plans.catalogue import ORACLE, QUERIES, Query
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -37,6 +39,24 @@ def ship(spark: SparkSession) -> None:
     context._lexlake_shipped = True
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder (see ``checkpointed``), removed when the session's JVM ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexlake-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, short ones; beyond, joins shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut, in the folder that ``spark.checkpoint.dir`` names; a local session without
     that setting gets a temporary one."""

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from lexlake.functions import numbers, text
 from lexlake.functions.citations import find_citations, unique_keys, without_marks
 from lexlake.operators import batches, conversations, graph, law_tree, linking, sinks
-from lexlake.plans import corpus
 from lexlake.sources import files, laws
 from lexlake.streaming import jobs
+from tests.test_golden import LAW
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,7 +128,7 @@ def law_rows(df):
 
 
 def test_law_reading(spark):
-    source = spark.createDataFrame([("L1", corpus.LAW.format(id="L1")), ("bad", "<x"), ("none", None)], "law_id string, xml string")
+    source = spark.createDataFrame([("L1", LAW.format(id="L1")), ("bad", "<x"), ("none", None)], "law_id string, xml string")
     lines = laws.law_lines(source).cache()
     assert {r["law_id"] for r in lines.filter("kind = 'error'").collect()} == {"bad", "none"}
     assert lines.filter("block_type = 'firma'").count() == 0
