@@ -45,11 +45,12 @@ def law_changes(events: DataFrame, affected: DataFrame) -> DataFrame:
     return events.join(per, "event_id", "left").withColumn("articles", F.coalesce("articles", F.lit("")))
 
 
-def accumulated(context: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """A context (id, position) after articles were added, each once and at its first place, and others removed."""
-    both = context.select("id", "position", F.lit(0).alias("_new")).unionByName(added.select("id", "position", F.lit(1).alias("_new")))
-    first = both.groupBy("id").agg(F.min(F.struct("_new", "position")).alias("_at")).join(removed.select("id"), "id", "left_anti")
-    return first.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")).alias("position"))
+def accumulated(context: DataFrame, added: DataFrame, removed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Contexts (id, position; one, or one for each ``by``) after articles were added, each once and at its first place, and others removed."""
+    by = by or []
+    both = context.select(*by, "id", "position", F.lit(0).alias("_new")).unionByName(added.select(*by, "id", "position", F.lit(1).alias("_new")))
+    first = both.groupBy(*by, "id").agg(F.min(F.struct("_new", "position")).alias("_at")).join(removed.select(*by, "id"), [*by, "id"], "left_anti")
+    return first.select(*by, "id", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_at", "id")).alias("position"))
 
 
 def assembled(lists: list[DataFrame], by: str) -> DataFrame:

@@ -53,6 +53,26 @@ def as_of(left: DataFrame, versions: DataFrame, by: list[str], at: str, start: s
     return both.filter("_side = 1").select("_row.*", "as_of_id")
 
 
+def sliced_as_of(left: DataFrame, versions: DataFrame, by: list[str], at: str, start: str, id_: str, slice_days: int = 90) -> DataFrame:
+    """``as_of`` for keys with more rows than a task should sort: a window sees one slice of a key's time.
+
+    What a slice starts with is the last version of the slices before it, from a row for each key and slice; rows without a time have none.
+    """
+    number = F.floor(F.unix_micros(F.col("_t").cast("timestamp_ltz")) / (86_400_000_000 * slice_days))
+    kind = versions.schema[id_].dataType
+    stacked = left.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_id"), F.struct(*left.columns).alias("_row"))
+    own = versions.select(*by, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.col(id_).alias("_id"), F.lit(None).cast(stacked.schema["_row"].dataType).alias("_row")).filter("_t IS NOT NULL")
+    both = stacked.unionByName(own).withColumn("_slice", number)
+    near = Window.partitionBy(*by, "_slice").orderBy("_t", "_side", "_id")
+    both = both.withColumn("_near", F.last("_id", ignorenulls=True).over(near)).filter("_side = 1")
+    heads = own.withColumn("_slice", number).groupBy(*by, "_slice").agg(F.max(F.struct("_t", "_id")).alias("_last"))
+    asked = stacked.withColumn("_slice", number).select(*by, "_slice").distinct().withColumn("_last", F.lit(None).cast(heads.schema["_last"].dataType))
+    along = Window.partitionBy(*by).orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    heads = heads.unionByName(asked).withColumn("_before", F.last("_last", ignorenulls=True).over(along)["_id"])
+    heads = heads.filter("_slice IS NOT NULL").groupBy(*by, "_slice").agg(F.max("_before").alias("_before"))
+    return both.join(heads, [*by, "_slice"], "left").select("_row.*", F.when(F.col("_t").isNotNull(), F.coalesce("_near", "_before")).alias("as_of_id"))
+
+
 #: Of the time that a key's versions span, at most 2 ** LEVELS buckets are made.
 LEVELS = 16
 

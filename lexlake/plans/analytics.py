@@ -16,6 +16,12 @@ def stamp(column: str):
     return F.date_format(F.col(column).cast("timestamp"), STAMP)
 
 
+def _last(events: DataFrame):
+    """The last event's time, one value, as a literal: bounds from it reach the scan."""
+    (now,) = events.agg(F.max("ts")).first()
+    return F.lit(now).cast("timestamp_ntz")
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type")
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by type in a closed range."""
@@ -39,16 +45,14 @@ def events_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users active in the last twelve hours of the data."""
     events = table(spark, sf_dir, "events")
-    last = events.agg(F.max("ts").alias("last"))
-    return events.join(F.broadcast(last), F.col("ts") > F.col("last") - F.expr("INTERVAL 720 MINUTES")).agg(F.countDistinct("user_id").alias("active_users"))
+    return events.filter(F.col("ts") > _last(events) - F.expr("INTERVAL 720 MINUTES")).agg(F.countDistinct("user_id").alias("active_users"))
 
 
 @query("SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS errors, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
 def error_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by day over the last seven days of the data."""
     events = table(spark, sf_dir, "events")
-    last = F.broadcast(events.agg(F.max("ts").alias("last")))
-    rows = events.filter("event_type = 'error'").join(last, F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS"))
+    rows = events.filter(F.col("ts") >= _last(events) - F.expr("INTERVAL 7 DAYS")).filter("event_type = 'error'")
     return rows.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("errors"), F.countDistinct("user_id").alias("users"))
 
 
@@ -76,8 +80,7 @@ for _name, _minutes in (("sessions_30m", 30), ("sessions_12h", 720)):
 def stale_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with the time they ended, null for those alive at the data's last moment."""
     events = table(spark, sf_dir, "events")
-    last = F.broadcast(events.agg(F.max("ts").alias("now")))
-    rows = ops.end_stale(ops.session_table(events).crossJoin(last), F.col("now"))
+    rows = ops.end_stale(ops.session_table(events), _last(events))
     return rows.select("user_id", "session_no", stamp("ended_at").alias("ended_at"))
 
 
@@ -163,8 +166,7 @@ def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unexpired_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries less than a day old at the last event's time, which is one row and goes into the plan as a literal."""
     events = table(spark, sf_dir, "events")
-    (now,) = events.agg(F.max("ts")).first()
-    return ops.unexpired(events, "ts", F.lit(now).cast("timestamp_ntz")).select("event_id", "user_id")
+    return ops.unexpired(events, "ts", _last(events)).select("event_id", "user_id")
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_large FROM events GROUP BY event_type")

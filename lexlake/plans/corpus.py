@@ -201,6 +201,7 @@ SENTENCES = [
     (f"concat('el artículo 1.', lpad({_N}, 3, '0'), ' de la LEC')", [("abbreviated", f"(1000 + {_N})", "'BOE-A-2000-323'")]),
     (f"concat('Los arts. ', {_N}, ', ', {_N} + 1, ' y ', {_N} + 3, ' de la LOPJ.')", [("abbreviated", f"({_N} + {k})", "'BOE-A-1985-12666'") for k in (0, 1, 3)]),
     ("concat('Nada que citar en ', c, ' palabras.')", []),
+    (f"concat('Ni el artículo ', {_N}, ' del Estatuto de Autonomía de Cataluña ni el Estatuto del País Vasco ni el de los Trabajadores.')", [("statute_of_autonomy", _N, None), ("statute_of_autonomy", None, None)]),
 ]
 _REFS = " UNION ALL ".join(f"SELECT c AS c_custkey, '{kind}' AS kind, {f'{article}::VARCHAR' if article else 'NULL'} AS article, {law or 'NULL'} AS law FROM k WHERE c % {len(SENTENCES)} = {i}" for i, (_, rows) in enumerate(SENTENCES) for kind, article, law in rows)
 
@@ -259,4 +260,4 @@ def bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 500 AS INT) AS chunk_no FROM documents")
 def chunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 500 documents of every source."""
-    return batches.numbered_chunks(table(spark, sf_dir, "documents"), ["source"], "doc_id").select("doc_id", "chunk_no")
+    return batches.numbered_chunks(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id").select("doc_id", "chunk_no")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions import citations as cites
 from lexlake.functions import text as fn
-from lexlake.operators import bucketed, context, conversations, exams, law_tree, linking, runs, sinks
+from lexlake.operators import bucketed, context, conversations, exams, law_tree, linking, migrations, runs, sinks
 from lexlake.plans.analytics import stamp
 from lexlake.plans.catalogue import query, table
 from lexlake.plans.corpus import _SQL_LAWS, SENTENCES, _customers, _law_lines, _laws, _versions
@@ -256,6 +256,7 @@ _GROUPS = " UNION ALL ".join(f"SELECT {k[0]} AS key, '{k[1]}' AS reference_type
 
 
 @query(f"""WITH k AS (SELECT c_custkey AS c FROM customer), u AS ({_GROUPS} UNION ALL SELECT unnest(['stc ' || (1 + c % 400) || '/2020', 'sts ' || (1 + c % 37) || '/2019']), 'judicial' FROM k WHERE c % {len(SENTENCES)} = 6
+  UNION ALL SELECT unnest(['estatuto de autonomía de cataluña', 'estatuto del país vasco']), 'statute_of_autonomy' FROM k WHERE c % {len(SENTENCES)} = 14
   UNION ALL SELECT unnest(['directiva 2006/' || (1 + c % 400) || '/CE', 'reglamento 2016/' || (1 + c % 37)]), 'eu_legislation' FROM k WHERE c % {len(SENTENCES)} = 9) SELECT key, reference_type, count(*) AS n FROM u WHERE reference_type <> 'judicial' GROUP BY ALL""")
 def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited laws that aren't known, with how often they are cited."""
@@ -281,3 +282,28 @@ def reused_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = keys.withColumn("needs_search", F.col("id") % 3 > 0)
     collected = keys.filter("id % 2 = 0").withColumn("context", F.concat(F.lit("new "), "id"))
     return context.reused(decisions, collected, keys.withColumn("context", F.concat(F.lit("old "), "id")), "id")
+
+
+@query("""WITH u AS (SELECT conv_id, turn AS id, turn AS p, 0 AS l FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, turn, 1 FROM conversations), f AS (SELECT conv_id, id, min((l, p)) AS place FROM u WHERE id % 5 <> 3 GROUP BY ALL)
+  SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id ORDER BY place, id) AS position FROM f""")
+def accumulated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of all conversations after turns were added to those of users and every fifth was taken out."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("position"), "role")
+    found = context.accumulated(turns.filter("role = 'user'"), turns, turns.filter("id % 5 = 3"), ["conv_id"])
+    return found.select("conv_id", "id", F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT c_custkey AS id, c_name AS title, c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END AS state FROM customer WHERE c_custkey % 4 > 0")
+def migrated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after three migrations in order, applied in two sittings, each once."""
+    path = scratch(spark, "migrations")
+    state = F.when(F.col("balance") < 0, "owes").otherwise("has")
+    all_ = [
+        migrations.Migration(1, "names", lambda d: d.withColumnsRenamed({"c_custkey": "id", "c_name": "title", "c_mktsegment": "segment", "c_acctbal": "balance"})),
+        migrations.Migration(2, "state in place of balance", lambda d: d.withColumn("state", state).drop("balance")),
+        migrations.Migration(3, "fewer", lambda d: d.filter("id % 4 > 0")),
+    ]
+    migrations.create(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), path)
+    migrations.apply(spark, path, all_[:1])
+    migrations.apply(spark, path, all_)
+    return migrations.read(spark, path).select("id", "title", "segment", "state")

@@ -68,6 +68,16 @@ def asof_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.as_of(lines, orders, ["o_custkey"], "l_shipdate", "o_orderdate", "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "as_of_id")
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, row_number() OVER () AS line FROM lineitem),
+  r AS (SELECT l.*, o.o_orderkey AS as_of_id, row_number() OVER (PARTITION BY line ORDER BY o.o_orderdate DESC NULLS LAST, o.o_orderkey DESC NULLS LAST) AS rn FROM l LEFT JOIN orders o ON o.o_custkey = l.l_suppkey AND o.o_orderdate <= l.l_shipdate)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, as_of_id FROM r WHERE rn = 1""")
+def asof_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with the order, of the customer with its supplier's number, that was the last when it shipped; keys are cut into slices of time."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.col("l_suppkey").alias("o_custkey"))
+    found = ops.sliced_as_of(lines, table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], "l_shipdate", "o_orderdate", "o_orderkey")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "as_of_id")
+
+
 @query(f"""WITH {_CHAIN} SELECT e.event_id, max_by(c.o_orderkey, (c.o_orderdate, c.o_orderkey)) AS target_id FROM (SELECT *, ts - INTERVAL 9000 DAY AS at FROM events) e JOIN c ON c.o_custkey = e.user_id AND c.o_orderdate <= e.at AND (c.valid_to IS NULL OR e.at < c.valid_to) GROUP BY 1""")
 def valid_at_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their user's version in force at a time, for any intervals."""

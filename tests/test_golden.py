@@ -137,6 +137,14 @@ def test_sentences(spark):
     assert got == sorted(REFS, key=repr)
 
 
+def test_statutes(spark):
+    of = lambda t: [(r["kind"], r["article"], r["law_type"]) for r in cites.find_citations(t)]
+    assert of("artículo 5 del Estatuto de Autonomía de Cataluña, y más") == [("article_of_law", "5", "estatuto de autonomía de cataluña")]
+    assert of("el Estatuto del País Vasco y el Estatuto de Galicia") == [("named_law", None, "estatuto del país vasco"), ("named_law", None, "estatuto de galicia")]
+    assert of("Estatuto de Autonomía de la Comunidad Valenciana") == [("named_law", None, "estatuto de autonomía de la comunidad valenciana")]
+    assert of("el Estatuto de los Trabajadores, el estatuto de autonomía vigente, un estatuto de personal") == [("named_law", None, "estatuto de los trabajadores"), ("named_law", None, "estatuto de autonomía")]
+
+
 def test_words_titles_keys_and_answers(spark):
     df = spark.createDataFrame([(w,) for w, _ in NUMBER_WORDS], "w string")
     assert {r["w"]: r["n"] for r in numbers.with_number(df, "w", "n").collect()} == {w: None if n is None else int(n) for w, n in NUMBER_WORDS}

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lexlake.operators import bucketed, runs
+from lexlake.operators import bucketed, migrations, runs
 from lexlake.sources import acts, pages
 from lexlake.streaming import ingest
 from tests.test_golden import LAW
@@ -128,3 +128,18 @@ def test_ingest_killed_and_started_again(spark, tmp_path):
         assert cells(ingest.table(spark, out, name)) == cells(ingest.table(spark, once, name))
     ingest.ingest(ingest.landed(spark, inbox, 1), out, checkpoint).awaitTermination()
     assert ingest.table(spark, out, "nodes").filter("label = 'normativa'").count() == 3
+
+
+def test_migrations_in_order_and_once(spark, tmp_path):
+    path = str(tmp_path / "m")
+    migrations.create(spark.range(10).toDF("a"), path)
+    one, two = migrations.Migration(1, "rename", lambda d: d.toDF("b")), migrations.Migration(2, "half", lambda d: d.filter("b < 5"))
+    broken = migrations.Migration(2, "half", lambda d: d.selectExpr("assert_true(b < 0)"))
+    with pytest.raises(Exception, match="assert|is not true"):
+        migrations.apply(spark, path, [one, broken])
+    assert migrations.read(spark, path).columns == ["b"] and migrations.read(spark, path).count() == 10
+    assert migrations.apply(spark, path, [two, one]) == [2] and migrations.apply(spark, path, [one, two]) == []
+    assert migrations.read(spark, path).count() == 5 and [r["number"] for r in migrations.record(spark, path).collect()] == [0, 1, 2]
+    for wrong in ([two], [one, migrations.Migration(2, "other", two.change)], [one], [one, two, migrations.Migration(4, "gap", two.change)]):
+        with pytest.raises(ValueError):
+            migrations.apply(spark, path, wrong)
