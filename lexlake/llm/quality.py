@@ -162,7 +162,7 @@ def limits(sketch: DataFrame, least: int = LEAST_DOCS, rules: tuple[Rule, ...] =
 
 
 def judged(stats: DataFrame, names: dict[str, str], found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``stats`` with base_failed, failed_rules (names, by the rules' order) and kept (null in the table before: replaced).
+    """``stats`` with base_failed, failed_rules (names, by the rules' order) and kept; columns of these names are replaced.
 
     Limits are broadcast if they are few; else both sides are shuffled, each group's rows spread over ``SALTS`` tasks.
     """
