@@ -114,7 +114,8 @@ def distributed(lines: DataFrame) -> DataFrame:
     """
     lines = checkpointed(lines)
     blocks = lines.groupBy("law_id", "block_no", "block_id", "block_title", "block_type").agg((F.max("version_no") + 1).alias("next"))
-    blocks = blocks.withColumn("numbers", title_numbers(F.col("block_title"))).filter("numbers IS NOT NULL")
+    # read twice below: titles are taken apart once
+    blocks = checkpointed(blocks.withColumn("numbers", title_numbers(F.col("block_title")))).filter("numbers IS NOT NULL")
     single = blocks.filter("size(numbers) = 1").select("law_id", F.col("numbers")[0].alias("number"), F.struct("block_no", "block_id", "block_title", "block_type", "next").alias("to"))
     compound = blocks.filter("size(numbers) > 1").select("law_id", "block_id", F.explode("numbers").alias("number"))
     moves = compound.join(single, ["law_id", "number"], "left").groupBy("law_id", "block_id").agg(F.collect_list("to").alias("_moves"))
