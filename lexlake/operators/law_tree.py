@@ -36,9 +36,11 @@ def item_kind(mark: Column, followed: Column) -> Column:
 
 def classified(lines: DataFrame) -> DataFrame:
     """``lines`` with node_type, from a line's first word and what follows it."""
-    line = fold(F.lower(F.trim("text")))
-    head = F.regexp_extract(line, r"^(\S+)", 1)
-    word, rest = F.rtrim(head, F.lit(".")), F.btrim(F.regexp_replace(line, r"^\S+", ""))
+    # a column for each step: what several conditions read is worked out once for a line
+    rows = lines.withColumn("_low", F.lower(F.trim("text"))).withColumn("_line", fold(F.col("_low")))
+    rows = rows.withColumns({"_mark": F.regexp_extract("_low", r"^(\S+)", 1), "_head": F.regexp_extract("_line", r"^(\S+)", 1)})
+    rows = rows.withColumns({"_word": F.rtrim("_head", F.lit(".")), "_rest": F.btrim(F.substr("_line", F.char_length("_head") + 1))})
+    head, word, rest = F.col("_head"), F.col("_word"), F.col("_rest")
     follows = F.regexp_extract(rest, r"^(\S+)", 1)
     ordinal = F.rlike(follows, F.lit("^(" + "|".join(ORDINALS) + ")[oa]?\\W*$|^[0-9]+[.]?ª")) | F.rlike(rest, F.lit("^[0-9]+[.]? ª"))
     one_name = F.rlike(rest, F.lit("^([ivx]+|[0-9]+|[a-z])?[.]?$"))
@@ -46,10 +48,9 @@ def classified(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind") == "table", "table")
     kind = kind.when(word.isin("disposicion", "libro", "titulo", "capitulo") & (head == word) & (rest != ""), word)
     kind = kind.when(word.isin("seccion", "subseccion") & ordinal, word).when((word == "anexo") & one_name, word)
-    kind = kind.when(word.isin("articulo", "art") & follows.startswith("unico"), "articulo_unico")
-    kind = kind.when(word.isin("articulo", "art") & (F.rlike(follows, F.lit("^[0-9]")) | spelled), "articulo")
-    mark = F.regexp_extract(F.lower(F.trim("text")), r"^(\S+)", 1)
-    return lines.withColumn("node_type", F.coalesce(kind, item_kind(mark, rest != ""), F.lit("parrafo")))
+    article = F.when(follows.startswith("unico"), "articulo_unico").when(F.rlike(follows, F.lit("^[0-9]")) | spelled, "articulo")
+    kind = F.coalesce(kind, F.when(word.isin("articulo", "art"), article), item_kind(F.col("_mark"), rest != ""), F.lit("parrafo"))
+    return rows.select(*lines.columns, kind.alias("node_type"))
 
 
 def structured(lines: DataFrame) -> DataFrame:

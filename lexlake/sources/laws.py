@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 LINES = "law_id string, block_no int, block_id string, block_type string, block_title string, version_no int, source_id string, published string, valid_from string, line_no int, kind string, text string"
 META = "law_id string, field string, value string"
+#: Rows handed on to Spark at a time.
+BATCH = 4096
 # Block types that hold no law text.
 SKIPPED_BLOCKS = ["nota_inicial", "firma"]
 # Classes of the official HTML, by what a line of them is.
@@ -59,16 +61,23 @@ def _law_lines(law_id: str, xml: str | None) -> Iterator[tuple]:
 
 
 def _apply(df: DataFrame, schema: str, parse) -> DataFrame:
-    """Rows that ``parse(id, content)`` yields for each row of ``df`` (id, content)."""
-    names = [f.strip().split()[0] for f in schema.split(",")]
+    """Rows that ``parse(id, content)`` yields for each row of ``df`` (id, content), in batches of about ``BATCH`` rows."""
+    fields = [f.strip().split() for f in schema.split(",")]
+    target = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in fields])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), target.types, strict=True)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
             for i, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(parse(i, content))
-                if rows:
-                    types = [pa.int32() if f.strip().endswith(" int") else pa.string() for f in schema.split(",")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                held.extend(parse(i, content))
+                if len(held) >= BATCH:
+                    yield batch(held)
+                    held = []
+        if held:
+            yield batch(held)
 
     return df.mapInArrow(run, schema)
 
