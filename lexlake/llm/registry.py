@@ -51,7 +51,7 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chroma fingerprints of all conversation turns, read out as sound, and the recordings that align with those of
     every fiftieth conversation. The tables hold no audio: words become chords before the operator sees them."""
     turns = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("recording"), "text")
-    prints = audio.fingerprints(turns, ["recording"], "text", audio.rendered)
+    prints = audio.fingerprints(turns, ["recording"], "text", audio.rendered_pieces)
     found = audio.search(prints, "recording", F.coalesce(F.col("recording.conv_id") % 50 == 0, F.lit(False)))
     return found.select("recording.*", "*").drop("recording")
 
