@@ -68,22 +68,23 @@ def end_stale(sessions_df: DataFrame, now: Column, idle_minutes: int = 30) -> Da
 
 
 def sliding_usage(events: DataFrame, seconds: int, value: str = "value", by: tuple[str, ...] = ("user_id",), slice_seconds: int | None = None) -> DataFrame:
-    """``events`` with usage: sum of ``value`` of the same key over the seconds up to and with the row.
+    """``events`` with usage: sum of ``value`` of the same key over the seconds up to and with the row, to the microsecond.
 
     With ``slice_seconds`` (no less than ``seconds``) a window sees one slice of a key's time: a row goes to its own slice and, if it counts for rows after
     the slice's end, once more to the next, where it is dropped after it has counted.
     """
-    timed = events.withColumn("_s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    timed = events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    micros = 1_000_000 * seconds
     if slice_seconds is None:
-        frame = Window.partitionBy(*by).orderBy("_s").rangeBetween(-seconds, 0)
-        return timed.withColumn("usage", F.sum(value).over(frame)).drop("_s")
+        frame = Window.partitionBy(*by).orderBy("_us").rangeBetween(-micros, 0)
+        return timed.withColumn("usage", F.sum(value).over(frame)).drop("_us")
     if slice_seconds < seconds:
         raise ValueError("a slice must be as long as the time that is looked back")
-    own = F.floor(F.col("_s") / slice_seconds)
-    ahead = F.floor((F.col("_s") + seconds) / slice_seconds)
+    own = F.floor(F.col("_us") / (1_000_000 * slice_seconds))
+    ahead = F.floor((F.col("_us") + micros) / (1_000_000 * slice_seconds))
     timed = timed.withColumn("_own", own).withColumn("_slice", F.explode(F.array_distinct(F.array("_own", F.coalesce(ahead, "_own")))))
-    frame = Window.partitionBy(*by, "_slice").orderBy("_s").rangeBetween(-seconds, 0)
-    return timed.withColumn("usage", F.sum(value).over(frame)).filter(F.col("_slice").eqNullSafe(F.col("_own"))).drop("_s", "_own", "_slice")
+    frame = Window.partitionBy(*by, "_slice").orderBy("_us").rangeBetween(-micros, 0)
+    return timed.withColumn("usage", F.sum(value).over(frame)).filter(F.col("_slice").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_slice")
 
 
 def merge_counters(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

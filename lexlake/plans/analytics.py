@@ -137,8 +137,8 @@ def peak_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 4) AS usage
   FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)""")
 def usage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's user's sum of values over the hour before it."""
-    rows = ops.sliding_usage(table(spark, sf_dir, "events"), 3600)
+    """Each event's user's sum of values over the hour before it, in whole seconds."""
+    rows = ops.sliding_usage(table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts")), 3600)
     return rows.select("event_id", "user_id", F.round("usage", 4).alias("usage"))
 
 

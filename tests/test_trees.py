@@ -119,3 +119,13 @@ def test_sessions_and_usage_by_slices(spark):
         assert cells(analytics.sliding_usage(timed, 600, slice_seconds=seconds), "event_id", "usage") == whole
     with pytest.raises(ValueError):
         analytics.sliding_usage(timed, 600, slice_seconds=599)
+
+
+def test_usage_counts_by_the_microsecond(spark):
+    start = dt.datetime(2024, 1, 1, 12)
+    at = [(1, 0.2), (2, 0.9), (3, 600.1), (4, 600.2), (5, 600.200001)]
+    rows = [(1, i, start + dt.timedelta(seconds=s), float(10**i)) for i, s in at]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, value double")
+    want = {1: 10, 2: 110, 3: 1110, 4: 11110, 5: 111100}
+    for seconds in (None, 600, 3600):
+        assert {r["event_id"]: r["usage"] for r in analytics.sliding_usage(events, 600, slice_seconds=seconds).collect()} == want
