@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from lexlake.functions.numbers import with_article_number
 from lexlake.functions.text import ARTICLE_WORDS, change_id, fold, is_digits, title_words
-from lexlake.operators import trees
 from lexlake.operators.versions import closed
-from lexlake.session import checkpointed
+from lexlake.session import partitions, written
 
 #: Headings, the wider first. A section is told from a sentence by the ordinal that follows the word.
 STRUCTURE = ["libro", "titulo", "capitulo", "seccion", "subseccion"]
@@ -22,6 +21,8 @@ ARTICLES = ["articulo", "articulo_unico", "anexo", "disposicion"]
 ORDINALS = ["unic", "primer", "segund", "tercer", "cuart", "quint", "sext", "septim", "octav", "noven", "decim", "undecim", "duodecim"]
 #: Kinds of enumerated lines, the wider first.
 ITEMS = ["apartado_numerico", "apartado_alfa", "ordinal_alfa", "ordinal_numerico"]
+#: Lines to a partition, and the deepest level that ``elements`` gives.
+LINES, DEEPEST = 200_000, 4
 
 
 def item_kind(mark: Column, followed: Column) -> Column:
@@ -110,17 +111,23 @@ def distributed(lines: DataFrame) -> DataFrame:
     """``lines`` where the versions of a block with a compound title go to the blocks of its articles, titled as
     these are, and the compound block goes.
 
-    The lines are computed once and kept in the shared folder; titles come from one aggregate of their blocks, and only what a law's
-    blocks say of each other is joined to the lines.
+    The lines are computed once and kept in the shared folder; titles come from one aggregate of their blocks. What a law's blocks say of
+    each other meets the lines by law, and the result stays dealt by law, ``LINES`` to a partition: what follows needs no other shuffle.
     """
-    lines = checkpointed(lines)
+    spark = lines.sparkSession
+    lines = written(lines, "law-lines")
     blocks = lines.groupBy("law_id", "block_no", "block_id", "block_title", "block_type").agg((F.max("version_no") + 1).alias("next"))
     # read twice below: titles are taken apart once
-    blocks = checkpointed(blocks.withColumn("numbers", title_numbers(F.col("block_title")))).filter("numbers IS NOT NULL")
+    blocks = written(blocks.withColumn("numbers", title_numbers(F.col("block_title"))).filter("numbers IS NOT NULL"), "law-titles")
     single = blocks.filter("size(numbers) = 1").select("law_id", F.col("numbers")[0].alias("number"), F.struct("block_no", "block_id", "block_title", "block_type", "next").alias("to"))
     compound = blocks.filter("size(numbers) > 1").select("law_id", "block_id", F.explode("numbers").alias("number"))
-    moves = compound.join(single, ["law_id", "number"], "left").groupBy("law_id", "block_id").agg(F.collect_list("to").alias("_moves"))
-    rows = lines.join(moves, ["law_id", "block_id"], "left").withColumn("_to", F.explode(F.coalesce("_moves", F.array(F.lit(None).cast(moves.schema["_moves"].dataType.elementType)))))
+    n = partitions(spark, lines.count(), LINES)
+    moves = compound.join(single, ["law_id", "number"], "left").repartition(n, "law_id").groupBy("law_id").agg(F.collect_list(F.struct(F.col("block_id").alias("of"), "to")).alias("_moves"))
+    rows = lines.repartition(n, "law_id").join(moves.hint("shuffle_hash"), "law_id", "left")
+    here = F.filter("_moves", lambda m: m["of"] == F.col("block_id"))
+    none = F.array(F.lit(None).cast(single.schema["to"].dataType))
+    found = F.filter(F.transform(here, lambda m: m["to"]), lambda to: to.isNotNull())
+    rows = rows.withColumn("_to", F.explode(F.when(F.size(here) > 0, found).otherwise(none)))
     to, moved = F.col("_to"), F.col("_to").isNotNull()
     text = F.when(moved & (F.col("line_no") == 0), to["block_title"]).otherwise(F.col("text"))
     values = {c: F.when(moved, to[c]).otherwise(F.col(c)) for c in ("block_no", "block_id", "block_title", "block_type")}
@@ -132,10 +139,11 @@ def graph_rows(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node rows (id, label, name) and edge rows (src, rel, dst) of laws and article versions."""
     laws = versions.select(F.col("law_id").alias("id")).distinct().select("id", F.lit("normativa").alias("label"), F.col("id").alias("name"))
     nodes = laws.unionByName(versions.select(F.col("article_id").alias("id"), F.col("node_type").alias("label"), "name"))
-    part = versions.select(F.col("article_id").alias("src"), F.lit("PART_OF").alias("rel"), F.col("law_id").alias("dst"))
-    after = versions.filter("next_id IS NOT NULL").select(F.col("article_id").alias("src"), F.lit("NEXT_VERSION").alias("rel"), F.col("next_id").alias("dst"))
-    before = after.select(F.col("dst").alias("src"), F.lit("PREVIOUS_VERSION").alias("rel"), F.col("src").alias("dst"))
-    return nodes, part.unionByName(after).unionByName(before)
+    edge = lambda src, rel, dst: F.struct(F.col(src).alias("src"), F.lit(rel).alias("rel"), F.col(dst).alias("dst"))
+    follows = [F.when(F.col("next_id").isNotNull(), e) for e in (edge("article_id", "NEXT_VERSION", "next_id"), edge("next_id", "PREVIOUS_VERSION", "article_id"))]
+    # all edges of a version at once: versions are worked out once
+    edges = versions.select(F.explode(F.array_compact(F.array(edge("article_id", "PART_OF", "law_id"), *follows))).alias("e")).select("e.*")
+    return nodes, edges
 
 
 def tree_edges(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,14 +174,31 @@ def tree_edges(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def saved_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node rows (id, label, name, seq_id) and edge rows (src, rel, dst) of whole laws as they are saved: headings are left out and what was below them is
-    linked to what is above, at last the law; ``seq_id`` numbers a law's nodes in reading order, headings counted."""
-    nodes, edges = tree_edges(lines)
-    nodes, edges = checkpointed(nodes), checkpointed(edges)
-    labels = trees.numbered(trees.labelled(edges, F.col("place")), F.col("root"), first=0)
-    skipped = nodes.filter(F.col("node_type").isin(STRUCTURE)).select("id")
-    rows = nodes.join(skipped, "id", "left_anti").join(labels.select("id", "seq_id"), "id", "left")
-    part = trees.contracted(edges, skipped).select("src", F.lit("PART_OF").alias("rel"), "dst")
-    return rows.select("id", F.col("node_type").alias("label"), "name", "seq_id"), part
+    linked to what is above, at last the law; ``seq_id`` numbers a law's nodes in reading order, headings counted.
+
+    The tree is that of ``tree_edges``, read off the lines: a heading's children follow it up to the next that isn't narrower, so headings and articles are
+    in order as their lines are, an article's elements come right after it, and all that is above an article are headings and the law.
+    """
+    heads = classified(lines).filter(F.col("node_type").isin(STRUCTURE) | F.col("node_type").isin(ARTICLES))
+    place = F.struct("block_no", "version_no", "line_no")
+    article = F.col("node_type").isin(ARTICLES)
+    article_id = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
+    heading_id = F.concat_ws("~", "law_id", F.col("block_no").cast("string"), F.col("line_no").cast("string"))
+    # owner: the article that an element belongs to; its first row says where it stands
+    heads = heads.select("law_id", F.when(article, article_id).otherwise(heading_id).alias("id"), F.when(article, article_id).alias("owner"), F.col("law_id").alias("up"), F.lit(0).alias("below"), "node_type", F.col("text").alias("name"), place.alias("place"))
+    inner = elements(lines).select("law_id", F.col("element_id").alias("id"), F.col("article_id").alias("owner"), F.col("parent_id").alias("up"), F.lit(1).alias("below"), "node_type", F.col("text").alias("name"), place.alias("place"))
+    rows = heads.unionByName(inner)
+    once = F.row_number().over(Window.partitionBy("law_id", "id").orderBy("below", "place"))
+    rows = rows.withColumn("_once", once).filter("_once = 1")
+    at = F.coalesce(F.min(F.when(F.col("below") == 0, F.col("place"))).over(Window.partitionBy("law_id", "owner")), F.col("place"))
+    at = F.when(F.col("owner").isNotNull(), at).otherwise(F.col("place"))
+    rows = rows.withColumn("_at", at)
+    seq = F.row_number().over(Window.partitionBy("law_id").orderBy("_at", "below", "place", "id"))
+    rows = rows.withColumn("seq_id", F.concat_ws("_", "law_id", seq.cast("string"))).filter(~F.col("node_type").isin(STRUCTURE))
+    laws = lines.groupBy("law_id").agg(F.max(F.col("block_no").isNotNull()).alias("_read"))
+    laws = laws.select(F.col("law_id").alias("id"), F.lit("normativa").alias("label"), F.col("law_id").alias("name"), F.when(F.col("_read"), F.concat_ws("_", "law_id", F.lit("0"))).alias("seq_id"))
+    edges = rows.select(F.col("id").alias("src"), F.lit("PART_OF").alias("rel"), F.col("up").alias("dst"))
+    return laws.unionByName(rows.select("id", F.col("node_type").alias("label"), "name", "seq_id")), edges
 
 
 def saved_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -183,7 +208,7 @@ def saved_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def elements(lines: DataFrame) -> DataFrame:
     """One row per line below an article: element_id, article_id, parent_id (the element it belongs to, or the article),
-    depth (1: directly below the article), line_no, node_type, text.
+    depth (1: directly below the article), law_id, block_no, version_no, line_no, node_type, text.
 
     A numbered paragraph is above letters, letters above ordinals, and anything without a mark belongs to the last mark
     before it. The line's nearest wider mark is found with windows over the lines of its article's version.
@@ -205,71 +230,63 @@ def elements(lines: DataFrame) -> DataFrame:
     article_id = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
     rows = rows.withColumns({"article_id": article_id, "_above": above})
     parent = F.when(F.size("_above") == 0, F.col("article_id")).otherwise(F.concat_ws("#", "article_id", F.element_at("_above", -1).cast("string")))
-    return rows.select(F.concat_ws("#", "article_id", F.col("line_no").cast("string")).alias("element_id"), "article_id", parent.alias("parent_id"), (F.size("_above") + 1).alias("depth"), "line_no", "node_type", "text")
+    return rows.select(F.concat_ws("#", "article_id", F.col("line_no").cast("string")).alias("element_id"), "article_id", parent.alias("parent_id"), (F.size("_above") + 1).alias("depth"), "law_id", "block_no", "version_no", "line_no", "node_type", "text")
 
 
 def indented_text(parts: DataFrame, step: str = "  ") -> DataFrame:
     """article_id and rich_text: the lines of ``elements`` in order, each indented by its depth."""
     line = F.concat(F.repeat(F.lit(step), F.col("depth") - 1), F.col("text"))
-    rows = parts.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("_lines"))
+    rows = parts.groupBy("law_id", "article_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("_lines"))
     return rows.select("article_id", F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("rich_text"))
 
 
 def subtree_hashes(parts: DataFrame) -> DataFrame:
-    """``parts`` (elements) with mark, digest and size: of each element and all below it.
+    """article_id, path, name, node_type, text and digest of each of ``parts`` (elements), the digest of it and all below it.
 
-    A mark is an element's own, or its place among its kind under its parent; one that repeats there is told apart by its turn. Digests are
-    made from the deepest level up, a level's from those of the level below.
+    A mark is an element's own, or its place among its kind under its parent; one that repeats there is told apart by its turn. A path has kind and mark
+    of all from the top down to the element. An element's parent is the last line before it that is a level higher, so what is below one follows it;
+    every element goes to those above it and itself, and a digest is made of what came, in order.
     """
-    order = Window.partitionBy("article_id", "parent_id", "node_type").orderBy("line_no")
+    by = ["law_id", "article_id"]
+    order = Window.partitionBy(*by, "parent_id", "node_type").orderBy("line_no")
     mark = F.when(F.col("node_type").isin(*ITEMS), F.regexp_extract("text", r"^(\S+)", 1)).otherwise(F.row_number().over(order).cast("string"))
     rows = parts.withColumn("mark", mark)
-    turn = F.row_number().over(Window.partitionBy("article_id", "parent_id", "node_type", "mark").orderBy("line_no"))
-    rows = checkpointed(rows.withColumn("_turn", turn).withColumn("mark", F.when(F.col("_turn") > 1, F.concat_ws("#", "mark", "_turn")).otherwise(F.col("mark"))).drop("_turn"))
-    done, below = None, None
-    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, 0, -1):
-        level = rows.filter(F.col("depth") == depth)
-        if below is None:
-            level = level.withColumns({"_under": F.lit(""), "_size": F.lit(0).cast("long")})
-        else:
-            under = below.groupBy(F.col("parent_id").alias("element_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "digest"))), lambda x: x["digest"]), "").alias("_under"), F.sum("size").alias("_size"))
-            level = level.join(under, "element_id", "left").fillna({"_under": "", "_size": 0})
-        own = F.concat_ws("\x1f", "node_type", "mark", "text", "_under")
-        below = level.withColumns({"digest": F.sha2(own, 256), "size": F.col("_size") + 1}).select(*rows.columns, "digest", "size")
-        done = below if done is None else done.unionByName(below)
-    return checkpointed(done) if done is not None else rows.withColumns({"digest": F.lit(""), "size": F.lit(0).cast("long")})
+    turn = F.row_number().over(Window.partitionBy(*by, "parent_id", "node_type", "mark").orderBy("line_no"))
+    rows = rows.withColumn("_turn", turn).withColumn("mark", F.when(F.col("_turn") > 1, F.concat_ws("#", "mark", "_turn")).otherwise(F.col("mark")))
+    own = F.struct("line_no", "mark", F.concat_ws("\x1f", "node_type", "mark").alias("step"))
+    upto = Window.partitionBy(*by).orderBy("line_no")
+    chain = [F.when(F.col("depth") >= d, F.last(F.when(F.col("depth") == d, own), ignorenulls=True).over(upto)) for d in range(1, DEEPEST + 1)]
+    rows = rows.withColumn("_chain", F.array_compact(F.array(*chain)))
+    path = F.array_join(F.transform("_chain", lambda x: x["step"]), "\x1e")
+    # a name has the mark of the element above before it
+    name = F.array_join(F.transform(F.slice("_chain", F.greatest(F.size("_chain") - 1, F.lit(1)), 2), lambda x: x["mark"]), " ")
+    told = F.sha2(F.concat_ws("\x1f", "node_type", "mark", "text"), 256)
+    rows = rows.select(*by, "line_no", "depth", told.alias("_told"), F.struct(path.alias("path"), name.alias("name"), "node_type", "text").alias("_own"), F.explode(F.transform("_chain", lambda x: x["line_no"])).alias("_of"))
+    each = F.array_sort(F.collect_list(F.struct("line_no", "depth", "_told")))
+    # the element itself is the highest of what came
+    digest = F.sha2(F.array_join(F.transform("_each", lambda x: F.concat_ws(" ", (x["depth"] - F.col("_top")).cast("string"), x["_told"])), ","), 256)
+    itself = F.first(F.when(F.col("_of") == F.col("line_no"), F.col("_own")), ignorenulls=True)
+    rows = rows.groupBy(*by, "_of").agg(itself.alias("_own"), each.alias("_each"), F.min("depth").alias("_top"))
+    return rows.select("article_id", "_own.*", digest.alias("digest"))
 
 
 def compared(parts: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Changes (old_id, new_id, node_type, name, change) of each article version's elements to the next, and what was not looked at
+    """Changes (old_id, new_id, node_type, name, change) of each article version's elements to the next, and what need not be looked at
     (old_id, new_id, pruned: elements in subtrees of equal digests).
 
-    Children of an equal parent are matched by kind and mark, level by level from the top; only below elements whose digests differ, or that one side
-    lacks, the next level is read.
+    Elements are matched by kind and mark of themselves and all above them. What is below equal digests has equal digests itself, so each matched pair
+    says whether it is pruned.
     """
     rows = subtree_hashes(parts)
+    side = lambda mine, old: F.struct(F.col(mine).alias("article_id"), F.lit(old).alias("old"))
     pairs = versions.filter("next_id IS NOT NULL").select(F.col("article_id").alias("old_id"), F.col("next_id").alias("new_id"))
-    asked = pairs.select("old_id", "new_id", F.col("old_id").alias("old_up"), F.col("new_id").alias("new_up"), F.lit(None).cast("string").alias("up"))
-    changes, pruned = None, None
-    for depth in range(1, (rows.agg(F.max("depth")).first()[0] or 0) + 1):
-        level = rows.filter(F.col("depth") == depth).select("parent_id", "node_type", "mark", F.struct("element_id", "text", "digest", "size").alias("e"))
-        sides = [asked.join(level.withColumnsRenamed({"parent_id": f"{s}_up", "e": s}), f"{s}_up").select("old_id", "new_id", "up", "node_type", "mark", s) for s in ("old", "new")]
-        key = ["old_id", "new_id", "up", "node_type", "mark"]
-        keyed = [s.withColumn("up", F.coalesce("up", F.lit(""))) for s in sides]
-        both = checkpointed(keyed[0].join(keyed[1], key, "full"))
-        same = F.col("old.digest") == F.col("new.digest")
-        change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old.text") != F.col("new.text"), "modified")
-        # a name has the mark of the element above before it
-        name = F.concat_ws(" ", F.nullif(F.substring_index("up", "\x1f", -1), F.lit("")), "mark")
-        found = both.withColumn("change", change).filter("change IS NOT NULL").select("old_id", "new_id", "node_type", name.alias("name"), "change")
-        skipped = both.filter(same).groupBy("old_id", "new_id").agg(F.sum("old.size").alias("pruned"))
-        changes, pruned = (found, skipped) if changes is None else (changes.unionByName(found), pruned.unionByName(skipped))
-        path = F.concat_ws("\x1f", F.nullif(F.col("up"), F.lit("")), "node_type", "mark")
-        asked = both.filter(~F.coalesce(same, F.lit(False))).select("old_id", "new_id", F.col("old.element_id").alias("old_up"), F.col("new.element_id").alias("new_up"), path.alias("up"))
-    if changes is None:
-        changes = asked.select("old_id", "new_id", F.lit("").alias("node_type"), F.lit("").alias("name"), F.lit("").alias("change")).limit(0)
-        pruned = asked.select("old_id", "new_id", F.lit(0).cast("long").alias("pruned")).limit(0)
-    return changes, pruned.groupBy("old_id", "new_id").agg(F.sum("pruned").alias("pruned"))
+    asked = pairs.select("old_id", "new_id", F.explode(F.array(side("old_id", True), side("new_id", False))).alias("s")).select("old_id", "new_id", "s.*")
+    both = rows.join(asked, "article_id").groupBy("old_id", "new_id", "path").agg(F.collect_list(F.struct("old", "node_type", "name", "text", "digest")).alias("_both"))
+    both = both.withColumns({"a": F.get("_both", F.lit(0)), "b": F.get("_both", F.lit(1))})
+    change = F.when(F.col("b").isNotNull(), F.when(F.col("a.text") != F.col("b.text"), "modified")).when(F.col("a.old"), "removed").otherwise("added")
+    changes = both.withColumn("change", change).filter("change IS NOT NULL").select("old_id", "new_id", "a.node_type", "a.name", "change")
+    pruned = both.filter("a.digest = b.digest").groupBy("old_id", "new_id").agg(F.count("*").alias("pruned"))
+    return changes, pruned
 
 
 def element_changes(parts: DataFrame, versions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexlake.functions import citations as cites
 from lexlake.operators import batches, exams, law_tree, linking
 from lexlake.plans.catalogue import query, table
-from lexlake.session import checkpointed
+from lexlake.session import partitions, written
 from lexlake.sources import laws
 
 # A law for every customer: its titles, chapters, articles, versions, paragraphs, letters, tables and repeals are so many, and say what they say, by the
@@ -57,8 +57,9 @@ def _law_xml() -> str:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers, dealt to all cores: a few bytes of each become a text that Python reads."""
-    return table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    """Customers, dealt to all cores, 4 096 to a task at most: a few bytes of each become a text that Python reads."""
+    rows = table(spark, sf_dir, "customer")
+    return rows.repartition(partitions(spark, rows.count(), 4096), "c_custkey")
 
 
 def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +152,10 @@ def law_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations as edges: to the article in force, or to the law where there is no such article."""
     own = _versions(spark, sf_dir).select("article_id", "law_id", "clean_number", "full_text", "valid_from", "valid_to")
-    own = checkpointed(own)
+    own = written(own, "law-articles")
     other = spark.createDataFrame([("BOE-A-1978-31229_14", "BOE-A-1978-31229", "14", "")], "article_id string, law_id string, clean_number string, full_text string")
     both = own.unionByName(other.withColumns({"valid_from": F.lit("1978-12-29").cast("timestamp_ntz"), "valid_to": F.lit(None).cast("timestamp_ntz")}))
-    return linking.linked(checkpointed(linking.extracted(own)), both).select("src", "rel", "dst")
+    return linking.linked(written(linking.extracted(own), "law-citations"), both).select("src", "rel", "dst")
 
 
 _SQL_TREE = _SQL_LAWS + """,

@@ -67,3 +67,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="lexlake-"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as a Parquet table in the shared folder (see ``scratch``)."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._lexlake_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose last reader has run."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table._lexlake_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def partitions(spark: SparkSession, rows: int, each: int) -> int:
+    """How many partitions hold ``rows`` at ``each`` at most, one for each core at least: a task's share doesn't grow with the input."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))

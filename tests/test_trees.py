@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexlake.operators import analytics, graph, trees, versions
+from lexlake.operators import analytics, graph, law_tree, trees, versions
 
 
 def forest(rng, n):
@@ -129,3 +129,48 @@ def test_usage_counts_by_the_microsecond(spark):
     want = {1: 10, 2: 110, 3: 1110, 4: 11110, 5: 111100}
     for seconds in (None, 600, 3600):
         assert {r["event_id"]: r["usage"] for r in analytics.sliding_usage(events, 600, slice_seconds=seconds).collect()} == want
+
+
+def odd_lines(spark, seed, n_laws=12):
+    """Lines of laws with headings in any order, also inside articles, lines before an article's own, and articles of several versions."""
+    rng = random.Random(seed)
+    words = ["LIBRO I", "TÍTULO I", "CAPÍTULO I", "Sección primera", "Subsección primera"]
+    inside = ["1. Uno", "a) A", "1.º I", "nota", "2. Dos", "b) B", "2.ª J", "otra", "TÍTULO II", "Sección segunda"]
+    rows = []
+    for law in range(n_laws):
+        for block in range(rng.randrange(1, 9)):
+            if rng.random() < 0.4:
+                rows.append((f"L{law}", block, f"h{block}", 0, 0, rng.choice(words)))
+                continue
+            for version in range(rng.randrange(1, 4)):
+                # a heading's id doesn't tell versions apart
+                texts = rng.choices(inside if version == 0 else inside[:-2], k=rng.randrange(9))
+                texts.insert(min(len(texts), rng.choice([0, 0, 0, 1])), f"Artículo {block}. X")
+                rows += [(f"L{law}", block, f"a{block}", version, k, t) for k, t in enumerate(texts)]
+    schema = "law_id string, block_no int, block_id string, version_no int, line_no int, text string"
+    return spark.createDataFrame(rows, schema).withColumns({"kind": F.lit("p"), "block_title": F.lit(""), "block_type": F.lit("precepto")})
+
+
+def test_saved_graph_is_the_tree_of_the_lines(spark, monkeypatch):
+    lines = odd_lines(spark, 3).cache()
+    nodes, edges = law_tree.tree_edges(lines)
+    labels = trees.numbered(trees.labelled(edges, F.col("place")), F.col("root"), first=0)
+    skipped = nodes.filter(F.col("node_type").isin(law_tree.STRUCTURE)).select("id")
+    want = nodes.join(skipped, "id", "left_anti").join(labels.select("id", "seq_id"), "id", "left").select("id", "node_type", "name", "seq_id")
+    cells = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want, linked = cells(want), cells(trees.contracted(edges, skipped))
+    # no table is kept between its steps
+    monkeypatch.setattr(type(lines), "checkpoint", None)
+    got = law_tree.saved_graph(lines)
+    assert cells(got[0].select("id", "label", "name", "seq_id")) == want
+    assert cells(got[1].select("src", "dst")) == linked and len(linked) > 100
+
+
+def test_tasks_of_laws_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(law_tree, "LINES", 10)
+    lines = odd_lines(spark, 4)
+    spread = law_tree.distributed(lines)
+    assert spread.rdd.getNumPartitions() == -(-lines.count() // 10) > 16
+    plan = law_tree.article_versions(spread.withColumns({"source_id": F.lit("N"), "valid_from": F.lit("20000101")}))._jdf.queryExecution().executedPlan().toString()
+    # what follows stays dealt by law: lines once, and the titles' joins
+    assert plan.count("Exchange hashpartitioning(law_id") == plan.count("Exchange hashpartitioning")
