@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 LINES = "law_id string, block_no int, block_id string, block_type string, block_title string, version_no int, source_id string, published string, valid_from string, line_no int, kind string, text string"
 META = "law_id string, field string, value string"
-#: Rows handed on to Spark at a time.
-BATCH = 4096
+#: Rows handed on to Spark at a time, and whole texts handed to Python at a time.
+BATCH, TEXTS = 4096, 64
 # Block types that hold no law text.
 SKIPPED_BLOCKS = ["nota_inicial", "firma"]
 # Classes of the official HTML, by what a line of them is.
@@ -61,7 +61,11 @@ def _law_lines(law_id: str, xml: str | None) -> Iterator[tuple]:
 
 
 def _apply(df: DataFrame, schema: str, parse) -> DataFrame:
-    """Rows that ``parse(id, content)`` yields for each row of ``df`` (id, content), in batches of about ``BATCH`` rows."""
+    """Rows that ``parse(id, content)`` yields for each row of ``df`` (id, content), in batches of about ``BATCH`` rows. For the rest of the session Python gets
+    at most ``TEXTS`` rows at a time: a batch of the usual 10 000 holds whole laws several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXTS:
+        df.sparkSession.conf.set(key, str(TEXTS))
     fields = [f.strip().split() for f in schema.split(",")]
     target = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in fields])
 
@@ -71,8 +75,8 @@ def _apply(df: DataFrame, schema: str, parse) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            for i, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.extend(parse(i, content))
+            for i, content in zip(b.column(0), b.column(1), strict=True):
+                held.extend(parse(i.as_py(), content.as_py()))
                 if len(held) >= BATCH:
                     yield batch(held)
                     held = []
