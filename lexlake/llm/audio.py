@@ -329,16 +329,36 @@ def aligned(classes: DataFrame, queries: DataFrame) -> DataFrame:
     a, b = asked.select(F.col("r").alias("q"), F.col("codes").alias("_a")), classes.select("r", F.col("codes").alias("_b"))
     both = votes.join(b, "r").join(small(a, n_asked, BROADCAST_POSTINGS), "q")
     rows = both.select("q", "r", "offset", "votes", bit_error(F.col("_a"), F.col("_b"), F.col("offset")).alias("bit_error"))
+    return _best(rows.filter(F.col("bit_error") <= MOST_ERRORS))
+
+
+def aligned_exactly(classes: DataFrame, queries: DataFrame) -> DataFrame:
+    """``aligned`` without votes: every offset of every pair is checked, so nothing that aligns is missed; ``votes`` counts the integers that are equal
+    beside each other. Time grows with the integers of the queries times those of all classes; memory is a pair's two lists at a time, and all tasks share
+    the pairs."""
+    a = classes.filter(F.size("codes") >= LEAST_CODES).join(queries.select(F.col("q").alias("r")), "r", "left_semi")
+    a, b = a.select(F.col("r").alias("q"), F.col("codes").alias("_a")), classes.filter(F.size("codes") >= LEAST_CODES).select("r", F.col("codes").alias("_b"))
+    both = a.repartition(a.sparkSession.sparkContext.defaultParallelism, "q").crossJoin(b).filter("q <> r")
+    both = both.withColumn("offset", F.explode(F.sequence(LEAST_CODES - F.size("_b"), F.size("_a") - LEAST_CODES)))
+    rows = both.withColumn("bit_error", bit_error(F.col("_a"), F.col("_b"), F.col("offset"))).filter(F.col("bit_error") <= MOST_ERRORS)
+    first = F.greatest(F.lit(0), -F.col("offset"))
+    n = F.least(F.size("_a") - F.col("offset"), F.size("_b")) - first
+    same = F.zip_with(F.slice("_a", first + F.col("offset") + 1, n), F.slice("_b", first + 1, n), lambda x, y: x == y)
+    return _best(rows.select("q", "r", "offset", F.size(F.filter(same, lambda x: x)).cast("long").alias("votes"), "bit_error"))
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    """Of the offsets (q, r, offset, votes, bit_error) of a pair the one with the least bit error."""
     best = F.min(F.struct("bit_error", (-F.col("votes")).alias("_votes"), F.abs("offset").alias("_far"), "offset")).alias("b")
-    best = rows.filter(F.col("bit_error") <= MOST_ERRORS).groupBy("q", "r").agg(best)
+    best = rows.groupBy("q", "r").agg(best)
     return best.select("q", "r", "b.offset", (-F.col("b._votes")).alias("votes"), "b.bit_error")
 
 
-def search(recordings: DataFrame, id_: str, is_query: Column) -> DataFrame:
+def search(recordings: DataFrame, id_: str, is_query: Column, exact: bool = False) -> DataFrame:
     """``recordings`` (id, of any type that has an order, seconds, codes, doubts) with class_id (smallest id of equal
     recordings), copies (their number), and for queries ``matches``, every other class that aligns (match_id, offset, votes,
     bit_error; the least bit error first, null if there is none), and the first of them in columns of its own. Members of
-    a class share its class_id. Rows may share an id.
+    a class share its class_id. Rows may share an id. ``exact`` checks every offset of every pair of classes instead of those with votes.
     """
     key = F.unhex(F.md5(F.concat_ws(",", F.col("seconds").cast("string"), F.col("codes").cast("array<string>")).cast("binary")))
     # doubtful bits are flipped on the queries' side alone: no other recording's are stored or shuffled
@@ -352,7 +372,7 @@ def search(recordings: DataFrame, id_: str, is_query: Column) -> DataFrame:
     kept = written(coded.select("_id", "seconds", F.size("codes").alias("n_codes"), "_key", "_asks"), "audio-recordings")
     forget(coded)
     same = classes.select("_key", "class_id", "copies", "r")
-    found = aligned(classes.select("r", "codes", "doubts"), classes.filter("_asks").select(F.col("r").alias("q")))
+    found = (aligned_exactly if exact else aligned)(classes.select("r", "codes", "doubts"), classes.filter("_asks").select(F.col("r").alias("q")))
     found = found.join(same.select("r", F.col("class_id").alias("match_id")), "r")
     each = F.struct("bit_error", (-F.col("votes")).alias("_votes"), "match_id", "offset")
     found = found.groupBy("q").agg(F.array_sort(F.collect_list(each)).alias("_all"))

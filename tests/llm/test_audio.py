@@ -229,3 +229,18 @@ def test_all_that_align_are_named(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "rec long, sound binary")
     assert audio.search(audio.fingerprints(df, ["rec"], "sound"), "rec", F.col("rec") % 50 == 0).collect() == []
+
+
+def test_the_exact_way_misses_nothing(spark):
+    rng = random.Random(11)
+    signed = lambda x: x - (1 << 32) if x >= 1 << 31 else x
+    base = [rng.getrandbits(32) for _ in range(60)]
+    # four wrong bits in every integer, none of them doubtful: no integer has a vote, and an eighth of the bits is wrong
+    noisy = [x ^ sum(1 << b for b in rng.sample(range(12, 32), 4)) for x in base[5:]]
+    doubts = sum(k << (5 * k) for k in range(audio.DOUBTS))
+    lists = {1: base, 2: noisy, 3: [rng.getrandbits(32) for _ in range(50)], 4: base[:7], 5: []}
+    rows = [(i, float(len(x)), [signed(v) for v in x], [doubts] * len(x)) for i, x in lists.items()]
+    recordings = spark.createDataFrame(rows, "id long, seconds double, codes array<int>, doubts array<long>")
+    found = lambda exact: {r["id"]: (r["match_id"], r["offset"], r["bit_error"]) for r in audio.search(recordings, "id", F.col("id") < 4, exact).collect()}
+    assert found(False)[1] == (None, None, None)
+    assert found(True) == {1: (2, 5, 0.125), 2: (1, -5, 0.125), 3: (None,) * 3, 4: (None,) * 3, 5: (None,) * 3}
