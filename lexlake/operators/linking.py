@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexlake.functions.citations import KNOWN_LAWS, citations, law_key, reference_type
 from lexlake.functions.text import reference_kind
 from lexlake.operators.versions import valid_at
+from lexlake.session import written
 
 
 def known_laws(spark) -> DataFrame:
@@ -32,15 +33,21 @@ def linked(refs: DataFrame, versions: DataFrame) -> DataFrame:
     """src, rel, dst, raw: each citation's edge to the article in force when the citing version began, else to its law.
 
     ``versions``: article_id, law_id, clean_number, valid_from, valid_to. Set-based: an equi-join on
-    law and number with the validity as residual, the latest start winning.
+    law and number with the validity as residual, the latest start winning. What several citations ask, one article of one law
+    at one time, is answered once, so an article that most cite takes no task for itself.
     """
-    asks = refs.filter("target_law IS NOT NULL").select("ref_id", "article_id", F.col("target_law").alias("law_id"), F.col("target_number").alias("clean_number"), "valid_from", "c")
+    asks = refs.filter("target_law IS NOT NULL").select("article_id", F.col("target_law").alias("law_id"), F.col("target_number").alias("clean_number"), "valid_from", "c")
+    # an absent part and an empty one are different questions
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    asks = asks.withColumn("_ask", F.concat_ws("\x1f", *map(part, ("law_id", "clean_number", "valid_from"))))
+    questions = written(asks.select("_ask", "law_id", "clean_number", F.col("valid_from").alias("_at")).dropDuplicates(["_ask"]), "link-questions")
     own = versions.select("law_id", "clean_number", F.col("article_id").alias("_target"), "valid_from", "valid_to")
-    found = valid_at(asks.filter("clean_number IS NOT NULL").select("ref_id", "law_id", "clean_number", F.col("valid_from").alias("_at")), own, ["law_id", "clean_number"], "ref_id", "_at", "_target")
+    found = valid_at(questions.filter("clean_number IS NOT NULL"), own, ["law_id", "clean_number"], "_ask", "_at", "_target")
     laws = versions.select("law_id").distinct().withColumn("_known", F.lit(True))
-    rows = asks.join(found, "ref_id", "left").join(laws, "law_id", "left")
-    target = F.coalesce("target_id", F.when(F.col("_known"), F.col("law_id")))
-    rows = rows.select(F.col("article_id").alias("src"), reference_kind(F.col("c.raw")).alias("rel"), target.alias("dst"), F.substring("c.raw", 1, 200).alias("raw"))
+    answers = questions.join(found, "_ask", "left").join(laws, "law_id", "left")
+    answers = answers.select("_ask", F.coalesce("target_id", F.when(F.col("_known"), F.col("law_id"))).alias("dst")).filter("dst IS NOT NULL")
+    rows = asks.join(answers, "_ask")
+    rows = rows.select(F.col("article_id").alias("src"), reference_kind(F.col("c.raw")).alias("rel"), "dst", F.substring("c.raw", 1, 200).alias("raw"))
     return rows.filter("dst IS NOT NULL AND dst <> src").dropDuplicates(["src", "rel", "dst"])
 
 

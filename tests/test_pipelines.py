@@ -151,3 +151,37 @@ def test_times_to_the_nearest_millisecond(spark):
     given = ["2024-01-01 00:00:09.999499", "2024-01-01 00:00:09.9995", "1969-12-31 23:59:59.9985", None]
     rows = spark.createDataFrame([(t,) for t in given], "t string").select(nearest_millisecond(F.col("t").cast("timestamp")).cast("string").alias("t"))
     assert [r["t"] for r in rows.collect()] == ["2024-01-01 00:00:09.999", "2024-01-01 00:00:10", "1969-12-31 23:59:59.998", None]
+
+
+def test_versions_of_a_batch_are_worked_out_once(spark, tmp_path, monkeypatch):
+    calls, real = spark.sparkContext.accumulator(0), ingest.law_tree.article_versions
+    counted = F.udf(lambda x: (calls.add(1), x)[1]).asNondeterministic()
+    monkeypatch.setattr(ingest.law_tree, "article_versions", lambda lines: real(lines).withColumn("name", counted("name")))
+    batch = spark.createDataFrame([("L1", LAW.format(id="L1"))], "law_id string, xml string")
+    ingest.saved(batch, 0, str(tmp_path))
+    assert calls.value == real(ingest.law_tree.distributed(ingest.laws.law_lines(batch))).count() > 1
+
+
+def test_python_gets_few_laws_at_a_time(spark):
+    from lexlake.sources import laws
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    laws.law_lines(spark.createDataFrame([("L1", LAW.format(id="L1"))], "law_id string, xml string"))
+    assert int(spark.conf.get(key)) == laws.TEXTS
+    spark.conf.set(key, before)
+
+
+def test_what_many_cite_is_looked_up_once(spark, monkeypatch):
+    from lexlake.operators import linking
+
+    asked, real = [], linking.valid_at
+    monkeypatch.setattr(linking, "valid_at", lambda left, *rest: (asked.append(left.count()), real(left, *rest))[1])
+    rows = [(f"L{i}_a1_0", f"L{i}", "1", "Según el art. 14 CE y el artículo 2 de esta ley.") for i in range(50)] + [("BOE-A-1978-31229_14", "BOE-A-1978-31229", "14", "")]
+    own = spark.createDataFrame(rows, "article_id string, law_id string, clean_number string, full_text string")
+    own = own.withColumns({"valid_from": F.lit("1990-01-01").cast("timestamp_ntz"), "valid_to": F.lit(None).cast("timestamp_ntz")})
+    old = own.withColumn("valid_from", F.when(F.col("law_id").startswith("BOE"), F.lit("1978-12-29").cast("timestamp_ntz")).otherwise(F.col("valid_from")))
+    got = cells(linking.linked(linking.extracted(own), old).select("src", "dst"))
+    assert got == sorted([(f"L{i}_a1_0", d) for i in range(50) for d in ("BOE-A-1978-31229_14", f"L{i}")], key=repr)
+    assert asked == [51]
