@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lexlake.operators import law_tree
-from lexlake.session import small
+from lexlake.session import forget, small, written
 from lexlake.sources import laws
 
 LANDED = "law_id string, xml string"
@@ -31,9 +31,12 @@ def saved(batch: DataFrame, number: int, path: str, after_write=None) -> None:
     """Write a batch's nodes and edges, then its marker; ``after_write`` runs between the two (tests fail there)."""
     spark = batch.sparkSession
     versions = law_tree.article_versions(law_tree.distributed(laws.law_lines(batch.dropDuplicates(["law_id"]))))
+    # both tables are made from versions that are worked out once
+    versions = written(versions.select("law_id", "article_id", "node_type", "name", "next_id"), "law-versions")
     nodes, edges = law_tree.graph_rows(versions)
     nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={number}")
     edges.write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+    forget(versions)
     if after_write:
         after_write(number)
     spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{path}/done/batch={number}")
