@@ -10,9 +10,13 @@ white space, or characters on which the cut and the tokenizer might differ, are
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import string
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +43,61 @@ def _lines(parts: pa.Array) -> str:
     return pc.binary_join(pa.LargeListArray.from_arrays([0, len(parts)], parts), pa.scalar("\n", parts.type))[0].as_py()
 
 
+def _strings(parts: pa.Array) -> list[str]:
+    return parts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids on end, and the length of each."""
+    length = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
+
+
+def _runs(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    total = np.cumsum(length)
+    return np.repeat(first - total + length, length) + np.arange(total[-1] if len(total) else 0)
+
+
+@functools.lru_cache(4)
+def _tokenizer(vocabulary: str, special_as_text: bool):
+    """The library's tokenizer, read once in a process: a worker runs many tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    path = vocabulary
+    if os.path.sep not in vocabulary:
+        import public_tokenizers
+
+        path = public_tokenizers.path(vocabulary)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = special_as_text
+    return tokenizer
+
+
 class Encoder:
     """Encodes arrays of texts with one vocabulary file, given by its path or its public name, as the library does
-    without special tokens around a text. ``special_as_text``: the strings of added tokens are ordinary text."""
-
-    def __init__(self, vocabulary: str, table_bytes: int = 8_000_000, special_as_text: bool = False):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    without special tokens around a text. ``special_as_text``: the strings of added tokens are ordinary text. ``table_bytes`` bounds the
+    table of chunks, about ``ENTRY`` bytes and its text for each."""
 
-        path = vocabulary
-        if os.path.sep not in vocabulary:
-            import public_tokenizers
+    ENTRY = 100
 
-            path = public_tokenizers.path(vocabulary)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
+    def __init__(self, vocabulary: str, table_bytes: int = 32_000_000, special_as_text: bool = False):
+        self.tokenizer = _tokenizer(vocabulary, special_as_text)
         self.spaced = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = "|".join([_ODD, *([_BLANKS] if self.spaced else []), *added])
         self.model = self.tokenizer.model
         self.line = self._ids(["\n"])[0][0] if self.spaced else None
+        # byte-level vocabularies take any run of marks as one chunk
+        self.marks = string.punctuation if self.spaced else _MARKS
+        self.plain = f"^[{_FIRST}{_LINE}]?{_LETTERS}[{re.escape(self.marks)}]*$"
         self.table_bytes = table_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -78,43 +112,72 @@ class Encoder:
             return part[1:]
         return " " + part if self.spaced else part
 
+    def _known(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of parts in the table, -1 for new ones."""
+        return np.fromiter(map(self.known.get, _strings(parts), repeat(-1)), np.int64, len(parts))
+
+    def _keep(self, parts: pa.Array, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Add parts with their ids to the table; their numbers."""
+        numbers = len(self.known) + np.arange(len(parts))
+        self.known.update(zip(_strings(parts), numbers.tolist(), strict=True))
+        self.held += self.ENTRY * len(parts) + (pc.sum(pc.binary_length(parts)).as_py() or 0)
+        self.first = np.append(self.first, np.cumsum(length) - length + len(self.flat))
+        self.length = np.append(self.length, length)
+        self.flat = np.append(self.flat, ids)
+        return numbers
+
     def _learn(self, parts: pa.Array) -> np.ndarray:
         """Add new parts to the table; their numbers."""
-        plain = pc.match_substring_regex(parts, f"^[{_FIRST}{_LINE}]?{_LETTERS}[{_MARKS}]*$")
-        places = np.arange(len(parts)), plain.to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(parts, self.plain)
+        at = plain.to_numpy(zero_copy_only=False)
         rest = parts.filter(pc.invert(plain))
         plain = parts.filter(plain)
         numbers = np.empty(len(parts), np.int64)
-        for group, at, of in ((plain, places[0][places[1]], self._words), (rest, places[0][~places[1]], lambda x: self._ids([self._chunk(p) for p in x.to_pylist()]))):
-            if len(group):
-                found = of(group)
-                length = np.fromiter(map(len, found), np.int64, len(found))
-                numbers[at] = len(self.known) + np.arange(len(group))
-                self.known = pa.concat_arrays([self.known, group])
-                self.first = np.append(self.first, np.cumsum(length) - length + len(self.flat))
-                self.length = np.append(self.length, length)
-                self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum())))
+        if len(plain):
+            numbers[at] = self._marked(plain)
+        if len(rest):
+            numbers[~at] = self._keep(rest, *_joined(self._ids([self._chunk(p) for p in _strings(rest)])))
         return numbers
 
-    def _words(self, parts: pa.Array) -> list[list[int]]:
-        """Ids of plain words and the marks after them, by the library's model alone."""
-        bare = pc.ascii_rtrim(parts, characters=_MARKS)
-        unique = bare.dictionary_encode()
-        text = "\n" + _lines(unique.dictionary)
+    def _marked(self, parts: pa.Array) -> np.ndarray:
+        """Add plain words, each encoded once whatever marks follow it; their numbers."""
+        bare = pc.ascii_rtrim(parts, characters=self.marks)
+        words = bare.dictionary_encode()
+        number = self._known(words.dictionary)
+        if (new := number < 0).any():
+            keys = words.dictionary.filter(pa.array(new))
+            number[new] = self._keep(keys, *self._words(keys))
+        numbers = number[words.indices.to_numpy()]
+        extra = pc.subtract(pc.binary_length(parts), pc.binary_length(bare)).to_numpy()
+        marked = np.flatnonzero(extra)
+        if not len(marked):
+            return numbers
+        own = parts.take(pa.array(marked))
+        after: dict[str, int] = {}
+        mark = [after.setdefault(p[-n:], len(after)) for p, n in zip(_strings(own), extra[marked].tolist(), strict=True)]
+        ids, size = _joined([[t.id for t in self.model.tokenize(m)] for m in after])
+        # each is two runs of ids: its word's in the table, its marks' after the table's end
+        word = numbers[marked]
+        first = np.column_stack((self.first[word], (np.cumsum(size) - size + len(self.flat))[mark])).ravel()
+        length = np.column_stack((self.length[word], size[mark]))
+        numbers[marked] = self._keep(own, np.concatenate((self.flat, ids))[_runs(first, length.ravel())], length.sum(axis=1))
+        return numbers
+
+    def _words(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids on end, and how many each has, of plain words, by the library's model alone."""
+        text = "\n" + _lines(parts)
         text = text.replace("\n", "\n ").replace(" " + _LINE, "").replace(" " + _FIRST, "") if self.spaced else text.lower()
-        model = self.model.tokenize
-        words = [[t.id for t in model(w)] for w in text[1:].encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])]
-        marks: dict[str, list[int]] = {}
-        out = []
-        for part, word, k in zip(_lines(parts).split("\n"), _lines(bare).split("\n"), unique.indices.to_numpy().tolist(), strict=True):
-            ids = words[k]
-            if len(part) > len(word):
-                after = part[len(word) :]
-                if after not in marks:
-                    marks[after] = [t.id for t in model(after)]
-                ids = ids + marks[after]
-            out.append([self.line, *ids] if part[0] == _LINE else ids)
-        return out
+        model, id_of, ids, sizes = self.model.tokenize, attrgetter("id"), [], []
+        for word in text[1:].encode().decode("latin-1").translate(_BYTES).split(_BYTES[10]):
+            tokens = model(word)
+            sizes.append(len(tokens))
+            ids.extend(map(id_of, tokens))
+        ids, sizes = np.array(ids, np.uint32), np.array(sizes, np.int64)
+        if self.spaced:
+            begins = pc.starts_with(parts, _LINE).to_numpy(zero_copy_only=False)
+            ids = np.insert(ids, (np.cumsum(sizes) - sizes)[begins], self.line)
+            sizes += begins
+        return ids, sizes
 
     def _parts(self, texts: pa.Array) -> pa.ListArray:
         if not self.spaced:
@@ -124,7 +187,7 @@ class Encoder:
 
     def numbers(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts' parts on end, and where each text's begin (one more at the end)."""
-        if self.known.nbytes > self.table_bytes:
+        if self.held > self.table_bytes:
             self._clear()
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         texts = pc.fill_null(texts, "")
@@ -135,7 +198,7 @@ class Encoder:
         keys = flat.dictionary
         if len(whole):
             keys = pc.unique(pa.concat_arrays([keys, pa.array([_WHOLE + texts[i].as_py() for i in whole.tolist()], keys.type)]))
-        number = pc.fill_null(pc.index_in(keys, self.known), -1).to_numpy().astype(np.int64)
+        number = self._known(keys)
         new = number < 0
         if new.any():
             number[new] = self._learn(keys.filter(pa.array(new)))
@@ -160,7 +223,7 @@ class Encoder:
         numbers, ends = self.numbers(texts)
         lengths = self.length[numbers]
         total = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.flat[np.repeat(self.first[numbers] - total[:-1], lengths) + np.arange(total[-1])]
+        ids = self.flat[_runs(self.first[numbers], lengths)]
         starts = total[ends]
         if end_id is not None:
             ids = np.insert(ids, starts[1:], end_id)
@@ -182,7 +245,7 @@ class PieceEncoder(Encoder):
     """Encodes arrays of texts with a sentencepiece model, given by its path or its public name. Its pieces begin with a space or hold
     none, runs of spaces aside, so a text's ids are those of its words; texts with such runs, or with U+2581 itself, are encoded whole."""
 
-    def __init__(self, vocabulary: str, table_bytes: int = 8_000_000):
+    def __init__(self, vocabulary: str, table_bytes: int = 32_000_000):
         import sentencepiece
 
         path = vocabulary
@@ -199,14 +262,7 @@ class PieceEncoder(Encoder):
         return self.model.encode(texts, num_threads=1)
 
     def _learn(self, parts: pa.Array) -> np.ndarray:
-        found = self._ids([p.removeprefix(_WHOLE) for p in parts.to_pylist()])
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = len(self.known) + np.arange(len(parts))
-        self.known = pa.concat_arrays([self.known, parts])
-        self.first = np.append(self.first, np.cumsum(length) - length + len(self.flat))
-        self.length = np.append(self.length, length)
-        self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum())))
-        return numbers
+        return self._keep(parts, *_joined(self._ids([p.removeprefix(_WHOLE) for p in _strings(parts)])))
 
     def _parts(self, texts: pa.Array) -> pa.ListArray:
         return pc.split_pattern(texts, " ")

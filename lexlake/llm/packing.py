@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import arrow_rows, written
+from lexlake.llm.common import arrow_rows, trimmed, written
 from lexlake.llm.encoding import BYTE_VOCAB, Encoder, pieces
 
 WINDOW = 2048
@@ -58,6 +58,22 @@ class Corpus:
         return np.where(np.isinf(drawn), len(idf), ranks)
 
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+
+
+def _counted(terms: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct term * n + owner in order, owners being below n, and how often each occurs; in 32 bits where they suffice."""
+    small = len(terms) == 0 or (int(terms.max()) + 1) * n < 1 << 31
+    keys = terms.astype(np.int32 if small else np.int64)
+    keys *= n
+    keys += owners.astype(keys.dtype)
+    keys.sort()
+    first = _begins(keys)
+    return keys[first], np.diff(first, append=len(keys))
+
+
 class Bm25:
     """An inverted index over documents given as ids; scores of all for one of them. Document frequencies and the mean
     length are those of ``corpus``, or else of the documents themselves."""
@@ -65,17 +81,20 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         self.n = len(docs)
-        terms = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-        keys, tf = np.unique(terms * self.n + np.repeat(np.arange(self.n), sizes), return_counts=True)
-        self.terms, self.docs = keys // max(1, self.n), keys % max(1, self.n)
-        self.vocabulary, self.first, self.df = np.unique(self.terms, return_index=True, return_counts=True)
+        terms = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
+        keys, tf = _counted(terms, np.repeat(np.arange(self.n), sizes), self.n)
+        terms, self.docs = keys // max(1, self.n), (keys % max(1, self.n)).astype(np.intp)
+        # keys are in order, so a term's are on end
+        self.first = _begins(terms)
+        self.df = np.diff(self.first, append=len(terms))
+        self.vocabulary = terms[self.first]
         of = corpus or Corpus(self.n, int(sizes.sum()), self.df)
         idf = of.idf(corpus.df[self.vocabulary] if corpus else self.df)
         norm = K1 * (1 - B + B * sizes / max(1.0, of.tokens / max(1, of.docs)))
         self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm[self.docs])
         self.useful = idf > 0
-        by_doc = np.argsort(self.docs, kind="stable")
-        number = np.repeat(np.arange(len(self.vocabulary)), self.df)
+        by_doc = np.argsort(self.docs.astype(np.uint16 if self.n < 1 << 16 else np.int64), kind="stable")
+        number = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), self.df)
         self.of_doc = np.split(number[by_doc], np.cumsum(np.bincount(self.docs, minlength=self.n))[:-1])
 
     def scores(self, doc: int) -> np.ndarray:
@@ -167,9 +186,8 @@ def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID)
         for b in batches:
             for doc_ids, texts in pieces(b, 1_000_000):
                 ids, starts = enc.encode(texts, end_id)
-                most = int(ids.max()) + 1
-                pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * most + ids.astype(np.int64))
-                found = np.bincount(pairs % most, minlength=len(df))
+                pairs, _ = _counted(ids, np.repeat(np.arange(len(texts)), np.diff(starts)), len(texts))
+                found = np.bincount(pairs // len(texts), minlength=len(df))
                 found[: len(df)] += df
                 df, tokens = found, tokens + len(ids)
                 wide = np.maximum.reduceat(ids, starts[:-1]) >= 1 << 16
@@ -179,6 +197,8 @@ def encoded(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end_id: int = END_ID)
                 yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(octets, pa.binary()), pa.array(wide), *(pa.nulls(len(texts), t) for t in types[4:])], names)
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, None, n, tokens, terms, df[terms]], types, strict=True)], names)
+        del enc
+        trimmed()
 
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -238,6 +258,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = BYTE_VOCAB, en
             columns = [pa.array(doc_ids, pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(octets, pa.binary()), pa.array(sizes), pa.array(seq + sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             sequence += packed.sequence
+        trimmed()
 
     rows = table.filter("docs IS NULL").select("doc_id", "place", "ids", "wide").mapInArrow(keyed, "doc_id long, place long, ids binary, wide boolean, key int, next_key int")
     order = ["key", "next_key", "place"]

@@ -37,6 +37,30 @@ def test_encoder_equals_the_library(name):
         assert enc.lengths(batch).tolist() == [len(ref(t)) for t in batch]
 
 
+def test_words_are_encoded_once(monkeypatch):
+    enc, ref, seen = Encoder(BYTE_VOCAB), direct(BYTE_VOCAB), []
+    words = enc._words
+    monkeypatch.setattr(enc, "_words", lambda parts: seen.extend(parts.to_pylist()) or words(parts))
+    for text in ("Gato, gato. gato", "un gato; gato### (gato) gato's\ngato!? gato<|>", "gato, gato###"):
+        ids, _ = enc.encode([text])
+        assert ids.tolist() == ref(text)
+    # at a text's and a line's beginning a word has no space before it
+    assert sorted(seen) == ["\x01gato", "\x02Gato", "\x02gato", "\x02un", "gato"]
+    assert Encoder(BYTE_VOCAB).tokenizer is enc.tokenizer
+
+
+def test_counted_in_either_width():
+    rng = np.random.default_rng(4)
+    owners = np.sort(rng.integers(0, 40, 900))
+    for most in (30, 1 << 27):
+        terms = rng.integers(most - 30, most, 900).astype(np.uint32)
+        keys, n = packing._counted(terms, owners, 40)
+        want = Counter(zip(terms.tolist(), owners.tolist(), strict=True))
+        assert list(zip((keys // 40).tolist(), (keys % 40).tolist(), strict=True)) == sorted(want)
+        assert dict(zip(sorted(want), n.tolist(), strict=True)) == want
+    assert [len(x) for x in packing._counted(np.zeros(0, np.uint32), np.zeros(0, np.int64), 3)] == [0, 0]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_chunks_round_trip(bits):
     rng = np.random.default_rng(1)
