@@ -117,8 +117,8 @@ def distributed(lines: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     lines = written(lines, "law-lines")
     blocks = lines.groupBy("law_id", "block_no", "block_id", "block_title", "block_type").agg((F.max("version_no") + 1).alias("next"))
-    # read twice below: titles are taken apart once
-    blocks = written(blocks.withColumn("numbers", title_numbers(F.col("block_title"))).filter("numbers IS NOT NULL"), "law-titles")
+    # read twice below: titles are taken apart once, a block's and not each line's, as they would be if a filter on their numbers could go below the aggregate
+    blocks = written(blocks.withColumn("numbers", title_numbers(F.col("block_title"))), "law-titles")
     single = blocks.filter("size(numbers) = 1").select("law_id", F.col("numbers")[0].alias("number"), F.struct("block_no", "block_id", "block_title", "block_type", "next").alias("to"))
     compound = blocks.filter("size(numbers) > 1").select("law_id", "block_id", F.explode("numbers").alias("number"))
     n = partitions(spark, lines.count(), LINES)
