@@ -115,7 +115,7 @@ def distributed(lines: DataFrame) -> DataFrame:
     each other meets the lines by law, and the result stays dealt by law, ``LINES`` to a partition: what follows needs no other shuffle.
     """
     spark = lines.sparkSession
-    lines = written(lines, "law-lines")
+    lines = written(lines, "law-lines", max(1, LINES // 4))
     blocks = lines.groupBy("law_id", "block_no", "block_id", "block_title", "block_type").agg((F.max("version_no") + 1).alias("next"))
     # read twice below: titles are taken apart once, a block's and not each line's, as they would be if a filter on their numbers could go below the aggregate
     blocks = written(blocks.withColumn("numbers", title_numbers(F.col("block_title"))), "law-titles")

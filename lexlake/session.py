@@ -69,10 +69,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, as a Parquet table in the shared folder (see ``scratch``)."""
+def written(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """``df`` computed once, as a Parquet table in the shared folder (see ``scratch``); with ``rows`` in files of so many at most: a task that reads
+    it takes small files by their number, so what it reads is bounded in rows too."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._lexlake_path = path
     return table

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexlake import session
 from lexlake.operators import analytics, graph, law_tree, trees, versions
 from lexlake.sources import laws
 
@@ -179,10 +180,16 @@ def test_tasks_of_laws_do_not_grow(spark, monkeypatch):
 
 def test_titles_are_taken_apart_for_blocks_not_lines(spark, monkeypatch):
     plans, kept = {}, law_tree.written
-    monkeypatch.setattr(law_tree, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and kept(df, name))
+    monkeypatch.setattr(law_tree, "written", lambda df, name, *rows: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and kept(df, name, *rows))
     xml = "<r><bloque id='a1' tipo='precepto' titulo='Artículo 1'><version><p>Artículo 1.</p><p>Uno.</p></version></bloque><bloque id='r' tipo='precepto' titulo='Artículos 1 y 2'><version><p>Artículos 1 y 2</p><p>(Derogado)</p></version></bloque></r>"
     rows = law_tree.distributed(laws.law_lines(spark.createDataFrame([("L", xml)], "law_id string, xml string"))).orderBy("version_no", "line_no").collect()
     assert [(r["block_id"], r["version_no"], r["text"]) for r in rows] == [("a1", 0, "Artículo 1."), ("a1", 0, "Uno."), ("a1", 1, "Artículo 1"), ("a1", 1, "(Derogado)")]
     top, below = plans["law-titles"].split("\n", 1)
     assert "Aggregate" in top and "lambdafunction" in top
     assert "lambdafunction" not in below
+
+
+def test_written_in_files_of_bounded_rows(spark):
+    table = session.written(spark.range(100).coalesce(1), "bounded", 30)
+    assert table.count() == 100
+    assert sorted(r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) == [10, 30, 30, 30]
