@@ -13,7 +13,7 @@ for a ``VOTES``-th of the integers that lie beside each other there is then chec
 and of the offsets that pass, the one with the fewest counts. So evenly noisy recordings are found as well as partly equal ones.
 
 Recordings with equal integers and length are one class, and only classes are searched, so copies
-cost nothing but a row each. No list of postings is cut: Spark splits the large ones.
+cost nothing but a row each. No list of postings is cut: a pair of blocks with many hits is halved.
 
 Defined results: null, unreadable or empty audio has no integers and aligns with nothing; audio shorter than a
 span of frames is padded with silence to one integer, and a recording of fewer than ``LEAST_CODES`` integers aligns
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import arrow_rows, forget, small, written
+from lexlake.llm.common import arrow_batches, arrow_rows, forget, small, trimmed, written
 
 #: Samples a second that all audio is brought to, samples of a frame, and from a frame to the next.
 RATE, FRAME, HOP = 2048, 768, 256
@@ -50,8 +50,8 @@ VOTES = 160
 STRETCH, RARE, SHORT = 8, 4, 64
 #: Classes in which integers are counted: so many rows are broadcast at any size.
 CLASSES = 1 << 18
-#: So many postings of the queries may be broadcast.
-BROADCAST_POSTINGS = 1_000_000
+#: Integers of a block of recordings and of a block of queries, about; hits, or integers beside each other, that are worked on at a time.
+BLOCK, ASKING, HITS = 1 << 19, 1 << 16, 1 << 20
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -288,9 +288,159 @@ def probes(code: Column, doubts: Column) -> Column:
     return F.array(code, *[code.bitwiseXOR(b) for b in (*bit, *two)])
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of lists on end, and where each begins, with the end of all."""
+    ends = np.asarray(lists.offsets, np.int64)
+    return lists.flatten(), ends - ends[0]
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n of the sizes, on end."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours with a sum of ``most`` at most, or of one."""
+    sums, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sums, most + (sums[a - 1] if a else 0), "right")))
+        yield slice(a, b)
+        a = b
+
+
+class _Block:
+    """Recordings: their numbers, and their integers on end."""
+
+    def __init__(self, numbers: np.ndarray, codes: np.ndarray, begins: np.ndarray):
+        self.numbers, self.codes, self.begins, self.sizes = numbers, codes, begins[:-1], np.diff(begins)
+
+    def _cut(self, a: int, b: int) -> tuple[np.ndarray, ...]:
+        begins = np.append(self.begins, len(self.codes))[a : b + 1]
+        return self.numbers[a:b], self.codes[begins[0] : begins[-1]], begins - begins[0]
+
+
+class _Held(_Block):
+    """Recordings that are searched, with their postings (one for each run of one integer) in the order of the integers."""
+
+    def __init__(self, *block: np.ndarray):
+        super().__init__(*block)
+        changed = np.ones(len(self.codes), bool)
+        changed[1:] = self.codes[1:] != self.codes[:-1]
+        changed[self.begins] = True
+        places = np.flatnonzero(changed)
+        self.places = places[np.argsort(self.codes[places])]
+        self.sorted = self.codes[self.places]
+        self.owners = np.searchsorted(self.begins, self.places, "right") - 1
+
+    def halves(self) -> list[_Held]:
+        n = len(self.numbers)
+        return [_Held(*self._cut(a, b)) for a, b in ((0, n // 2), (n // 2, n))]
+
+
+class _Asking(_Block):
+    """Recordings that ask, with their probes (of a recording, at a frame) in the order of the integers."""
+
+    def __init__(self, *block: np.ndarray, owners: np.ndarray, at: np.ndarray, probes: np.ndarray):
+        super().__init__(*block)
+        self.owners, self.at, self.probes = owners, at, probes
+
+    @classmethod
+    def probing(cls, *block: np.ndarray, owners: np.ndarray, at: np.ndarray, doubts: np.ndarray) -> _Asking:
+        """The integers at these frames ask, as they are and with one or two of their doubtful bits flipped."""
+        bits = [np.uint32(1) << (doubts >> (5 * k) & 31).astype(np.uint32) for k in range(DOUBTS)]
+        flips = np.stack([np.zeros(len(at), np.uint32), *bits, *[bits[i] ^ bits[j] for i in range(DOUBTS) for j in range(i)]], axis=1)
+        probes = (block[1][block[2][owners] + at][:, None] ^ flips).reshape(-1)
+        order = np.argsort(probes)
+        own = order // flips.shape[1]
+        return cls(*block, owners=owners[own], at=at[own], probes=probes[order])
+
+    def halves(self) -> list[_Asking]:
+        n, out = len(self.numbers), []
+        for a, b in ((0, n // 2), (n // 2, n)):
+            own = (self.owners >= a) & (self.owners < b)
+            out.append(_Asking(*self._cut(a, b), owners=self.owners[own] - a, at=self.at[own], probes=self.probes[own]))
+        return out
+
+
+def _wrong_bits(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Wrong bits where so many integers of a from x on lie beside those of b from y on."""
+    out = np.zeros(len(sizes), np.int64)
+    for part in _parts(sizes, HITS):
+        n, run = sizes[part], _counted(sizes[part])
+        bits = np.bitwise_count(a[np.repeat(x[part], n) + run] ^ b[np.repeat(y[part], n) + run])
+        sums = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
+        ends = np.cumsum(n)
+        out[part] = sums[ends] - sums[ends - n]
+    return out
+
+
+def _aligned_blocks(asking: _Asking, held: _Held) -> Iterator[pa.RecordBatch]:
+    """q, r, offset, votes, bit_error of all pairs of two blocks that align, each at its best offset. Blocks with more than ``HITS`` hits are halved;
+    of one pair of recordings the hits are counted in turns."""
+    low = np.searchsorted(held.sorted, asking.probes, "left")
+    n = np.searchsorted(held.sorted, asking.probes, "right") - low
+    nq, nr = len(asking.numbers), len(held.numbers)
+    if n.sum() > HITS and max(nq, nr) > 1:
+        for a, h in [(x, held) for x in asking.halves()] if nq > 1 else [(asking, x) for x in held.halves()]:
+            yield from _aligned_blocks(a, h)
+        return
+    # one key for a query, a recording and an offset
+    base = int(held.sizes.max(initial=0))
+    span = base + int(asking.sizes.max(initial=0))
+    keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in _parts(n, HITS):
+        place = np.repeat(low[part], n[part]) + _counted(n[part])
+        owner = held.owners[place]
+        offset = np.repeat(asking.at[part], n[part]) - (held.places[place] - held.begins[owner])
+        more = (np.repeat(asking.owners[part], n[part]) * nr + owner) * span + offset + base
+        more, n_more = np.unique(more, return_counts=True)
+        keys, same = np.unique(np.concatenate((keys, more)), return_inverse=True) if len(keys) else (more, np.arange(len(more)))
+        votes = np.bincount(same, np.concatenate((votes, n_more)), len(keys)).astype(np.int64)
+    i, j, offset = keys // span // nr, keys // span % nr, keys % span - base
+    first = np.maximum(0, -offset)
+    n = np.minimum(asking.sizes[i] - offset, held.sizes[j]) - first
+    kept = np.flatnonzero((n >= LEAST_CODES) & (votes * VOTES >= n) & (asking.numbers[i] != held.numbers[j]))
+    x, y, n = (asking.begins[i] + first + offset)[kept], (held.begins[j] + first)[kept], n[kept]
+    # what has too many wrong bits in the first half has too many
+    half = (n + 1) // 2
+    wrong = _wrong_bits(asking.codes, held.codes, x, y, half)
+    near = np.flatnonzero(wrong / (32.0 * n) <= MOST_ERRORS)
+    wrong = wrong[near] + _wrong_bits(asking.codes, held.codes, (x + half)[near], (y + half)[near], (n - half)[near])
+    kept, error = kept[near], wrong / (32.0 * n[near])
+    near = np.flatnonzero(error <= MOST_ERRORS)
+    kept, error = kept[near], error[near]
+    i, j, offset, votes = i[kept], j[kept], offset[kept], votes[kept]
+    order = np.lexsort((offset, np.abs(offset), -votes, error, j, i))
+    best = order[np.concatenate(([True], (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)))[: len(order)]]
+    columns = [asking.numbers[i[best]], held.numbers[j[best]], offset[best].astype(np.int32), votes[best], error[best]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "r", "offset", "votes", "bit_error"])
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_aligned_blocks`` of rows that hold a block of recordings and one of queries each."""
+
+    def block(rows: pa.Array, name: str) -> tuple[np.ndarray, ...]:
+        codes, begins = _flat(rows.field("codes"))
+        return rows.field(name).to_numpy(), codes.to_numpy().view(np.uint32), begins
+
+    last, held = None, None
+    for batch in batches:
+        for no, recordings, queries in zip(*(batch.column(c) for c in ("block", "recordings", "queries")), strict=True):
+            if no.as_py() != last:
+                last, held = no.as_py(), _Held(*block(recordings.values, "r"))
+            asks, begins = _flat(queries.values.field("asks"))
+            owners = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            asking = _Asking.probing(*block(queries.values, "q"), owners=owners, at=asks.field("at").to_numpy().astype(np.int64), doubts=asks.field("doubts").to_numpy())
+            yield from _aligned_blocks(asking, held)
+    trimmed()
+
+
 def aligned(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """q, r, offset, votes, bit_error: for each query class (column q of ``queries``) every other class (r, codes,
     and, where it is a query's, doubts) that aligns with it, at the offset with the least bit error. Runs of one integer count once.
+
+    Recordings and queries are dealt into blocks of about ``BLOCK`` and ``ASKING`` integers, and every block of recordings meets every block of
+    queries in one task, which votes and checks there: hits and offsets are never rows, so what is written and shuffled grows with the recordings.
     """
 
     # two numbers below 2^31 travel as one long: what is shuffled is a row for every integer
@@ -299,37 +449,31 @@ def aligned(classes: DataFrame, queries: DataFrame) -> DataFrame:
 
     def runs(df: DataFrame, name: str, more: list[str]) -> DataFrame:
         before = F.concat(F.array(F.lit(None).cast("int")), F.slice("codes", 1, F.size("codes") - 1)).alias("before")
-        rows = df.filter(F.size("codes") >= LEAST_CODES).select(F.col("r").alias(name), F.size("codes").alias("_n"), F.posexplode(F.arrays_zip("codes", *more, before)).alias("_at", "_z"))
+        rows = df.select(F.col("r").alias(name), F.size("codes").alias("_n"), F.posexplode(F.arrays_zip("codes", *more, before)).alias("_at", "_z"))
         changed = ~F.col("_z.codes").eqNullSafe(F.col("_z.before"))
         return rows.filter(changed).select(name, pair(F.col("_at"), F.col("_n")).alias(f"at_{name}"), F.col("_z.codes").alias("code"), *[F.col(f"_z.{c}").alias(c) for c in more])
 
+    def blocks(df: DataFrame, n: int, rows: str) -> DataFrame:
+        """So many blocks: block, and an array of the rows dealt to it."""
+        dealt = df.groupBy(F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias(rows))
+        return written(dealt, f"audio-{rows}")
+
+    classes = classes.filter(F.size("codes") >= LEAST_CODES)
     asked = classes.join(small(queries.select(F.col("q").alias("r")), queries.count()), "r", "left_semi")
-    own = written(runs(asked, "q", ["doubts"]), "audio-queries")
-    postings = runs(classes, "r", [])
+    own = written(runs(asked, "q", ["doubts"]), "audio-asked")
     # how often a position's probes are held: sums over all recordings, a bounded number of classes
     kind = F.pmod(F.xxhash64("code"), F.lit(CLASSES)).cast("int").alias("_kind")
-    held = postings.groupBy(kind).agg(F.count("*").alias("_held"))
-    load = own.select("q", "at_q", F.col("code").alias("_own"), "doubts", F.explode(probes(F.col("code"), F.col("doubts"))).alias("code")).withColumn("_kind", kind)
-    load = load.join(F.broadcast(held), "_kind", "left").groupBy("q", "at_q", F.col("_own").alias("code"), "doubts").agg(F.sum("_held").alias("_load"))
+    held = runs(classes, "r", []).groupBy(kind).agg(F.count("*").alias("_held"))
+    load = own.select("q", "at_q", "doubts", F.explode(probes(F.col("code"), F.col("doubts"))).alias("code")).withColumn("_kind", kind)
+    load = load.join(F.broadcast(held), "_kind", "left").groupBy("q", "at_q", "doubts").agg(F.sum("_held").alias("_load"))
     turn = F.row_number().over(Window.partitionBy("q", F.floor(high(F.col("at_q")) / STRETCH)).orderBy("_load", "at_q"))
-    rare = load.withColumn("_turn", turn).filter((F.col("_turn") <= RARE) | (low(F.col("at_q")) < SHORT)).select("q", "at_q", "code", "doubts")
-    rare = written(rare, "audio-rare")
-    probed = rare.select("q", "at_q", F.explode(probes(F.col("code"), F.col("doubts"))).alias("code"))
-    hits = postings.join(small(probed, rare.count() * (1 + DOUBTS * (DOUBTS + 1) // 2), BROADCAST_POSTINGS), "code").filter("q <> r")
-    offset = high(F.col("at_q")) - high(F.col("at_r"))
-    overlap = F.least(low(F.col("at_q")) - offset, low(F.col("at_r"))) - F.greatest(F.lit(0), -offset)
-    hits = hits.filter(overlap >= LEAST_CODES).select("q", "r", pair(offset, overlap).alias("place"))
-    # an offset gives its overlap, so both are one key
-    votes = hits.groupBy("q", "r", "place").agg(F.count("*").alias("votes")).filter(F.col("votes") * VOTES >= low(F.col("place")))
-    votes = votes.select("q", "r", high(F.col("place")).alias("offset"), "votes")
-    votes = written(votes, "audio-votes")
-    votes = small(votes, votes.count())
-    # the queries' integers are as many as their postings or, by runs of equal ones, some times more
-    n_asked = asked.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
-    a, b = asked.select(F.col("r").alias("q"), F.col("codes").alias("_a")), classes.select("r", F.col("codes").alias("_b"))
-    both = votes.join(b, "r").join(small(a, n_asked, BROADCAST_POSTINGS), "q")
-    rows = both.select("q", "r", "offset", "votes", bit_error(F.col("_a"), F.col("_b"), F.col("offset")).alias("bit_error"))
-    return _best(rows.filter(F.col("bit_error") <= MOST_ERRORS))
+    rare = load.withColumn("_turn", turn).filter((F.col("_turn") <= RARE) | (low(F.col("at_q")) < SHORT))
+    rare = rare.groupBy("q").agg(F.collect_list(F.struct(high(F.col("at_q")).alias("at"), "doubts")).alias("asks"))
+    number = lambda df, size: -(-(df.agg(F.sum(F.size("codes"))).first()[0] or 1) // size)
+    asking = blocks(asked.select(F.col("r").alias("q"), "codes").join(rare, "q"), number(asked, ASKING), "queries").drop("block")
+    both = blocks(classes.select("r", "codes"), number(classes, BLOCK), "recordings").crossJoin(asking)
+    with arrow_batches(classes.sparkSession, 1):
+        return written(both.mapInArrow(_products, "q long, r long, offset int, votes long, bit_error double"), "audio-aligned")
 
 
 def aligned_exactly(classes: DataFrame, queries: DataFrame) -> DataFrame:

@@ -244,3 +244,92 @@ def test_the_exact_way_misses_nothing(spark):
     found = lambda exact: {r["id"]: (r["match_id"], r["offset"], r["bit_error"]) for r in audio.search(recordings, "id", F.col("id") < 4, exact).collect()}
     assert found(False)[1] == (None, None, None)
     assert found(True) == {1: (2, 5, 0.125), 2: (1, -5, 0.125), 3: (None,) * 3, 4: (None,) * 3, 5: (None,) * 3}
+
+
+def signed(x):
+    return x - (1 << 32) if x >= 1 << 31 else x
+
+
+def shuffled_rows(spark, recordings, is_query):
+    """The rows that a search hands from task to task."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def total():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    audio.search(recordings, "id", is_query).collect()
+    return total() - before
+
+
+def test_hits_and_offsets_are_no_rows(spark):
+    """What a search shuffles grows with the recordings, though hits grow with recordings times queries."""
+    rng = random.Random(12)
+    alphabet = [signed(rng.getrandbits(32)) for _ in range(16)]
+    doubts = sum(k << (5 * k) for k in range(audio.DOUBTS))
+    rows = [(i, 40.0, [rng.choice(alphabet) for _ in range(40)], [doubts] * 40) for i in range(240)]
+    few, many = (shuffled_rows(spark, spark.createDataFrame(rows[:n], "id long, seconds double, codes array<int>, doubts array<long>"), F.col("id") % 2 == 0) for n in (80, 240))
+    assert many < 4 * few, (few, many)
+
+
+def voted(lists, doubts, queries):
+    """q, r: offset, votes, wrong bits of all that align at an offset with votes, plainly; every integer asks."""
+    out = {}
+    for q in queries:
+        for r, b in enumerate(lists):
+            a, votes = lists[q], {}
+            for i, x in enumerate(a):
+                bits = [1 << (doubts[q][i] >> 5 * k & 31) for k in range(audio.DOUBTS)]
+                asks = {x, *(x ^ v for v in bits), *(x ^ v ^ w for v in bits for w in bits)}
+                if i and a[i - 1] == x:
+                    continue
+                for j, y in enumerate(b):
+                    if y in asks and not (j and b[j - 1] == y):
+                        votes[i - j] = votes.get(i - j, 0) + 1
+            options = []
+            for o, n in votes.items():
+                first = max(0, -o)
+                size = min(len(a) - o, len(b)) - first
+                if q != r and size >= audio.LEAST_CODES and n * audio.VOTES >= size:
+                    error = sum((x ^ y).bit_count() for x, y in zip(a[first + o :][:size], b[first:][:size], strict=True)) / (32.0 * size)
+                    options += [(error, -n, abs(o), o)] if error <= audio.MOST_ERRORS else []
+            if options:
+                error, n, _, o = min(options)
+                out[q, r] = (o, -n, error)
+    return out
+
+
+def test_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    """Votes, offsets and errors are those of a plain count, for blocks of all recordings and of few, and where hits are counted in turns; recordings
+    that only repeat two integers have many hits in one pair."""
+    rng = random.Random(13)
+    common = [rng.getrandbits(32) for _ in range(30)]
+    flip = lambda x: x ^ (1 << rng.randrange(8))
+    lists = [[rng.getrandbits(32) for _ in range(rng.randrange(4))] + [flip(x) for x in common[rng.randrange(5) :]] for _ in range(20)]
+    lists += [common[:2] * rng.randrange(10, 25) for _ in range(6)] + [common[:7], common[3:11], []]
+    doubts = [[sum(bit << (5 * k) for k, bit in enumerate(rng.sample(range(8), audio.DOUBTS))) for _ in x] for x in lists]
+    rows = [(i, float(i), [signed(v) for v in x], d) for i, (x, d) in enumerate(zip(lists, doubts, strict=True))]
+    recordings = spark.createDataFrame(rows, "id long, seconds double, codes array<int>, doubts array<long>")
+    want = voted(lists, doubts, range(0, len(lists), 2))
+    assert len(want) > 100
+    monkeypatch.setattr(audio, "SHORT", 1 << 20)
+    for sizes in ({}, {"BLOCK": 64, "ASKING": 100}, {"BLOCK": 300}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(audio, name, value)
+        got = {(r["id"], m["match_id"]): (m["offset"], m["votes"], m["bit_error"]) for r in audio.search(recordings, "id", F.col("id") % 2 == 0).collect() for m in r["matches"] or []}
+        assert got == want
+    # in this process, where its bound can be set: all of one block of each, halved down to pairs
+    codes = lambda some: np.array([v for x in some for v in x], np.uint32)
+    begins = lambda some: np.cumsum([0, *map(len, some)])
+    whole, asks = [x for x in lists if x], lists[: len(lists) - 1 : 2]
+    turns = [[i for i, x in enumerate(a) if not (i and a[i - 1] == x)] for a in asks]
+    owners, at = (np.array(x) for x in zip(*((k, i) for k, t in enumerate(turns) for i in t), strict=True))
+    own = np.array([doubts[2 * k][i] for k, i in zip(owners.tolist(), at.tolist(), strict=True)])
+    for hits in (audio.HITS, 100, 7):
+        monkeypatch.setattr(audio, "HITS", hits)
+        asking = audio._Asking.probing(np.arange(0, 2 * len(asks), 2), codes(asks), begins(asks), owners=owners, at=at, doubts=own)
+        held = audio._Held(np.arange(len(whole)), codes(whole), begins(whole))
+        got = {(r["q"], r["r"]): (r["offset"], r["votes"], r["bit_error"]) for b in audio._aligned_blocks(asking, held) for r in b.to_pylist()}
+        assert got == want
