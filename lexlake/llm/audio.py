@@ -43,7 +43,7 @@ SPAN = 16
 #: Two recordings align at a share of wrong bits of at most this, over at least so many integers.
 MOST_ERRORS, LEAST_CODES = 0.15, 8
 #: Doubtful bits that are kept of an integer, and samples and frames worked on at a time.
-DOUBTS, RUN, FRAMES = 6, 1 << 21, 4096
+DOUBTS, RUN, FRAMES = 6, 1 << 21, 128
 #: One integer in so many must have a vote for an offset to be checked: of recordings that align nearly all have more.
 VOTES = 160
 #: Of so many frames of a query so many integers ask, the rarest; queries of fewer than so many integers ask with all.
@@ -61,11 +61,15 @@ def _filters() -> list[tuple[int, int, int, int]]:
 
 FILTERS = _filters()
 STEPS = (-0.2, 0.0, 0.2)
+#: Shares of energy are whole multiples of one part in so many: sums over up to 4 million frames are exact, so an integer doesn't depend on what lies before it.
+GRAIN = float(1 << 30)
 
 
 HERTZ = np.arange(FRAME // 2 + 1) * RATE / FRAME
-_FOLD = np.zeros((len(HERTZ), 12), np.float32)
-_FOLD[np.flatnonzero(HERTZ >= 55), np.round(12 * np.log2(HERTZ[HERTZ >= 55] / 440)).astype(int) % 12] = 1
+_CLASS = np.round(12 * np.log2(HERTZ[HERTZ >= 55] / 440)).astype(int) % 12
+#: Frequencies from 55 Hz on by pitch class, and where each class begins.
+_FOLD = np.flatnonzero(HERTZ >= 55)[np.argsort(_CLASS, kind="stable")]
+_BEGINS = np.searchsorted(np.sort(_CLASS), np.arange(12))
 _HANN = np.hanning(FRAME).astype(np.float32)
 #: The bit of its two that a filter changes where its value crosses the first, second or third of STEPS.
 _CROSSING = np.array([1, 2, 1])
@@ -131,11 +135,19 @@ def chroma(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     source, target = within + np.repeat(begins, heard), within + np.repeat(np.cumsum(frames) - frames, heard)
     windows = np.lib.stride_tricks.sliding_window_view(buffer, FRAME)[::HOP]
     bins = np.zeros((int(frames.sum()), 12))
+    # few frames at a time, in arrays that are used again: they stay in the processor's cache
+    spectra = np.empty((FRAMES, len(HERTZ)), np.complex64)
     for k in range(0, len(source), FRAMES):
-        waves = np.fft.rfft(windows[source[k : k + FRAMES]] * _HANN, axis=1)
-        energy = (waves.real**2 + waves.imag**2) @ _FOLD
+        frame = windows[source[k : k + FRAMES]]
+        frame *= _HANN
+        waves = np.fft.rfft(frame, axis=1, out=spectra[: len(frame)])
+        power = waves.real**2
+        power += waves.imag**2
+        # summed in one order whatever frames are beside: a matrix product's order depends on their number
+        energy = np.add.reduceat(power[:, _FOLD], _BEGINS, axis=1)
         total = energy.sum(axis=1, keepdims=True)
-        bins[target[k : k + FRAMES]] = np.divide(energy, total, out=np.zeros_like(energy), where=total > 1e-9)
+        share = np.divide(energy, total, out=np.zeros_like(energy), where=total > 1e-9)
+        bins[target[k : k + FRAMES]] = np.rint(share * GRAIN) / GRAIN
     return bins, frames
 
 

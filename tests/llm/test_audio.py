@@ -57,6 +57,19 @@ def test_filters_are_rectangle_sums():
         assert bits == int(found[i])
 
 
+def test_integers_depend_on_the_recording_alone():
+    """Copies have equal integers whatever is worked on beside them, also where halves of a filter are equal and rounding would decide."""
+    rng = random.Random(14)
+    samples = [audio.rendered(x)[0] for x in (*(text(rng, rng.randrange(20, 120)) for _ in range(150)), "ha " * 40, "a b " * 30)]
+    alone = [audio.codes([x]) for x in samples]
+    for _ in range(2):
+        order = rng.sample(range(len(samples)), len(samples))
+        found, doubts, counts = audio.codes([samples[i] for i in order])
+        ends = np.cumsum(counts)
+        for i, end, n in zip(order, ends.tolist(), counts.tolist(), strict=True):
+            assert found[end - n : end].tolist() == alone[i][0].tolist() and doubts[end - n : end].tolist() == alone[i][1].tolist()
+
+
 def test_alignment_under_noise_and_other_encodings():
     rng, noise = random.Random(2), np.random.default_rng(2)
     samples, rate = audio.rendered(text(rng, 200))
