@@ -49,6 +49,19 @@ def test_words_are_encoded_once(monkeypatch):
     assert Encoder(BYTE_VOCAB).tokenizer is enc.tokenizer
 
 
+@pytest.mark.parametrize("name", [BYTE_VOCAB, WORD_VOCAB])
+def test_words_met_often_stay_in_a_full_table(monkeypatch, name):
+    enc, ref, seen = Encoder(name, table_bytes=8000), direct(name), []
+    words, rng = enc._words, random.Random(12)
+    monkeypatch.setattr(enc, "_words", lambda parts: seen.extend(parts.to_pylist()) or words(parts))
+    for k in range(30):
+        text = "x " + " ".join(f"{w}{rng.choice(enc.marks)}" for w in ("gato", "perro", "ärger")) + " " + " ".join("".join(rng.choices("abcdeö", k=9)) for _ in range(40))
+        assert enc.encode([text])[0].tolist() == ref(text)
+    # each is encoded once, though new words have filled the table again and again; marks after words take no room in it
+    assert [seen.count(w) for w in ("gato", "perro", "ärger")] == [1, 1, 1] and len(seen) > 1200
+    assert not [p for p in enc.known if p[-1:] in enc.marks] and enc.held < 8000 + 41 * (enc.ENTRY + 20)
+
+
 def test_counted_in_either_width():
     rng = np.random.default_rng(4)
     owners = np.sort(rng.integers(0, 40, 900))
