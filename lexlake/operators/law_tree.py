@@ -6,7 +6,7 @@ law's lines, so no tree is built and every law is one window group, as large as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lexlake.functions.numbers import with_article_number
@@ -172,6 +172,45 @@ def tree_edges(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return laws.unionByName(both.select(F.col("src").alias("id"), "node_type", "name", "place")), both.select("src", "dst", "place")
 
 
+def _saved_rows(lines: DataFrame) -> DataFrame:
+    """A row for each line as a heading, an article or an element (a heading inside an article is both), with what it is saved by: id, owner, up, node_type,
+    name, where it stands (``_at`` its article, ``below`` 1 if it lies in it, then its own place), and kept, whether it is the first of its id.
+
+    Lines are classified once, and one order serves all windows: within a version of a block by line, headings by their block. Other lines stay, not kept,
+    so that each law has a row.
+    """
+    rows = classified(lines).withColumn("_heading", F.explode(F.when(F.col("node_type").isin(STRUCTURE), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    heading, article = F.col("_heading"), F.col("_article")
+    rows = rows.withColumns({
+        "_article": F.col("node_type").isin(ARTICLES),
+        "_rank": F.when(~heading, _rank()),
+        # an id's parts: a heading's are its block and line, whatever the version; an article's the block's id and the version
+        "_of": F.when(heading, F.col("block_no").cast("string")).otherwise(F.col("block_id")),
+        "_version": F.when(~heading, F.col("version_no")),
+        "_turn": F.when(heading, F.col("version_no")).otherwise(F.col("block_no")),
+    })
+    part = ["law_id", "_heading", "_of", "_version"]
+    rows = _above(rows, Window.partitionBy(*part).orderBy("line_no", "_article", "_turn"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*part, "line_no", "_article").orderBy("_turn")))
+    rows = rows.withColumn("_first", F.min(F.when(article, F.struct("block_no", "version_no", "line_no"))).over(Window.partitionBy(*part)))
+    owner = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
+    itself = (F.col("_first.block_no") == F.col("block_no")) & (F.col("_first.line_no") == F.col("line_no"))
+    line = F.col("line_no").cast("string")
+    names = F.when(heading, F.concat_ws("~", "law_id", F.col("block_no").cast("string"), line)).when(article, owner).otherwise(F.concat_ws("#", owner, line))
+    parent = F.element_at("_above", -1).cast("string")
+    return rows.select(
+        "law_id",
+        names.alias("id"),
+        F.when(heading | article, F.col("law_id")).when(F.size("_above") == 0, owner).otherwise(F.concat_ws("#", owner, parent)).alias("up"),
+        "node_type",
+        F.col("text").alias("name"),
+        ((F.col("_nth") == 1) & (heading | F.when(article, itself).otherwise(F.col("_first").isNotNull()))).alias("kept"),
+        *[F.coalesce(F.col("_first")[c], F.col(c)).alias(f"_at_{c}") for c in ("block_no", "version_no", "line_no")],
+        F.when(heading | article, 0).otherwise(1).alias("below"),
+        *("block_no", "version_no", "line_no"),
+    )
+
+
 def saved_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node rows (id, label, name, seq_id) and edge rows (src, rel, dst) of whole laws as they are saved: headings are left out and what was below them is
     linked to what is above, at last the law; ``seq_id`` numbers a law's nodes in reading order, headings counted.
@@ -179,31 +218,49 @@ def saved_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     The tree is that of ``tree_edges``, read off the lines: a heading's children follow it up to the next that isn't narrower, so headings and articles are
     in order as their lines are, an article's elements come right after it, and all that is above an article are headings and the law.
     """
-    heads = classified(lines).filter(F.col("node_type").isin(STRUCTURE) | F.col("node_type").isin(ARTICLES))
-    place = F.struct("block_no", "version_no", "line_no")
-    article = F.col("node_type").isin(ARTICLES)
-    article_id = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
-    heading_id = F.concat_ws("~", "law_id", F.col("block_no").cast("string"), F.col("line_no").cast("string"))
-    # owner: the article that an element belongs to; its first row says where it stands
-    heads = heads.select("law_id", F.when(article, article_id).otherwise(heading_id).alias("id"), F.when(article, article_id).alias("owner"), F.col("law_id").alias("up"), F.lit(0).alias("below"), "node_type", F.col("text").alias("name"), place.alias("place"))
-    inner = elements(lines).select("law_id", F.col("element_id").alias("id"), F.col("article_id").alias("owner"), F.col("parent_id").alias("up"), F.lit(1).alias("below"), "node_type", F.col("text").alias("name"), place.alias("place"))
-    rows = heads.unionByName(inner)
-    once = F.row_number().over(Window.partitionBy("law_id", "id").orderBy("below", "place"))
-    rows = rows.withColumn("_once", once).filter("_once = 1")
-    at = F.coalesce(F.min(F.when(F.col("below") == 0, F.col("place"))).over(Window.partitionBy("law_id", "owner")), F.col("place"))
-    at = F.when(F.col("owner").isNotNull(), at).otherwise(F.col("place"))
-    rows = rows.withColumn("_at", at)
-    seq = F.row_number().over(Window.partitionBy("law_id").orderBy("_at", "below", "place", "id"))
-    rows = rows.withColumn("seq_id", F.concat_ws("_", "law_id", seq.cast("string"))).filter(~F.col("node_type").isin(STRUCTURE))
-    laws = lines.groupBy("law_id").agg(F.max(F.col("block_no").isNotNull()).alias("_read"))
-    laws = laws.select(F.col("law_id").alias("id"), F.lit("normativa").alias("label"), F.col("law_id").alias("name"), F.when(F.col("_read"), F.concat_ws("_", "law_id", F.lit("0"))).alias("seq_id"))
-    edges = rows.select(F.col("id").alias("src"), F.lit("PART_OF").alias("rel"), F.col("up").alias("dst"))
-    return laws.unionByName(rows.select("id", F.col("node_type").alias("label"), "name", "seq_id")), edges
-
-
-def saved_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """kind, name, n: nodes by label and edges by relation, as a save reports them."""
-    return nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).agg(F.count("*").alias("n")))
+    rows = _saved_rows(lines)
+    saved = F.col("kept") & ~F.col("node_type").isin(STRUCTURE)
+    edges = rows.filter(saved).select(F.col("id").alias("src"), F.lit("PART_OF").alias("rel"), F.col("up").alias("dst"))
+    # the law itself comes before its first row; only of a law that can't be read that has no block
+    place = [F.asc_nulls_last("_at_block_no"), "_at_version_no", "_at_line_no", "below", "block_no", "version_no", "line_no", "id"]
+    order = Window.partitionBy("law_id").orderBy(*place)
+    seq = F.sum(F.col("kept").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_seq": seq, "_start": F.row_number().over(order) == 1})
+    number = lambda n: F.concat_ws("_", "law_id", n.cast("string"))
+    law = F.struct(F.col("law_id").alias("id"), F.lit("normativa").alias("label"), F.col("law_id").alias("name"), F.when(F.col("_at_block_no").isNotNull(), number(F.lit(0))).alias("seq_id"))
+    own = F.struct("id", F.col("node_type").alias("label"), "name", number(F.col("_seq")).alias("seq_id"))
+    rows = rows.filter(saved | F.col("_start")).withColumn("_n", F.explode(F.array_compact(F.array(F.when(F.col("_start"), law), F.when(saved, own)))))
+    return rows.select("_n.*"), edges
+
+
+def saved_counts(lines: DataFrame) -> DataFrame:
+    """kind, name, n: nodes of ``saved_graph`` by label and edges by relation, as a save reports them, in one pass: each node but the laws has one edge."""
+    rows = _saved_rows(lines).withColumn("_saved", F.col("kept") & ~F.col("node_type").isin(STRUCTURE))
+    # a row for each law and label first, where the law lies
+    each = rows.groupBy("law_id", "node_type").agg(F.count_if("_saved").alias("n")).groupBy("law_id").agg(F.collect_list(F.struct("node_type", "n")).alias("_n"))
+    count = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.alias("n"))
+    kinds = F.transform("_n", lambda x: count("node", x["node_type"], x["n"]))
+    edges = F.transform("_n", lambda x: count("edge", F.lit("PART_OF"), x["n"]))
+    each = each.select(F.explode(F.concat(F.array(count("node", F.lit("normativa"), F.lit(1).cast("long"))), kinds, edges)).alias("c")).select("c.*")
+    return each.groupBy("kind", "name").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _rank() -> Column:
+    """How wide a line's mark is: a numbered paragraph 1, letters 2, ordinals 3, anything else 4."""
+    ranks = {name: 1 + min(k, 2) for k, name in enumerate(ITEMS)}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("node_type")], F.lit(4))
+
+
+def _above(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """``rows`` (_rank) with _above: the line numbers of the marks above each, outermost first."""
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    for k in (1, 2, 3):
+        rows = rows.withColumn(f"_m{k}", F.last(F.when(F.col("_rank") == k, F.col("line_no")), ignorenulls=True).over(before))
+    # a mark of rank 2 counts only after the last of rank 1, and so on
+    two = F.when(F.col("_m2") > F.coalesce("_m1", F.lit(-1)), F.col("_m2"))
+    three = F.when(F.col("_m3") > F.greatest(F.coalesce("_m1", F.lit(-1)), F.coalesce(two, F.lit(-1))), F.col("_m3"))
+    chain = [F.when(F.col("_rank") > 1, F.col("_m1")), F.when(F.col("_rank") > 2, two), F.when(F.col("_rank") > 3, three)]
+    return rows.withColumn("_above", F.array_compact(F.array(*chain)))
 
 
 def elements(lines: DataFrame) -> DataFrame:
@@ -213,22 +270,13 @@ def elements(lines: DataFrame) -> DataFrame:
     A numbered paragraph is above letters, letters above ordinals, and anything without a mark belongs to the last mark
     before it. The line's nearest wider mark is found with windows over the lines of its article's version.
     """
-    ranks = {name: 1 + min(k, 2) for k, name in enumerate(ITEMS)}
     article = ["law_id", "block_id", "version_no"]
-    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("node_type")], F.lit(4))
-    rows = classified(lines).withColumn("_rank", rank)
+    rows = classified(lines).withColumn("_rank", _rank())
     named = F.max(F.col("node_type").isin(ARTICLES)).over(Window.partitionBy(*article))
     rows = rows.withColumn("_named", named).filter(F.col("_named") & ~F.col("node_type").isin(ARTICLES))
-    before = Window.partitionBy(*article).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    for k in (1, 2, 3):
-        rows = rows.withColumn(f"_m{k}", F.last(F.when(F.col("_rank") == k, F.col("line_no")), ignorenulls=True).over(before))
-    # a mark of rank 2 counts only after the last of rank 1, and so on
-    two = F.when(F.col("_m2") > F.coalesce("_m1", F.lit(-1)), F.col("_m2"))
-    three = F.when(F.col("_m3") > F.greatest(F.coalesce("_m1", F.lit(-1)), F.coalesce(two, F.lit(-1))), F.col("_m3"))
-    chain = [F.when(F.col("_rank") > 1, F.col("_m1")), F.when(F.col("_rank") > 2, two), F.when(F.col("_rank") > 3, three)]
-    above = F.array_compact(F.array(*chain))
+    rows = _above(rows, Window.partitionBy(*article).orderBy("line_no"))
     article_id = F.concat_ws("_", "law_id", "block_id", F.col("version_no").cast("string"))
-    rows = rows.withColumns({"article_id": article_id, "_above": above})
+    rows = rows.withColumn("article_id", article_id)
     parent = F.when(F.size("_above") == 0, F.col("article_id")).otherwise(F.concat_ws("#", "article_id", F.element_at("_above", -1).cast("string")))
     return rows.select(F.concat_ws("#", "article_id", F.col("line_no").cast("string")).alias("element_id"), "article_id", parent.alias("parent_id"), (F.size("_above") + 1).alias("depth"), "law_id", "block_no", "version_no", "line_no", "node_type", "text")
 

@@ -167,7 +167,7 @@ nd AS (SELECT 'L' || c AS id, 'normativa' AS label, 'L' || c AS name, NULL AS up
 @query(f"WITH {_SQL_TREE} SELECT label AS name, 'node' AS kind, count(*) AS n FROM nd GROUP BY label UNION ALL SELECT 'PART_OF', 'edge', count(*) FROM nd WHERE label <> 'normativa'")
 def saved_law_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by label and edges by relation of all laws as saved."""
-    return law_tree.saved_counts(*law_tree.saved_graph(law_tree.distributed(_law_lines(spark, sf_dir))))
+    return law_tree.saved_counts(law_tree.distributed(_law_lines(spark, sf_dir)))
 
 
 @query(f"""WITH {_SQL_TREE}, s AS (SELECT id, label, c, t, k, a, v, line FROM nd UNION ALL SELECT 'h', 'titulo', c, t, 0, 0, -1, 0 FROM (SELECT DISTINCT c, t FROM ar) UNION ALL SELECT 'h', 'capitulo', c, t, k, 0, -1, 0 FROM (SELECT DISTINCT c, t, k FROM ar)),

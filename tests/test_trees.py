@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,19 @@ def test_written_in_files_of_bounded_rows(spark):
     table = session.written(spark.range(100).coalesce(1), "bounded", 30)
     assert table.count() == 100
     assert sorted(r["n"] for r in table.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) == [10, 30, 30, 30]
+
+
+def test_saved_laws_are_told_in_one_pass(spark):
+    # a law without blocks that can be read, one block id twice in a law, and a heading inside an article
+    odd = [("X9", None, None, None, None, "syntax error"), *[("X8", b, "a", 0, n, t) for b in (1, 2) for n, t in enumerate(["Artículo 1. X", "1. Uno", "TÍTULO I", "a) Dos"])], ("X7", 1, "n", 0, 0, "Nada")]
+    lines = odd_lines(spark, 5)
+    lines = lines.unionByName(spark.createDataFrame(odd, lines.select("law_id", "block_no", "block_id", "version_no", "line_no", "text").schema).withColumns({"kind": F.lit("p"), "block_title": F.lit(""), "block_type": F.lit("precepto")})).localCheckpoint()
+    nodes, edges = law_tree.saved_graph(lines)
+    counts = law_tree.saved_counts(lines)
+    for df in (nodes, edges, counts):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    nodes, edges = nodes.collect(), edges.collect()
+    got = {(r["kind"], r["name"]): r["n"] for r in counts.collect()}
+    assert got == {**Counter(("node", r["label"]) for r in nodes), **Counter(("edge", r["rel"]) for r in edges)}
+    assert {(r["id"], r["seq_id"]) for r in nodes if r["id"][:2] in ("X7", "X8", "X9")} == {("X7", "X7_0"), ("X8", "X8_0"), ("X8_a_0", "X8_1"), ("X8_a_0#1", "X8_2"), ("X8_a_0#3", "X8_4"), ("X9", None)}
+    assert {(r["src"], r["dst"]) for r in edges if r["src"].startswith("X8")} == {("X8_a_0", "X8"), ("X8_a_0#1", "X8_a_0"), ("X8_a_0#3", "X8_a_0#1")}
