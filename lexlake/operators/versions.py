@@ -81,8 +81,8 @@ def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp_ltz"))
 
 
-def _nodes(first: Column, end: Column) -> Column:
-    """The fewest (level, node) whose buckets, 2 ** level each, make up the buckets from ``first`` up to ``end``."""
+def _nodes(first: Column, end: Column, levels: Column) -> Column:
+    """The fewest (level, node) whose buckets, 2 ** level each, make up the buckets from ``first`` up to ``end``, of 2 ** ``levels`` in all."""
     node = lambda level, n: F.struct(level.alias("level"), n.alias("node"))
     start = F.struct(first.alias("a"), end.alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
 
@@ -94,7 +94,7 @@ def _nodes(first: Column, end: Column) -> Column:
         a, b = F.when(left, a + 1).otherwise(a), F.when((a < b) & (b % 2 == 1), b - 1).otherwise(b)
         return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), levels), start, step, lambda acc: acc["out"])
 
 
 def valid_at(left: DataFrame, versions: DataFrame, by: list[str], left_id: str, at: str, id_: str) -> DataFrame:
@@ -117,9 +117,9 @@ def valid_at(left: DataFrame, versions: DataFrame, by: list[str], left_id: str,
     timed = rows.filter("_at IS NOT NULL").withColumn("_t", _micros(F.col("_at"))).filter("_t >= _lo")
     timed = timed.withColumn("_bucket", F.expr("(least(_t, _hi) - _lo) div _width"))
 
-    laid = keyed.filter("_a IS NOT NULL AND (_b IS NULL OR _a < _b)").join(span, by).select(*by, rank.alias("rank"), "_a", "_b", F.expr("(_a - _lo) div _width").alias("_first"), F.expr("(_b - _lo) div _width").alias("_last"), F.expr("shiftleft(1L, _levels)").alias("_all"))
+    laid = keyed.filter("_a IS NOT NULL AND (_b IS NULL OR _a < _b)").join(span, by).select(*by, rank.alias("rank"), "_a", "_b", F.expr("(_a - _lo) div _width").alias("_first"), F.expr("(_b - _lo) div _width").alias("_last"), F.expr("shiftleft(1L, _levels)").alias("_all"), "_levels")
     ends = laid.select(*by, "rank", "_a", "_b", F.explode(F.array_distinct(F.array_compact(F.array("_first", "_last")))).alias("_bucket"))
-    inner = laid.select(*by, "rank", F.explode(_nodes(F.col("_first") + 1, F.coalesce("_last", "_all"))).alias("n"))
+    inner = laid.filter("_first + 1 < coalesce(_last, _all)").select(*by, "rank", F.explode(_nodes(F.col("_first") + 1, F.coalesce("_last", "_all"), F.col("_levels"))).alias("n"))
     inner = inner.groupBy(*by, F.col("n.level").alias("_level"), F.col("n.node").alias("_node")).agg(F.max("rank").alias("rank"))
 
     asks = timed.select(*by, left_id, "_t", "_bucket")

@@ -248,3 +248,17 @@ def test_vectors_as_bytes(spark):
     rows = spark.createDataFrame([(1, [1.5, -2.0]), (2, []), (3, None)], "k int, v array<float>").withColumn("b", packed(F.col("v")))
     got = {r["k"]: (r["b"] and bytes(r["b"]), r["u"]) for r in rows.select("k", "b", unpacked(F.col("b")).alias("u")).collect()}
     assert got == {1: (b"\x00\x00\xc0?\x00\x00\x00\xc0", [1.5, -2.0]), 2: (b"", []), 3: (None, None)}
+
+
+def test_citations_are_sought_where_one_may_begin(monkeypatch):
+    from lexlake.functions.citations import Scan
+
+    asked, real = [], Scan.law
+    monkeypatch.setattr(Scan, "law", lambda self, i, alone: (asked.append(self.raw[i]), real(self, i, alone))[1])
+    text = "1. Regla " + "número 5, " * 50 + "conforme al artículo 3 de esta ley y al art. 14 CE. {}Ley Orgánica 6/1985 y STC 3/2020"
+    # letters that lower case lengthens, or that depend on those around them
+    for odd in ("", "İ ", "ΑΣ "):
+        asked.clear()
+        found = [(text.format(odd)[r["start"] : r["end"]], r["article"], r["law_number"]) for r in find_citations(text.format(odd))]
+        assert found == [("artículo 3", "3", None), ("art. 14 CE", "14", None), ("Ley Orgánica 6/1985", None, "6/1985"), ("STC 3/2020", None, "3/2020")]
+        assert len(asked) < 10
