@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +101,35 @@ def is_digits(c: Column) -> Column:
     return (c != "") & (F.translate(c, "0123456789", "") == "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it reads several times: worked out once, where Spark would work out an array's function at each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def article_number(c: Column) -> Column:
     """The number of an article title in digits, from the word after 'Artículo' or 'Art.' or from the first word: its groups of
     three digits after a dot are thousands, what follows those is a section and dropped; a Latin word after it stays. Null without a number."""
-    words = title_words(c)
-    named = F.rtrim(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(".")).isin(ARTICLE_WORDS)
-    place = F.when(named, 1).otherwise(0)
-    word = F.substring_index(F.rtrim(F.coalesce(F.get(words, place), F.lit("")), F.lit(".,:;-ªº°")), ",", 1)
-    groups = F.split(word, "[.]")
-    start = F.struct(F.get(groups, F.lit(0)).alias("text"), F.lit(True).alias("open"))
 
     def grown(so_far: Column, group: Column) -> Column:
         more = so_far["open"] & is_digits(group) & (F.char_length(group) == 3)
         return F.struct(F.when(more, F.concat(so_far["text"], group)).otherwise(so_far["text"]).alias("text"), more.alias("open"))
 
-    number = F.aggregate(F.slice(groups, 2, 8), start, grown, lambda x: x["text"])
-    after = F.rtrim(F.coalesce(F.get(words, place + 1), F.lit("")), F.lit(".,:;"))
-    return F.when(is_digits(number), F.when(after.isin(LATIN_SUFFIXES), F.concat_ws(" ", number, after)).otherwise(number))
+    def number(groups: Column) -> Column:
+        start = F.struct(F.get(groups, F.lit(0)).alias("text"), F.lit(True).alias("open"))
+        return F.aggregate(F.slice(groups, 2, 8), start, grown, lambda x: x["text"])
+
+    def read(words: Column) -> Column:
+        """From the word that has the number on."""
+        word = F.substring_index(F.rtrim(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(".,:;-ªº°")), ",", 1)
+        after = F.rtrim(F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.lit(".,:;"))
+        suffixed = lambda n: F.when(is_digits(n), F.when(after.isin(LATIN_SUFFIXES), F.concat_ws(" ", n, after)).otherwise(n))
+        return bound(bound(F.split(word, "[.]"), number), suffixed)
+
+    def told(words: Column) -> Column:
+        is_article = F.rtrim(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(".")).isin(ARTICLE_WORDS)
+        return F.slice(words, F.when(is_article, 2).otherwise(1), 2)
+
+    return bound(bound(title_words(c), told), read)
 
 
 def reference_kind(c: Column) -> Column:

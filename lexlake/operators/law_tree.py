@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lexlake.functions.numbers import with_article_number
-from lexlake.functions.text import ARTICLE_WORDS, change_id, fold, is_digits, title_words
+from lexlake.functions.text import ARTICLE_WORDS, bound, change_id, fold, is_digits, title_words
 from lexlake.operators.versions import closed
 from lexlake.session import partitions, written
 
@@ -94,17 +94,26 @@ def article_versions(lines: DataFrame) -> DataFrame:
 def title_numbers(title: Column) -> Column:
     """The article numbers that a block's title names: one of 'Artículo 3' (a word may follow), all of 'Artículos 3 a 5' and of '7, 8 y 9'; null of
     any other title."""
-    words = title_words(F.replace(title, F.lit(","), F.lit(" , ")))
-    named = F.rtrim(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(".")).isin(ARTICLE_WORDS)
-    parts = F.transform(F.slice(words, 2, 1 << 30), lambda w: F.rtrim(w, F.lit(".º°")))
-    numbers = F.transform(F.filter(parts, is_digits), lambda w: w.try_cast("int"))
-    between = F.filter(parts, lambda w: ~is_digits(w))
-    in_turn = F.forall(F.transform(parts, lambda w, i: is_digits(w) == (i % 2 == 0)), lambda x: x) & (F.size(parts) % 2 == 1)
-    last = F.get(between, F.size(between) - 1)
-    listed = in_turn & (last == "y") & F.forall(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), lambda w: w == ",")
-    ranged = in_turn & (F.size(parts) == 3) & (last == "a") & (numbers[0] <= numbers[1])
-    single = (F.size(numbers) == 1) & (F.size(parts) <= 2) & is_digits(F.get(parts, F.lit(0)))
-    return F.when(named & single, numbers).when(named & ranged, F.sequence(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)))).when(named & listed & (F.size(numbers) > 1), numbers)
+
+    def read(words: Column) -> Column:
+        is_article = F.rtrim(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(".")).isin(ARTICLE_WORDS)
+        return F.when(is_article, bound(F.transform(F.slice(words, 2, 1 << 30), lambda w: F.rtrim(w, F.lit(".º°"))), told))
+
+    def told(parts: Column) -> Column:
+        numbers = F.transform(F.filter(parts, is_digits), lambda w: w.try_cast("int"))
+        return bound(F.struct(parts.alias("parts"), numbers.alias("numbers"), F.filter(parts, lambda w: ~is_digits(w)).alias("between")), listed)
+
+    def listed(x: Column) -> Column:
+        parts, numbers, between = x["parts"], x["numbers"], x["between"]
+        in_turn = F.forall(F.transform(parts, lambda w, i: is_digits(w) == (i % 2 == 0)), lambda x: x) & (F.size(parts) % 2 == 1)
+        last = F.get(between, F.size(between) - 1)
+        commas = (last == "y") & F.forall(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), lambda w: w == ",")
+        ranged = (F.size(parts) == 3) & (last == "a") & (numbers[0] <= numbers[1])
+        single = (F.size(numbers) == 1) & (F.size(parts) <= 2) & is_digits(F.get(parts, F.lit(0)))
+        several = F.when(in_turn & ranged, F.sequence(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)))).when(in_turn & commas & (F.size(numbers) > 1), numbers)
+        return F.when(single, numbers).otherwise(several)
+
+    return bound(title_words(F.replace(title, F.lit(","), F.lit(" , "))), read)
 
 
 def distributed(lines: DataFrame) -> DataFrame:

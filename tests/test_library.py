@@ -262,3 +262,13 @@ def test_citations_are_sought_where_one_may_begin(monkeypatch):
         found = [(text.format(odd)[r["start"] : r["end"]], r["article"], r["law_number"]) for r in find_citations(text.format(odd))]
         assert found == [("artículo 3", "3", None), ("art. 14 CE", "14", None), ("Ley Orgánica 6/1985", None, "6/1985"), ("STC 3/2020", None, "3/2020")]
         assert len(asked) < 10
+
+
+def test_titles_are_cut_into_words_once(spark):
+    from lexlake.functions.text import article_number
+
+    df = spark.createDataFrame([(t,) for t in ("Artículo 1.428 bis, dos", "Art. 3.1", "5 ter", "7, 8", "Artículo", "", None)], "t string")
+    got = df.select(article_number(F.col("t")).alias("n"), law_tree.title_numbers(F.col("t")).alias("k"))
+    assert [tuple(r) for r in got.collect()] == [("1428 bis", None), ("3", None), ("5 ter", None), ("7", None), (None, None), (None, None), (None, None)]
+    for c in ("n", "k"):
+        assert got.select(c)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
