@@ -32,7 +32,7 @@ HTML_CLASSES = {
 
 def _flat(e: ET.Element) -> str:
     """Text of an element with all inside it, white space collapsed."""
-    return " ".join(" ".join(e.itertext()).split())
+    return " ".join((" ".join(e.itertext()) if len(e) else e.text or "").split())
 
 
 def _table(e: ET.Element) -> str:
